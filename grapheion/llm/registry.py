@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grapheion.llm import binary_ids, packing
+from grapheion.llm import binary_ids, byte_bpe, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_packing": packing.op5_packing,
         "op7_binary_ids": binary_ids.op7_binary_ids,
+        "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
 
