@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grapheion.llm import binary_ids, byte_bpe, packing
+from grapheion.llm import binary_ids, byte_bpe, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": quality.op3_quality,
         "op5_packing": packing.op5_packing,
         "op7_binary_ids": binary_ids.op7_binary_ids,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
