@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grapheion.llm import binary_ids, byte_bpe, packing, quality, sketch
+from grapheion.llm import binary_ids, byte_bpe, html_text, packing, quality, sketch
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality": quality.op3_quality,
         "op5_packing": packing.op5_packing,
+        "op6_html_text": html_text.op6_html_text,
         "op7_binary_ids": binary_ids.op7_binary_ids,
         "op8_sketch": sketch.op8_sketch,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
