@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a worker; bounds Python memory whatever the Arrow batch holds.
 CHUNK_CHARS = 4_000_000
+#: Most rows Spark hands to a worker at once; whole documents make wide rows.
+BATCH_ROWS = 2_000
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors, once a session."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_grapheion_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grapheion.llm import binary_ids, byte_bpe, html_text, packing, quality, sketch
+from grapheion.llm import binary_ids, byte_bpe, html_text, near_dup, packing, quality, sketch
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_text": html_text.op6_html_text,
         "op7_binary_ids": binary_ids.op7_binary_ids,
         "op8_sketch": sketch.op8_sketch,
+        "op9_near_dup": near_dup.op9_near_dup,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_near_dup": near_dup.ORACLE_SQL}
