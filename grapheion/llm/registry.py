@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grapheion.llm import binary_ids, byte_bpe, html_text, near_dup, packing, quality, sketch, suffix_dedup
+from grapheion.llm import binary_ids, byte_bpe, html_text, kneser_ney, near_dup, packing, quality, sketch, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_quality": quality.op3_quality,
+        "op4_kneser_ney": kneser_ney.op4_kneser_ney,
         "op5_packing": packing.op5_packing,
         "op6_html_text": html_text.op6_html_text,
         "op7_binary_ids": binary_ids.op7_binary_ids,
