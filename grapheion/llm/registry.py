@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grapheion.llm import binary_ids, byte_bpe, html_text, kneser_ney, near_dup, packing, quality, sketch, suffix_dedup
+import corpus_pipeline
+from grapheion.llm import binary_ids, byte_bpe, html_text, kneser_ney, near_dup, packing, quality, quotes, sketch, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quote_linking": quotes.op1_quote_linking,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_quality": quality.op3_quality,
         "op4_kneser_ney": kneser_ney.op4_kneser_ney,
@@ -20,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sketch": sketch.op8_sketch,
         "op9_near_dup": near_dup.op9_near_dup,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 
