@@ -169,7 +169,7 @@ def _find(texts: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
             part = (r["anchor"] >> _U(48)).astype(np.int64) % n
             poison = np.unique(r["anchor"][many])
             passing = {"repeat": ~first, "hot": first & many}
-            home = int(part[0])
+            home = int(r["ctx"][0] % _U(n))  # marks only pass through: any range will do, another for each batch
             for p in range(n):
                 at = np.flatnonzero(go & (part == p))
                 blob = {"runs": (_six(r["anchor"][at]), _six(r["ctx"][at]), *_table(r["ord"][at]), r["start"][at].astype(np.uint32), r["more"][at].astype(np.uint16), r["offset"][at].astype(np.uint16))}
