@@ -74,7 +74,12 @@ def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     raw = edges[0]
     for e in edges[1:]:
         raw = raw.unionByName(e)
-    return CodeGraph(nodes.select(*NODE_SCHEMA.names), raw.withColumn("file_path", F.split_part("source_qualified", F.lit("::"), F.lit(1))).withColumn("line", F.lit(0)).select(*EDGE_SCHEMA.names))
+    raw = raw.withColumn("file_path", F.split_part("source_qualified", F.lit("::"), F.lit(1))).withColumn("line", F.lit(0))
+    # many queries ask the same graph: equal plans find these in the cache
+    found = CodeGraph(nodes.select(*NODE_SCHEMA.names).cache(), raw.select(*EDGE_SCHEMA.names).cache())
+    found.by_name = found.by_name.cache()
+    found.edges = found.edges.cache()
+    return found
 
 
 #: The same graph for DuckDB: CTEs that end in nodes, edges_raw and (resolved) e.
