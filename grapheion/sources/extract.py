@@ -110,7 +110,7 @@ def read_python(path: str, text: str) -> Facts:
 # other languages ------------------------------------------------------------------------
 _NAME = r"[A-Za-z_$][\w$]*"
 _PARAMS = r"\((?P<params>[^()]*(?:\([^()]*\)[^()]*)*)\)"
-_C_STYLE = [("Function", rf"^[ \t]*(?:[\w$<>\[\],.&*~?:]+[ \t*&]+)+(?:{_NAME}(?:::|\.))*(?P<name>~?{_NAME})[ \t]*{_PARAMS}[^;{{}}=]*\{{")]
+_C_STYLE = [("Function", rf"(?:^|(?<=[{{}};]))[ \t]*(?:[\w$<>\[\],.&*~?:]+[ \t]+)+[*&]*(?:{_NAME}(?:::|\.))*(?P<name>~?{_NAME})[ \t]*{_PARAMS}[^;{{}}=]*\{{")]
 _CLASSES = [("Class", rf"\b(?:class|struct|enum|union|record|object)[ \t]+(?:class[ \t]+)?(?P<name>{_NAME})(?P<rest>[^{{;]*)\{{"), ("Type", rf"\b(?:interface|protocol|trait)[ \t]+(?P<name>{_NAME})(?P<rest>[^{{;]*)\{{")]
 _JS = [
     ("Class", rf"\bclass[ \t]+(?P<name>{_NAME})(?P<rest>[^{{]*)\{{"),
@@ -141,7 +141,8 @@ IMPORTS: dict[str, list[str]] = {
     "php": [r"^[ \t]*use[ \t]+(?P<module>[\w\\]+)", r"\b(?:require|include)(?:_once)?[ \t(]*['\"](?P<module>[^'\"]+)['\"]"], "zig": [r"@import\(\"(?P<module>[^\"]+)\"\)"],
 }
 IMPORTS |= {"typescript": IMPORTS["javascript"], "tsx": IMPORTS["javascript"], "cpp": IMPORTS["c"]}
-KEYWORDS = set("if for while switch catch return function sizeof new await typeof else do match loop fn func fun def elif unless until super this self constructor import require print with in and or not defer go select case when guard throw throws assert defined".split())
+CONTROL = set("if for while switch catch return else do match loop elif unless until when guard".split())
+KEYWORDS = CONTROL | set("function sizeof new await typeof fn func fun def super this self constructor import require in and or not case throw throws assert defined".split())
 _CALL = re.compile(r"(?<![\w$])(?P<name>[A-Za-z_$][\w$]*)!?[ \t]*(?:<[\w, <>]*>)?\(")
 _JSX = re.compile(r"<(?P<name>[A-Z][\w$]*)[\s/>]")
 _ROUTE = re.compile(rf"\.(?:{'|'.join([*ROUTE_METHODS, *LISTENERS])})\((?P<args>[^;]*?)\)\s*;?\s*$", re.M)
@@ -198,7 +199,7 @@ def read_scanned(path: str, text: str, language: str) -> Facts:
     for kind, pattern in PATTERNS.get(language, []):
         for m in re.compile(pattern, re.M).finditer(text if kind == "Test" else masked):
             name = m["name"].strip('"')
-            if name in KEYWORDS or m.start("name") in heads:
+            if name in CONTROL or m.start("name") in heads:
                 continue
             got = m.groupdict()
             at = m.end() - 1 if m[0].endswith("{") else m.end()

@@ -77,9 +77,9 @@ class GraphStore:
         return self.spark.read.schema(EMBEDDING_SCHEMA).option("mergeSchema", "true").parquet(path)
 
     def write_embeddings(self, df: DataFrame) -> None:
-        columns = [c.split()[0] for c in EMBEDDING_SCHEMA.split(", ")]
+        columns = [c.split() for c in EMBEDDING_SCHEMA.split(", ")]
         fresh = f"embeddings-{uuid.uuid4().hex[:8]}"
-        df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns]).write.parquet(f"{self.folder}/{fresh}")
+        df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns]).write.parquet(f"{self.folder}/{fresh}")
         if self._fs.exists(self._path("embeddings")):
             self._fs.delete(self._path("embeddings"), True)
         self._fs.rename(self._path(fresh), self._path("embeddings"))
