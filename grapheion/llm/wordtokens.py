@@ -20,6 +20,9 @@ CACHE_CHARS = 48
 #: Python splits on these, the library does not.
 _ODD = re.compile("[\x1c-\x1f]")
 
+#: Below this every character has one lower case, whatever stands around it.
+_SIMPLE = "\u0130"
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -38,7 +41,13 @@ class WordEncoder(dict):
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        out = self._whole(word)
+        # the vocabulary ignores case (but for its special tokens) and never joins a letter with punctuation: "Word," is "word" and ","
+        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha():
+            out = self[word[:-1]] + self[word[-1]]
+        elif (lower := word.lower()) != word and max(word) < _SIMPLE and "<|" not in word:
+            out = self[lower]
+        else:
+            out = self._whole(word)
         if len(word) <= CACHE_CHARS and len(self) < CACHE_WORDS:
             self[word] = out
         return out

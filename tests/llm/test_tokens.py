@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 from grapheion.llm import binary_ids, packing, wordtokens
 
-TEXTS = [None, "", "Hello, World!\nit's 2024", "a\x1cb c\x85d　e", "x" * 5000, "naïve é ΣΑΣ ΟΔΟΣ İ", "word " * 9000, "word " * 9000]
+TEXTS = [None, "<|ENDOFTEXT|> <|endoftext|> <|EndOfText|>, a<|startoftext|>.", "Thinor, THE! été. ÉTÉ; Ça: a.b, x.. Ω, ΣΑΣ. İx, ſt. ŉ, ẞ. DŽ. ǅ, A\u0301. e\u0301, it'S. 1, 2. Don'T,", "", "Hello, World!\nit's 2024", "a\x1cb c\x85d　e", "x" * 5000, "naïve é ΣΑΣ ΟΔΟΣ İ", "word " * 9000, "word " * 9000]
 
 
 @pytest.fixture(scope="module")
