@@ -16,7 +16,7 @@ def test_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
 
-    kept = corpus_pipeline.quality_rules(spark, docs, SF).localCheckpoint()
+    kept = corpus_pipeline.quality_rules(spark, docs, SF).cache()
     assert kept.schema == docs.schema
     one = {r.doc_id for r in kept.select("doc_id").collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -27,12 +27,12 @@ def test_stages_equal_brute_force(spark):
     junk = [d for d in rows if labels.get(d) == 0 and not failed[d]]
     assert sum(d in one for d in clean) > 0.99 * len(clean) and sum(d in one for d in junk) < 0.1 * max(10, len(junk))
 
-    unique = corpus_pipeline.near_dup_removal(spark, kept, SF).localCheckpoint()
+    unique = corpus_pipeline.near_dup_removal(spark, kept, SF).cache()
     assert unique.schema == docs.schema
     two = {r.doc_id: r.text for r in unique.collect()}
     assert set(two) == {d for d, _, _, stays in near_brute([(d, rows[d]) for d in one]) if stays}
 
-    cut = corpus_pipeline.suffix_dedup_removal(spark, unique, SF).localCheckpoint()
+    cut = corpus_pipeline.suffix_dedup_removal(spark, unique, SF).cache()
     assert cut.schema == docs.schema
     three = {r.doc_id: r.text for r in cut.collect()}
     want = {d: w[3].decode("utf-8", "ignore") for d, w in suffix_brute(list(two.items()), 100).items()}
