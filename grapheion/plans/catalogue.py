@@ -134,9 +134,11 @@ def file_summary(g):
     return g.in_file(targets(g)["fl"]).select(*NODE)
 
 
-@graph_query(f"SELECT {NODE_SQL} FROM nodes n WHERE n.qualified_name IN (SELECT dst FROM e, t WHERE e.kind = 'TESTED_BY' AND e.src = t.fn)")
+@graph_query(f"SELECT {NODE_SQL} FROM nodes n WHERE n.qualified_name IN (SELECT dst FROM e WHERE kind = 'TESTED_BY' AND src = (SELECT min(src) FROM e WHERE kind = 'TESTED_BY'))")
 def tests_for(g):
-    return g.tests_of(targets(g)["fn"]).select(*NODE)
+    """Tests of the least function that has one."""
+    name = g.edges.filter("kind = 'TESTED_BY'").agg(F.min("src").alias("src")).first().src
+    return g.tests_of(name).select(*NODE)
 
 
 @graph_query(f"SELECT {NODE_SQL} FROM nodes n WHERE n.qualified_name IN (SELECT src FROM e, t WHERE e.kind IN ('INHERITS', 'IMPLEMENTS') AND e.dst = t.cl)")
@@ -342,7 +344,7 @@ def impact_files(g):
     return impacted.groupBy("file_path").agg(F.count("*").alias("nodes"), F.round(F.max("score"), 6).alias("best"))
 
 
-@graph_query(ppr_sql(3, False) + ", top AS (SELECT q FROM (SELECT q, score FROM r3 WHERE q NOT IN (SELECT qualified_name FROM sd) ORDER BY round(score, 12) DESC, q LIMIT 100) UNION SELECT qualified_name FROM sd) SELECT kind, CAST(count(*) AS BIGINT) AS n FROM e WHERE src IN (SELECT q FROM top) AND dst IN (SELECT q FROM top) GROUP BY kind")
+@graph_query(ppr_sql(3, False) + ", best AS MATERIALIZED (SELECT q, score FROM r3 ANTI JOIN sd ON q = qualified_name ORDER BY round(score, 12) DESC, q LIMIT 100), top AS MATERIALIZED (SELECT q FROM best UNION ALL SELECT qualified_name FROM sd) SELECT kind, CAST(count(*) AS BIGINT) AS n FROM edges_raw JOIN top a ON source_qualified = a.q JOIN top b ON target_qualified = b.q GROUP BY kind")
 def impact_edges(g):
     files = g.nodes.sparkSession.createDataFrame([(targets(g)["fl"],)], "file_path string")
     return algos.impact_radius(g, files, 100, rounds=3)["edges"].groupBy("kind").agg(F.count("*").alias("n"))
