@@ -68,3 +68,16 @@ def test_estimates_are_close(spark):
     s = {r.doc_id: r.s for r in docs.select("doc_id", sketch.sketch(F.col("text")).alias("s")).collect()}
     near = lambda a, b: len(set(s[a]) & set(s[b])) / min(len(s[a]), len(s[b]))
     assert near(1, 2) == 1 and near(1, 3) == pytest.approx(0.5, abs=0.12)
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    rows = [(None, "a b c d e f", "x"), (3, None, "y"), (3, None, "y"), (5, "", None), (7, "g h i j k l m", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
+    got = sketch.fingerprint_edits(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 11), (3, 0), (3, 0), (5, 0), (7, 13)]
+    by = {r.doc_id: r for r in got}
+    # ids descend, null last: 7, 5, 3, 3, null, and then 7 again
+    assert by[None].edited_sha256 == hashlib.sha256(b"a b c g h i").hexdigest() and by[3].near_next in (0.0, 1.0)
+    alone = sketch.fingerprint_edits(docs.filter("doc_id is null")).collect()
+    assert alone[0].edited_sha256 == hashlib.sha256(b"a b c a b c").hexdigest()
+    assert sketch.fingerprint_edits(docs.limit(0)).count() == 0
