@@ -1,6 +1,7 @@
 """Every query against its SQL twin, at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +21,8 @@ def con():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    show = lambda v: "" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    whole = lambda v: isinstance(v, float) and v == int(v)  # noqa: E731  integers beside nulls become floats
+    show = lambda v: "" if pd.isna(v) else str(int(v)) if whole(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
     return list(df.columns), sorted(tuple(map(show, r)) for r in df.itertuples(index=False))
 
 
