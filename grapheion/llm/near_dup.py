@@ -19,7 +19,10 @@ components of the links.
    triangle inequality of the Jaccard distance only members at 0.6 or more to the
    pivot can be linked to what left, and these are compared with it one by one
    until a link is found. So a node's components are exact without all pairs.
-5. Pivots of a dealt node meet again, until they fit one block.
+5. Pivots of a dealt node meet again a few times, which joins large groups of near
+   copies cheaply. Then every dealt node that still holds several components is
+   finished exactly: each pair of its blocks meets, and members of different
+   components are compared on full sets.
 6. Components by least-label propagation with pointer jumping over written
    tables.
 
@@ -57,6 +60,8 @@ NODE_CLASSES = 1000
 LEVELS = 4
 #: Ways in which the rows of one large component are dealt.
 SALTS = 8
+#: Meetings of the pivots of dealt nodes before these are finished exactly.
+PIVOT_ROUNDS = 3
 #: Share of a node that agrees on a token from which it counts as dense.
 DENSE = 0.5
 
@@ -192,13 +197,16 @@ class _Group:
         return links, pivots
 
 
-def compare(docs: DataFrame, members: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b, path): links found in each block, and with null b the pivots of nodes dealt over blocks.
+def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``members`` (doc_id, cls, ... of long and int) with each class's set as ``data`` in place of doc_id.
 
-    ``members``: (doc_id, cls, path, block, blocks); a document is read once for all nodes of its class.
+    A document is read once for all rows of its class.
     """
     ship(docs.sparkSession)
-    wanted = members.groupBy("doc_id").agg(F.collect_list(F.struct("cls", "path", "block", "blocks")).alias("at"))
+    fields = [f for f in members.schema.fields if f.name != "doc_id"]
+    names = [f.name for f in fields]
+    types = [pa.int64() if f.dataType.simpleString() == "bigint" else pa.int32() for f in fields]
+    wanted = members.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("at"))
     read = texts_of(docs).join(wanted, "doc_id")
 
     def spread(b: pa.RecordBatch):
@@ -211,12 +219,20 @@ def compare(docs: DataFrame, members: DataFrame, width: int = SHINGLE_WORDS, per
             for i, at in enumerate(ats[lo:hi]):
                 data = sets[ends[i] - int(sizes[i]) : ends[i]].tobytes()
                 # rows that repeat a doc_id with another text are of another class
-                rows += [(a["path"], a["block"], a["blocks"], a["cls"], data) for a in at if a["cls"] == cls[i]]
+                rows += [(*(a[n] for n in names), data) for a in at if a["cls"] == cls[i]]
             for k in range(0, len(rows), 500):
-                p, bl, bs, c, d = zip(*rows[k : k + 500], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(bl, pa.int32()), pa.array(bs, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["path", "block", "blocks", "cls", "data"])
+                *keys, d = zip(*rows[k : k + 500], strict=True)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(keys, types, strict=True)], pa.array(d, pa.binary())], names=[*names, "data"])
 
-    met = arrow_map(read, spread, "path long, block int, blocks int, cls long, data binary")
+    return arrow_map(read, spread, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", data binary")
+
+
+def compare(docs: DataFrame, members: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b, path): links found in each block, and with null b the pivots of nodes dealt over blocks.
+
+    ``members``: (doc_id, cls, path, block, blocks).
+    """
+    met = _with_sets(docs, members.select("doc_id", "path", "block", "blocks", "cls"), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, {}
@@ -256,6 +272,74 @@ def compare(docs: DataFrame, members: DataFrame, width: int = SHINGLE_WORDS, per
     return met.repartition(n, "path", "block").sortWithinPartitions("path", "block").mapInArrow(run, "a long, b long, path long")
 
 
+class _Index:
+    """Postings of one block, to count what a set shares with every member."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
+        self.ids = [c for c, _, _ in members]
+        self.roots = [r for _, r, _ in members]
+        self.distinct = set(self.roots)
+        self.sizes = np.array([len(s) for _, _, s in members])
+        tokens = np.concatenate([s for _, _, s in members])
+        by = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[by], np.repeat(np.arange(len(members)), self.sizes)[by]
+
+    def linked(self, one: np.ndarray, percent: int) -> list[int]:
+        first = np.searchsorted(self.tokens, one, "left")
+        n = np.searchsorted(self.tokens, one, "right") - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero(100 * both >= percent * (len(one) + self.sizes - both)).tolist()
+
+
+def finish(docs: DataFrame, members: DataFrame, roots: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b): what connects members of different blocks of a dealt node that ``roots`` (cls, root) leaves apart.
+
+    Each pair of blocks meets in a task's group: one block is indexed, the other streams past it.
+    Pairs within a block have been compared before. A node of one component is left out.
+    """
+    dealt = members.filter("blocks > 1").join(roots, "cls")
+    several = dealt.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("path")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")))
+    pairs = dealt.join(several, "path").withColumn("other", other)
+    pairs = pairs.select("doc_id", "path", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cls", "root")
+    met = _with_sets(docs, pairs, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, index, top, out = None, [], None, {}, []
+
+        def find(r: int) -> int:
+            while (up := top.get(r, r)) != r:
+                r = up
+            return r
+
+        for batch in batches:
+            for p, one, two, side, c, root, data in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (p, one, two) != key:
+                    key, block, index, top = (p, one, two), [], None, {}
+                tokens = np.frombuffer(data, np.uint64)
+                if side == 0:
+                    block.append((c, root, tokens))
+                    continue
+                if not block:
+                    continue
+                index = index or _Index(block)
+                if len(index.distinct) == 1 and find(root) == find(index.roots[0]):
+                    continue
+                for o in index.linked(tokens, percent):
+                    a, b = find(root), find(index.roots[o])
+                    if a != b:
+                        top[a] = b
+                        out.append((c, index.ids[o]))
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                out.clear()
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(n, "path", "one", "two").sortWithinPartitions("path", "one", "two", "side").mapInArrow(run, "a long, b long")
+
+
 def _spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
     """Join where ``left`` may hold one key very often and ``right`` holds each once: dealt over salts by ``by``."""
     left = left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
@@ -264,7 +348,7 @@ def _spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFr
 
 
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """(cls, label): least label over each connected component.
+    """(cls, label, root): least label over each connected component, and a class that stands for it.
 
     ``vertices``: (cls, label) with distinct cls; ``links``: (a, b). Every round takes the least
     label of the neighbours, then follows the label's owner once; null labels rank last.
@@ -283,7 +367,7 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
         state = step.select("cls", "r")
         if step.filter("old <> r").limit(1).count() == 0:
             break
-    return vertices.join(state, "cls", "left").select("cls", F.when(F.col("r").isNull(), F.col("label")).otherwise(F.col("r.label")).alias("label"))
+    return vertices.join(state, "cls", "left").select("cls", F.when(F.col("r").isNull(), F.col("label")).otherwise(F.col("r.label")).alias("label"), F.coalesce("r.root", "cls").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -293,10 +377,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     # equal sets: least id, and the paths, which are the same for all of them
     classes = written(signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("label"), F.first("paths").alias("paths"), F.first("extra").alias("extra")))
     reader = classes.filter("label is not null").select("cls", F.col("label").alias("doc_id"))
-    members = nodes(classes.filter("label is not null").select("cls", "paths", "extra")).join(reader, "cls")
+    members = written(nodes(classes.filter("label is not null").select("cls", "paths", "extra")).join(reader, "cls"))
     found = written(compare(docs, members, width, percent))
     links = found.filter("b is not null").select("a", "b")
-    for salt in range(3):
+    for salt in range(PIVOT_ROUNDS):
         # pivots of a node dealt over blocks meet; ever fewer of them, dealt anew while they fill more than a block
         pivots = found.filter("b is null").select(F.col("a").alias("cls"), "path").distinct()
         if pivots.limit(1).count() == 0:
@@ -306,9 +390,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
         again = pivots.join(sizes, "path").filter("n > 1").select("cls", "path", blocks.alias("blocks"), F.pmod(F.xxhash64("cls", F.lit(salt)), blocks).cast("int").alias("block"))
         found = written(compare(docs, again.join(reader, "cls"), width, percent))
         links = links.unionByName(found.filter("b is not null").select("a", "b"))
-    # a plain join of two tables, so that Spark can split the rows of a large class
     labelled = written(components(classes.select("cls", "label"), links))
-    out = signed.join(labelled, "cls", "left")
+    if members.filter("blocks > 1").limit(1).count():
+        links = written(links.unionByName(finish(docs, members, labelled.select("cls", "root"), width, percent)))
+        labelled = written(components(classes.select("cls", "label"), links))
+    # a plain join of two tables, so that Spark can split the rows of a large class
+    out = signed.join(labelled.select("cls", "label"), "cls", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -69,6 +69,30 @@ def test_branching_and_dealing(spark, monkeypatch, limit):
     assert got(spark, rows) == brute(rows)
 
 
+def hot_source(rng, n, common, own, twins):
+    """Documents that share a long passage and nothing else, some with a linked twin."""
+    passage = [f"p{i}" for i in range(common)]
+    for k in range(n):
+        text = passage + [f"d{k}_{i}" for i in range(own)]
+        yield " ".join(text)
+        if k < twins:
+            yield " ".join([*text[:-6], *(f"t{k}_{i}" for i in range(6))])
+
+
+def test_links_within_a_hot_source(spark, monkeypatch):
+    # one dealt node of all documents, which no component ties: its blocks must meet in pairs until each link is found
+    monkeypatch.setattr(near_dup, "DEPTH", 0)
+    monkeypatch.setattr(near_dup, "DENSE", 0)
+    monkeypatch.setattr(near_dup, "NODE_CLASSES", 10)
+    rng = random.Random(3)
+    texts = list(hot_source(rng, 60, 80, 30, 40))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert sum(not r[3] for r in want) == 40
+    assert got(spark, rows) == want
+
+
 def test_repeats_nulls_and_empty(spark):
     rows = [(5, "a b c d e"), (5, "a b c d e"), (9, "A B c d e"), (None, "a b c d e"), (None, "q r s t"), (7, None), (7, None)]
     out = got(spark, [r for r in rows if r[0] is not None])
