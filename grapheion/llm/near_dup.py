@@ -11,9 +11,11 @@ components of the links.
    meets in a tree with probability s**DEPTH, so at 0.8 all trees together find
    it with 1 - (1 - 0.8**3)**10 > 0.999.
 3. A node of more than ``NODE_CLASSES`` classes is branched: each class goes to two
-   children, by further minwise tokens chosen by the path. A node whose members
-   nearly all agree on a token is dense (a large group of near copies) and is not
-   branched but dealt over blocks of bounded size.
+   children, by two minwise tokens that no node above it was made by (each tree and
+   level has its own). A node half of whose members agree on such a token is
+   dense: branching would hardly make it smaller, so it is dealt over blocks of
+   bounded size, as is what is left after the last level. As dealt nodes are
+   finished exactly, this decides on cost only.
 4. Nodes with equal members are compared once. In a node a pivot is compared
    with all others on full sets; those linked to it leave the node. By the
    triangle inequality of the Jaccard distance only members at 0.6 or more to the
@@ -52,12 +54,12 @@ SHINGLE_WORDS = 4
 PERCENT = 80
 TREES = 10
 DEPTH = 3
-#: Further minwise tokens, for branching.
-EXTRA = 4
 #: Larger nodes are branched or dealt over blocks.
 NODE_CLASSES = 1000
 #: Levels of branching below a tree's first node.
 LEVELS = 4
+#: Further minwise tokens of each tree for branching, two a level.
+EXTRA = 2 * LEVELS
 #: Ways in which the rows of one large component are dealt.
 SALTS = 8
 #: Meetings of the pivots of dealt nodes before these are finished exactly.
@@ -65,7 +67,7 @@ PIVOT_ROUNDS = 3
 #: Share of a node that agrees on a token from which it counts as dense.
 DENSE = 0.5
 
-_SEEDS = np.random.Generator(np.random.PCG64(9)).integers(1, 1 << 63, 2 * (TREES * DEPTH + EXTRA), dtype=np.uint64)
+_SEEDS = np.random.Generator(np.random.PCG64(9)).integers(1, 1 << 63, 2 * TREES * (DEPTH + EXTRA), dtype=np.uint64)
 
 
 def _binary(column: pa.Array) -> list[bytes]:
@@ -105,21 +107,23 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
                 for d in range(DEPTH):
                     h = mix(h + low[t * DEPTH + d])
                 paths[t] = h
+            extra = (mix(low[TREES * DEPTH :]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(_class_of(sets, sizes)), pa.array(list(paths.T.copy().view(np.int64)), longs), pa.array(list(low[TREES * DEPTH :].T.copy().view(np.int64)), longs)],
+                [b.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(_class_of(sets, sizes)), pa.array(list(paths.T.copy().view(np.int64)), longs), pa.array(list(extra.T.copy()), pa.list_(pa.int32()))],
                 names=["doc_id", "n_shingles", "cls", "paths", "extra"],
             )
 
-    return arrow_map(texts_of(docs), run, "doc_id long, n_shingles long, cls long, paths array<long>, extra array<long>")
+    return arrow_map(texts_of(docs), run, "doc_id long, n_shingles long, cls long, paths array<long>, extra array<int>")
 
 
 def nodes(classes: DataFrame) -> DataFrame:
     """(path, block, blocks, cls) of every node of two or more classes, nodes of equal members once.
 
-    ``classes``: (cls, paths, extra), one row a class.
+    ``classes``: (cls, paths, extra), one row a class; ``extra`` holds ``EXTRA`` tokens for each path.
     """
-    rows = classes.select("cls", "extra", F.explode("paths").alias("path"))
+    rows = classes.select("cls", "extra", F.posexplode("paths").alias("tree", "path"))
+    rows = rows.select("cls", F.slice("extra", F.col("tree") * EXTRA + 1, F.lit(EXTRA)).alias("extra"), "path")
     done = []
     for level in range(LEVELS + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
@@ -128,18 +132,20 @@ def nodes(classes: DataFrame) -> DataFrame:
         large = rows.filter(F.col("n") > NODE_CLASSES)
         if large.limit(1).count() == 0:
             break
-        chosen = lambda shift: F.element_at("extra", (F.pmod(F.xxhash64("path", F.lit(level)), F.lit(EXTRA)).cast("int") + shift) % EXTRA + 1)
-        first = large.withColumn("token", chosen(0))
+        if level == LEVELS:
+            done.append(large.select("path", "cls", "n"))
+            break
+        token = lambda k: F.element_at("extra", 2 * level + 1 + k)  # noqa: B023, E731
+        first = large.withColumn("token", token(0))
         # a node is dense if one token holds half of it: counted, never gathered
         top = first.groupBy("path", "token").agg(F.count("*").alias("m"), F.max("n").alias("n")).groupBy("path").agg((F.max("m") >= DENSE * F.max("n")).alias("dense"))
         large = written(first.join(top, "path"))
-        stop = F.col("dense") if level < LEVELS else F.lit(True)
-        done.append(large.filter(stop).select("path", "cls", "n"))
-        more = large.filter(~stop)
+        done.append(large.filter("dense").select("path", "cls", "n"))
+        more = large.filter("not dense")
         if more.limit(1).count() == 0:
             break
-        child = lambda token, k: F.xxhash64("path", token, F.lit(k))
-        rows = more.select("cls", "extra", F.explode(F.array(child("token", 0), child(chosen(1), 1))).alias("path"))
+        child = lambda k: F.xxhash64("path", token(k), F.lit(k))
+        rows = more.select("cls", "extra", F.explode(F.array(child(0), child(1))).alias("path"))
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)

@@ -93,6 +93,14 @@ def test_links_within_a_hot_source(spark, monkeypatch):
     assert got(spark, rows) == want
 
 
+def test_branches_by_unused_tokens(spark, monkeypatch):
+    # a quarter of a node agrees on each token: two levels of unused ones make it fit, none is dense
+    monkeypatch.setattr(near_dup, "NODE_CLASSES", 60)
+    rows = [(k, [1], [int(v) for v in np.random.Generator(np.random.PCG64(k)).integers(0, 4, 8)]) for k in range(400)]
+    found = near_dup.nodes(spark.createDataFrame(rows, "cls long, paths array<long>, extra array<int>")).collect()
+    assert {r.blocks for r in found} == {1} and len({r.cls for r in found}) == 400
+
+
 def test_repeats_nulls_and_empty(spark):
     rows = [(5, "a b c d e"), (5, "a b c d e"), (9, "A B c d e"), (None, "a b c d e"), (None, "q r s t"), (7, None), (7, None)]
     out = got(spark, [r for r in rows if r[0] is not None])
