@@ -6,7 +6,8 @@ the columns of documents.
 
 * quality_rules: documents that the base rules or the boosted trees reject go.
 * near_dup: of every component of near copies the document with the least id
-  stays (rows that repeat its id and text count as one and stay one).
+  stays (rows that repeat its id and text count as one and stay one; rows without an
+  id are documents of their own, judged each by its text).
 * suffix_dedup: strings of 100 bytes that occur earlier are cut from the texts;
   every document stays, n_chars is made anew.
 * packing: pieces of power-of-two length, as digests.
@@ -32,11 +33,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = near_dup.near_duplicates(docs)
-    repeats = judged.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count()
-    stay = judged.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    left = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return left.dropDuplicates(["doc_id"]) if repeats else left
+    judged = near_dup.judged(docs).select("doc_id", "digest", "kept")
+    repeats = judged.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count()
+    stay = judged.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("text_digest") == F.col("kept_digest"))
+    left = docs.withColumn("text_digest", near_dup.text_digest()).join(stay, same, "left_semi")
+    if repeats:
+        once = left.filter("doc_id is not null").dropDuplicates(["doc_id", "text_digest"])
+        left = once.unionByName(left.filter("doc_id is null"))
+    return left.drop("text_digest")
 
 
 def suffix_dedup_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grapheion.llm.common import arrow_map, chunks, ship, table, texts_of, written
@@ -93,8 +93,13 @@ def _class_of(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
 
 
+def text_digest() -> Column:
+    """64 bits of the text, that tell rows of one doc_id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, cls, paths, extra) for every document."""
+    """(doc_id, digest, n_shingles, cls, paths, extra) for every document."""
 
     def run(b: pa.RecordBatch):
         texts = _binary(b.column(1))
@@ -110,11 +115,11 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
             extra = (mix(low[TREES * DEPTH :]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(_class_of(sets, sizes)), pa.array(list(paths.T.copy().view(np.int64)), longs), pa.array(list(extra.T.copy()), pa.list_(pa.int32()))],
-                names=["doc_id", "n_shingles", "cls", "paths", "extra"],
+                [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(sizes), pa.array(_class_of(sets, sizes)), pa.array(list(paths.T.copy().view(np.int64)), longs), pa.array(list(extra.T.copy()), pa.list_(pa.int32()))],
+                names=["doc_id", "digest", "n_shingles", "cls", "paths", "extra"],
             )
 
-    return arrow_map(texts_of(docs), run, "doc_id long, n_shingles long, cls long, paths array<long>, extra array<int>")
+    return arrow_map(texts_of(docs).withColumn("digest", text_digest()), run, "doc_id long, digest long, n_shingles long, cls long, paths array<long>, extra array<int>")
 
 
 def nodes(classes: DataFrame) -> DataFrame:
@@ -378,6 +383,11 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
+    return judged(docs, width, percent).drop("digest")
+
+
+def judged(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, digest, n_shingles, component_id, kept) for every document."""
     ship(docs.sparkSession)
     signed = written(signatures(docs, width))
     # equal sets: least id, and the paths, which are the same for all of them
@@ -403,7 +413,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     # a plain join of two tables, so that Spark can split the rows of a large class
     out = signed.join(labelled.select("cls", "label"), "cls", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,13 @@ def test_one_of_repeated_rows_stays(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_text(spark):
+    x, y, a, b = "a b c d e f", "q r s t u v", "k l m n o p", "g h i j w z"
+    rows = [(1, x), (1, x), (1, y), (None, a), (None, b), (None, x), (0, "o o p p q q"), (5, "O o p p q q"), (5, "r r t t u u")]
+    docs = spark.createDataFrame([(*r, "en", "s", 11) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dup_removal(spark, docs, SF)
+    assert got.schema == docs.schema
+    # one of the repeats goes, as do the copies of texts that a lesser id holds
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, x), (1, y), (None, a), (None, b), (0, "o o p p q q"), (5, "r r t t u u")], key=str)
