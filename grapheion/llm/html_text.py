@@ -41,8 +41,6 @@ from grapheion.llm.common import arrow_map, chunks, ship, table, written
 OUTSIDE_PAGES, OUTSIDE_SHARE = 5, 0.05
 INSIDE_PAGES, INSIDE_SHARE = 20, 0.5
 BROADCAST_ROWS = 50_000
-#: Deeper elements are read as children of the element at this depth.
-MAX_DEPTH = 400
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg".split())
@@ -116,7 +114,7 @@ def parse(source: str) -> Node:
             # their content is no markup: up to the matching end tag, or all
             close = _CLOSE[tag].search(source, at)
             at = close.end() if close else end
-        elif not m[3].rstrip().endswith("/") and len(stack) < MAX_DEPTH:
+        elif not m[3].rstrip().endswith("/"):
             stack.append(node)
     return root
 
@@ -140,10 +138,11 @@ def is_noise(node: Node) -> bool:
 
 
 def prune(node: Node) -> None:
-    node.children = [c for c in node.children if isinstance(c, str) or not is_noise(c)]
-    for c in node.children:
-        if not isinstance(c, str):
-            prune(c)
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        n.children = [c for c in n.children if isinstance(c, str) or not is_noise(c)]
+        stack.extend(c for c in n.children if not isinstance(c, str))
 
 
 def main_part(root: Node) -> list[Node]:
@@ -172,22 +171,20 @@ def blocks(nodes: list[Node], template: frozenset[int] | set[int] = frozenset())
             out.append(text)
         part.clear()
 
-    def walk(n: Node) -> None:
-        if template and n.kept in template:
-            return
-        block = n.tag in BLOCK
-        if block:
-            flush()
-        for c in n.children:
-            if isinstance(c, str):
-                part.append(c)
-            else:
-                walk(c)
-        if block:
-            flush()
-
-    for n in nodes:
-        walk(n)
+    # None stands for the end of a block
+    for node in nodes:
+        stack: list[Node | str | None] = [node]
+        while stack:
+            n = stack.pop()
+            if n is None:
+                flush()
+            elif isinstance(n, str):
+                part.append(n)
+            elif not (template and n.kept in template):
+                if n.tag in BLOCK:
+                    flush()
+                    stack.append(None)
+                stack.extend(reversed(n.children))
         flush()
     return out
 
@@ -200,27 +197,34 @@ def hash_subtrees(root: Node) -> tuple[set[int], int]:
     found: set[int] = set()
     main = hashlib.blake2b(digest_size=8)
 
-    def walk(n: Node, inside: bool) -> tuple[bytes, bool]:
+    def entered(n: Node, inside: bool) -> list:
+        return [n, inside, iter(n.children), hashlib.blake2b(n.tag.encode(), digest_size=8), False]
+
+    stack, whole = [entered(root, False)], b""
+    while stack:
+        n, inside, children, h, holds = top = stack[-1]
         inside_here = inside or n.tag in ("article", "main")
-        h, holds = hashlib.blake2b(n.tag.encode(), digest_size=8), False
-        for c in n.children:
+        for c in children:
             if isinstance(c, str):
                 if text := _SPACE.sub(" ", c).strip():
                     h.update(b"\0" + text.encode("utf-8", "replace"))
-                    holds = True
+                    top[4] = holds = True
             elif c.tag not in RAW:
-                d, t = walk(c, inside_here)
-                h.update(b"\1" + d)
-                holds |= t
-        d = h.digest()
-        n.kept = int.from_bytes(d, "little", signed=True) & ~1 | inside
-        if holds and n.tag in BLOCK and n.tag not in ("html", "body", "article", "main"):
-            found.add(n.kept)
-        if inside_here and not inside:
-            main.update(d)
-        return d, holds
-
-    whole, _ = walk(root, False)
+                stack.append(entered(c, inside_here))
+                break
+        else:
+            stack.pop()
+            d = h.digest()
+            n.kept = int.from_bytes(d, "little", signed=True) & ~1 | inside
+            if holds and n.tag in BLOCK and n.tag not in ("html", "body", "article", "main"):
+                found.add(n.kept)
+            if inside_here and not inside:
+                main.update(d)
+            if stack:
+                stack[-1][3].update(b"\1" + d)
+                stack[-1][4] |= holds
+            else:
+                whole = d
     if len(main_part(root)) == 1 and main_part(root)[0] is root:
         main.update(whole)
     return found, int.from_bytes(main.digest(), "little", signed=True)

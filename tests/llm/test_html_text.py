@@ -31,6 +31,14 @@ def test_deep_nesting():
     assert h.text_of("<div>" * 5000 + "x" + "</div>" * 5000 + "y") == "x y"
 
 
+def test_below_any_depth():
+    deep = "<div>" * 3000
+    assert h.text_of("<div><article>" + deep + "x" + "</div>" * 3000 + "<p>after</p></article></div><p>outside</p>") == "x after"
+    assert h.text_of("<article>" + deep + "<nav>menu</nav><div class=ad>no</div>x" + "</div>" * 3000 + "</article>") == "x"
+    root = h.parse("<article>" + deep + "x" + "</div>" * 3000 + "</article>")
+    assert len(h.hash_subtrees(root)[0]) == 3000
+
+
 def test_template_removal_by_recurrence(spark):
     rows = []
     for i in range(40):
