@@ -125,6 +125,19 @@ def vector_join(queries: DataFrame, items: DataFrame, key: str, bucket: str, vec
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
+def vector_join_all(queries: DataFrame, items: DataFrame, key: str, vector: str, top: int) -> DataFrame:
+    """For each query the ``top`` most similar of all other items.
+
+    Every block of items meets every query; the rank limit is applied in each task first, so
+    only ``top`` rows a query and task travel.
+    """
+    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_v"))
+    pairs = items.select(key, vector).join(q, F.col(key) != F.col("query_id"))
+    scored = pairs.select("query_id", F.col(key), F.round(cosine(F.col(vector), F.col("_v")), 4).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
 # fusion ----------------------------------------------------------------------
 def channel(ranking: DataFrame, source: str, weight: float, *order: Column) -> DataFrame:
     """(qualified_name, source, rrf) of a ranked list cut to a limit; ranks start at 1."""

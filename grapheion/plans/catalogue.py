@@ -403,6 +403,13 @@ def cosine_topk_by_label(spark, sf_dir):
     return search.vector_join(emb.filter("vec_id % 100 = 0"), emb, "vec_id", "label", "embedding", 5)
 
 
+@query(f"SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round({COS.format(a='e.embedding', b='q.embedding')}, 4) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 5")
+def cosine_topk_all(spark, sf_dir):
+    """Queries are the vectors whose id is divisible by 100, against all others of any label."""
+    emb = read(spark, sf_dir, "embeddings")
+    return search.vector_join_all(emb.filter("vec_id % 100 = 0"), emb, "vec_id", "embedding", 5)
+
+
 def _two_lists(g: CodeGraph) -> tuple[DataFrame, DataFrame]:
     a = search.search_and(g.by_name, "fn_building", 50)
     b = g.large(60, "Function", limit=80)

@@ -207,3 +207,10 @@ def test_replacing_files_equals_a_rebuild(spark):
     assert sorted(names(after.in_file("a.py"))) == ["foo"] and after.edges.count() == 1  # the call from b.py is back by itself
     gone = maintain.remove_files(g, spark.createDataFrame([("a.py",)], "file_path string"))
     assert gone.edges.count() == 0 and names(gone.nodes) == ["use"]
+
+
+def test_nearest_of_another_label(spark):
+    rows = [(0, 1, [1.0, 0.0]), (1, 2, [1.0, 0.1]), (2, None, [1.0, 0.2]), (3, 1, [0.0, 1.0])]
+    emb = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = search.vector_join_all(emb.filter("vec_id = 0"), emb, "vec_id", "embedding", 2).collect()
+    assert [(r.query_id, r.vec_id, r.rank) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1, 1), (0, 2, 2)]
