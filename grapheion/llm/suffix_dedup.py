@@ -2,31 +2,41 @@
 
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts earlier (in a
 document of smaller id, or in the same one). Sorting the windows of ``LENGTH`` bytes
-at all positions would move many times the corpus, so suffixes are first put
-into buckets that equal windows must share, and only buckets in which the text
-differs are sorted byte by byte:
-
-1. The anchor of a window is its substring of ``GRAM`` bytes with the least hash,
-   so equal windows have equal anchors at equal offsets. Consecutive windows with
-   one anchor form a run (about 31 windows); its bytes are its context. A map
-   over the documents finds the runs and sends (anchor, hash of context, place)
-   to a range of anchors. Runs of equal context in one batch are decided at
-   once: all but the first are repeats, and only the first travels.
-2. One range of anchors at a time is sorted. All but the first run of an equal
-   context repeat it. An anchor with one context is done; the first runs of
-   contexts that share an anchor but differ form the suffix buckets of step 3.
-3. The contexts' bytes come from the documents. Buckets are taken one block at a
-   time: ranks of the suffixes at difference-cover positions are computed first,
-   by doubling; then all windows of the block are sorted by their first and last
-   ``PERIOD`` bytes and, between them, the rank at the next cover position, so
-   ties of any length cost one comparison and memory is bounded by the block.
-   Windows equal to an earlier one are repeats.
-4. Repeated windows come back to their documents, which are read a second time
-   from the same shuffle.
-
-An anchor with more than ``HOT`` contexts in a batch (or ``HOT_GROUP`` in a range) is
-hot: its runs travel as single windows keyed by their content, first ones of a
-batch only, so no bucket grows with more than the number of batches.
+at all positions at once would move many times the corpus, so it is done twice over
+few suffixes, bucket by bucket. Hashes only choose the buckets; what is equal is
+decided by the sort alone.
+
+1. Long strings. Documents are cut where the hash of the next ``GRAM`` bytes says so
+   (every ``MEAN`` bytes or so), each string reaching ``LENGTH - 1`` bytes past
+   its end so that it holds all windows that start in it. Strings whose hash occurs
+   once are left; the bytes of the others meet in suffix buckets by that hash,
+   are sorted, and all but the first of equal ones repeat it: their windows are
+   done. Most of what repeats is long and ends here, at little more than its own
+   size.
+2. Short contexts of the windows left. The anchor of a window is its substring of
+   ``GRAM`` bytes with the least hash, so equal windows have equal anchors at equal
+   offsets. Consecutive windows with one anchor form a run (about 31 windows);
+   its bytes are its context. Runs whose anchor occurs once are left; the
+   contexts of the others meet in suffix buckets by anchor. All but the first of
+   equal contexts repeat it; where different contexts remain, all their windows
+   are sorted, and windows equal to an earlier one are repeats.
+
+A bucket's suffixes are sorted by their first and last ``PERIOD`` bytes and,
+between them, by the rank of what starts at the next position of a difference
+cover, so that ties of any length cost one comparison. These ranks are computed
+for the block at hand before its sort, by doubling from blocks of ``PERIOD`` bytes.
+Buckets arrive in order of (bucket, document, place) from Spark's own sort, which
+spills, and are sorted a block of ``BLOCK`` strings or ``BLOCK_BYTES`` at a time; a
+bucket that outgrows a block is reduced to its different strings as it goes.
+
+Hot anchors. An anchor with more than ``HOT`` runs among those that a task gathers
+(``SEND``), or more than ``HOT_GROUP`` in all, is hot: contexts that differ within a
+task's batch travel as single windows in buckets of their content, so no bucket of
+different strings passes ``HOT_GROUP``. In each task, strings that it has seen
+before (compared by their bytes) do not travel.
+
+The documents are dealt once, as a table bucketed by their number, which every
+step reads again without a shuffle.
 
 Defined cases: null text is empty; texts under ``LENGTH`` bytes stay whole; equal
 rows that repeat a doc_id are one document; rows of one doc_id with different
@@ -36,30 +46,49 @@ other columns are ignored or, in ``deduplicated``, kept.
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+import atexit
+import hashlib
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grapheion.llm.common import arrow_map, chunks, ship, table, written
+from grapheion.llm.common import arrow_map, chunks, shared_dir, ship, table, written
 from grapheion.llm.shingles import _BYTE, _power, mix
 
 LENGTH = 100
 GRAM = 40
-HOT, HOT_GROUP = 256, 100_000
-#: Contexts sorted together.
-BLOCK = 16_000
+#: Mean, least and greatest distance between the starts of long strings.
+MEAN, LEAST, MOST = 256, 64, 4096
+HOT, HOT_GROUP = 256, 20_000
+#: Bytes of text hashed together, and runs that a task gathers before it sends them.
+CHUNK, SEND = 1_000_000, 500_000
+#: Strings, and bytes of strings, sorted together.
+BLOCK, BLOCK_BYTES = 16_000, 2_000_000
+#: Bytes of strings that a task remembers.
+SEEN_BYTES = 16_000_000
 #: A difference cover: every residue modulo PERIOD is a difference of two members.
 PERIOD = 16
 COVER = (0, 1, 2, 5, 8)
 
 _U = np.uint64
 _DELTA = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])
-#: Anchors and contexts travel as 48 bits; a range's number comes from the anchor's other bits.
-_LOW = _U((1 << 48) - 1)
+
+#: A place is start << 28 | (windows - 1) << 14 | offset of the anchor << 4 | kind.
+JUDGE, POISON, PASSING = 0, 1, 2
+
+
+def place_of(start: np.ndarray, more: np.ndarray, offset: np.ndarray | int = 0, kind: np.ndarray | int = 0) -> np.ndarray:
+    return start.astype(np.int64) << 28 | more.astype(np.int64) << 14 | np.asarray(offset, np.int64) << 4 | kind
+
+
+def unplaced(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows - 1, offset, kind)"""
+    return place >> 28, place >> 14 & 0x3FFF, place >> 4 & 0x3FF, place & 15
 
 
 def _prefix(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,16 +98,36 @@ def _prefix(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inv
 
 
-def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor, in order: anchor, ctx (hashes), doc (index), start, more (windows - 1), offset (of the anchor)."""
+def _windows(sizes: np.ndarray, n: int, length: int, skip: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Starts of the windows of texts laid end to end, but for those in ``skip`` (text, start, windows - 1)."""
+    ends = np.cumsum(sizes)
+    inside = np.zeros(n + 1, np.int64)
+    big = sizes >= length
+    np.add.at(inside, (ends - sizes)[big], 1)
+    np.add.at(inside, (ends - length + 1)[big], -1)
+    if skip is not None and len(skip[0]):
+        at = (ends - sizes)[skip[0]] + skip[1]
+        np.add.at(inside, at, -1)
+        np.add.at(inside, at + skip[2] + 1, 1)
+    return np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+
+
+_FIELDS = (("anchor", np.uint64), ("doc", np.int64), ("start", np.int64), ("more", np.int64), ("offset", np.int64))
+
+
+def _none() -> dict[str, np.ndarray]:
+    return {k: np.empty(0, t) for k, t in _FIELDS}
+
+
+def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, skip: tuple | None = None) -> dict[str, np.ndarray]:
+    """Runs of windows with one anchor, in order: anchor (hash), doc (index), start, more (windows - 1), offset (of the anchor).
+
+    Windows in ``skip`` (doc, start, more) are left out. Texts hold 2**24 bytes at most.
+    """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    empty = {k: np.empty(0, t) for k, t in (("anchor", np.uint64), ("ctx", np.uint64), ("doc", np.int64), ("start", np.int64), ("more", np.int64), ("offset", np.int64))}
     if len(raw) < length:
-        return empty
-    if len(raw) >= 1 << 24:
-        # positions take 24 bits of a key: longer texts are cut with the overlap that windows need
-        return _long_runs(texts, length, gram)
+        return _none()
     sums, inv = _prefix(raw)
     n = len(raw) - gram + 1
     g = mix((sums[gram:] - sums[:-gram]) * inv[:n])
@@ -90,152 +139,189 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str
         width *= 2
     if rest := span - width:
         low = np.minimum(low[:-rest], low[rest:])
-    ends = np.cumsum(sizes)
-    inside = np.zeros(len(low) + 1, np.int64)
-    # a document's windows start in [start, end - length]
-    big = sizes >= length
-    np.add.at(inside, (ends - sizes)[big], 1)
-    np.add.at(inside, (ends - length + 1)[big], -1)
-    window = np.flatnonzero(np.cumsum(inside[:-1]))
+    window = _windows(sizes, len(low), length, skip)
     if not len(window):
-        return empty
+        return _none()
+    ends = np.cumsum(sizes)
     anchor = (low[window] & _U(0xFFFFFF)).astype(np.int64)
     fresh = np.ones(len(window), bool)
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)
     first = np.flatnonzero(fresh)
     s0, s1, j = window[first], window[np.append(first[1:], len(window)) - 1], anchor[first]
     doc = np.searchsorted(ends, s0, "right")
-    ctx = mix(mix((sums[s1 + length] - sums[s0]) * inv[s0]) + ((s1 - s0) * 4096 + (j - s0)).astype(np.uint64))
-    return {"anchor": g[j], "ctx": ctx, "doc": doc, "start": s0 - (ends - sizes)[doc], "more": s1 - s0, "offset": j - s0}
+    return {"anchor": g[j], "doc": doc, "start": s0 - (ends - sizes)[doc], "more": s1 - s0, "offset": j - s0}
 
 
-def _long_runs(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
-    """Runs text by text, in pieces that overlap by a window; a run cut at a piece's end is two runs."""
-    step, parts = (1 << 23), []
+def strings(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, skip: tuple | None = None) -> dict[str, np.ndarray]:
+    """Long strings, in the form of ``runs``: anchor is the hash of the string, offset 0."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    if len(raw) < length:
+        return _none()
+    sums, inv = _prefix(raw)
+    n = len(raw) - gram + 1
+    marks = np.flatnonzero(mix((sums[gram:] - sums[:-gram]) * inv[:n]) & _U(MEAN - 1) == 0)
+    ends = np.cumsum(sizes)
+    begins, lasts = ends - sizes, ends - length
+    lo, hi = np.searchsorted(marks, begins, "right").tolist(), np.searchsorted(marks, lasts, "right").tolist()
+    starts, docs = [], []
+    for i in np.flatnonzero(sizes >= length).tolist():
+        last, end = int(begins[i]), int(lasts[i])
+        had = len(starts)
+        starts.append(last)
+        for c in (*marks[lo[i] : hi[i]].tolist(), end + 1):
+            while c - last > MOST:
+                last += MOST
+                starts.append(last)
+            if c - last >= LEAST and c <= end:
+                starts.append(c)
+                last = c
+        docs += [i] * (len(starts) - had)
+    if not starts:
+        return _none()
+    start, doc = np.array(starts), np.array(docs)
+    stop = np.append(start[1:], 0)
+    new = np.append(doc[1:] != doc[:-1], True)
+    stop[new] = lasts[doc[new]] + 1
+    size = stop - start + length - 1
+    key = mix((sums[start + size] - sums[start]) * inv[start] + size.astype(np.uint64))
+    return {"anchor": key, "doc": doc, "start": start - begins[doc], "more": stop - start - 1, "offset": np.zeros(len(start), np.int64)}
+
+
+def _groups_of_texts(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(index, where it begins, bytes) of texts, ``CHUNK`` bytes together; longer ones in pieces that overlap by a window."""
+    index, base, data, size = [], [], [], 0
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - length + 1), step):
-            r = runs([t[at : at + step + length - 1]], length, gram)
-            r["doc"] = np.full(len(r["start"]), i)
-            r["start"] = r["start"] + at
-            parts.append(r)
-    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-
-
-def _groups(anchor: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For arrays sorted by (anchor, ctx): which are first of their context, and contexts of each one's anchor."""
-    head = np.ones(len(anchor), bool)
-    head[1:] = anchor[1:] != anchor[:-1]
-    first = head.copy()
-    first[1:] |= ctx[1:] != ctx[:-1]
-    group = np.cumsum(head) - 1
-    return first, np.bincount(group, first)[group] if len(group) else np.empty(0)
-
-
-_MARK = "ord long, start int, more int, offset int, kind int, anchor long"
-_MARK_ARROW = pa.schema([("ord", pa.int64()), ("start", pa.int32()), ("more", pa.int32()), ("offset", pa.int32()), ("kind", pa.int32()), ("anchor", pa.int64())])
-REPEAT, DIFFERS, HOT_RUN = 0, 1, 2
-
-
-def _marks(ord_: np.ndarray, start: np.ndarray, more: np.ndarray, offset: np.ndarray, kind: int, anchor: np.ndarray) -> pa.RecordBatch:
-    n = len(ord_)
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in ((ord_, np.int64), (start, np.int32), (more, np.int32), (offset, np.int32), (np.full(n, kind), np.int32), (anchor.astype(np.uint64).view(np.int64), np.int64))], schema=_MARK_ARROW)
+        for at in range(0, max(1, len(t) - length + 1), CHUNK):
+            piece = t[at : at + CHUNK + length - 1]
+            index.append(i)
+            base.append(at)
+            data.append(piece)
+            size += len(piece)
+            if size >= CHUNK:
+                yield index, base, data
+                index, base, data, size = [], [], [], 0
+    if data:
+        yield index, base, data
+
+
+def _long_runs(texts: list[bytes], length: int, gram: int, gone: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, find: Callable = runs) -> dict[str, np.ndarray]:
+    """``find`` over texts of any length, in bounded pieces; a run cut at a piece's end is two runs.
+
+    ``gone``: (text, start, windows - 1) of windows to leave out, by text.
+    """
+    parts = [_none()]
+    for index, base, data in _groups_of_texts(texts, length):
+        skip = None
+        if gone is not None and len(gone[0]):
+            doc, start, more = [], [], []
+            lo, hi = np.searchsorted(gone[0], index, "left"), np.searchsorted(gone[0], index, "right")
+            for k, (a, z) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+                s, e = gone[1][a:z] - base[k], gone[1][a:z] + gone[2][a:z] - base[k]
+                s, e = np.maximum(s, 0), np.minimum(e, len(data[k]) - length)
+                ok = s <= e
+                doc.append(np.full(int(ok.sum()), k))
+                start.append(s[ok])
+                more.append((e - s)[ok])
+            skip = tuple(np.concatenate(x) for x in (doc, start, more))
+        r = find(data, length, gram, skip)
+        r["start"] = r["start"] + np.array(base)[r["doc"]]
+        r["doc"] = np.array(index)[r["doc"]]
+        parts.append(r)
+    return {k: np.concatenate([p[k] for p in parts]) for k, _ in _FIELDS}
 
 
 def _binary(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _find(texts: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """Marks of step 1 and 2: (ord, start, more, offset, kind, anchor)."""
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fields = ("anchor", "ctx", "ord", "start", "more", "offset")
+def _longs(names: list[str], *arrays: np.ndarray, step: int = 50_000) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(arrays[0]), step):
+        yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + step].astype(np.int64)) for a in arrays], names=names)
 
-    def send(b: pa.RecordBatch):
-        order = np.argsort(np.array(b.column(0).to_pylist(), np.int64), kind="stable")
-        ids = np.array(b.column(0).to_pylist(), np.int64)[order]
-        all_texts = _binary(b.column(1))
-        data = [all_texts[i] for i in order]
-        for lo, hi in chunks(data, 12_000_000):
-            r = runs(data[lo:hi], length, gram)
-            if not len(r["anchor"]):
-                continue
-            r["ord"] = ids[lo:hi][r.pop("doc")]
-            # runs are in order of (ord, start), so a stable sort keeps the earliest first
-            by = np.lexsort((r["ctx"], r["anchor"]))
-            r = {k: v[by] for k, v in r.items()}
-            first, contexts = _groups(r["anchor"], r["ctx"])
-            many = contexts > hot
-            go = first & ~many
-            part = (r["anchor"] >> _U(48)).astype(np.int64) % n
-            poison = np.unique(r["anchor"][many])
-            passing = {"repeat": ~first, "hot": first & many}
-            home = int(r["ctx"][0] % _U(n))  # marks only pass through: any range will do, another for each batch
-            for p in range(n):
-                at = np.flatnonzero(go & (part == p))
-                blob = {"runs": (_six(r["anchor"][at]), _six(r["ctx"][at]), *_table(r["ord"][at]), r["start"][at].astype(np.uint32), r["more"][at].astype(np.uint16), r["offset"][at].astype(np.uint16))}
-                if len(bad := poison[(poison >> _U(48)).astype(np.int64) % n == p]):
-                    blob["poison"] = bad & _LOW
-                if p == home:
-                    for k, m in passing.items():
-                        if m.any():
-                            blob[k] = tuple(r[f][m].astype(t) for f, t in (("ord", np.int64), ("start", np.uint32), ("more", np.uint16), ("offset", np.uint16), ("anchor", np.uint64)))
-                if len(at) or len(blob) > 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pickle.dumps(blob, 5)], pa.binary())], names=["part", "blob"])
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        poison: list[np.ndarray] = []
-        part = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                anchor, ctx = (np.concatenate([_eight(h[k]) for h in held]) for k in (0, 1))
-                ord_ = np.concatenate([h[3][h[2]] for h in held])
-                start, more, offset = (np.concatenate([h[k] for h in held]) for k in (4, 5, 6))
-                by = np.lexsort((start, ord_, ctx, anchor))
-                anchor, ctx, ord_, start, more, offset = (x[by] for x in (anchor, ctx, ord_, start, more, offset))
-                first, contexts = _groups(anchor, ctx)
-                burning = contexts > HOT_GROUP
-                if poison:
-                    burning |= np.isin(anchor, np.concatenate(poison))
-                for kind, m in ((REPEAT, ~first & ~burning), (DIFFERS, first & (contexts > 1) & ~burning), (HOT_RUN, burning)):
-                    if m.any():
-                        yield _marks(ord_[m], start[m], more[m], offset[m], kind, anchor[m])
-            held.clear()
-            poison.clear()
+def _listed(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row of each element, elements) of a list column."""
+    sizes = np.diff(column.offsets.to_numpy()) if column.null_count == 0 else np.array([len(x or ()) for x in column.to_pylist()], np.int64)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
 
-        for batch in batches:
-            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if p != part:
-                    yield from close()
-                    part = p
-                got = pickle.loads(blob)
-                held.append(got["runs"])
-                if "poison" in got:
-                    poison.append(got["poison"])
-                for kind, k in ((REPEAT, "repeat"), (HOT_RUN, "hot")):
-                    if k in got:
-                        yield _marks(*got[k][:4], kind, got[k][4] & _LOW)
-        yield from close()
 
-    sent = arrow_map(texts.select("ord", "text"), send, "part int, blob binary")
-    return sent.repartition(n, "part").sortWithinPartitions("part").mapInArrow(sort, _MARK)
+_MARK = "ord long, key long, place long"
 
 
-def _six(x: np.ndarray) -> np.ndarray:
-    """The low 48 bits, as planes of bytes."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T)
+def _shared(rows: DataFrame, length: int, gram: int, hot: int, find: Callable) -> DataFrame:
+    """Places of strings or runs whose key others share: (ord, key, place); kind PASSING if the key is hot.
 
+    ``rows``: (ord, text) and, if windows are to be left out, their places as ``gone``.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def _eight(planes: np.ndarray) -> np.ndarray:
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :6] = planes.T
-    return out.view("<u8").ravel()
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
+        def out() -> Iterator[pa.RecordBatch]:
+            key, ord_, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            by = np.argsort(key, kind="stable")
+            key, ord_, place = key[by], ord_[by], place[by]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(np.append(head, len(key)))
+            many = head[count > hot]
+            passing = np.repeat(count > hot, count)
+            yield from _longs(["ord", "key", "place"], ord_, key.view(np.int64), place | np.where(passing, PASSING, JUDGE))
+            yield from _longs(["ord", "key", "place"], np.zeros(len(many), np.int64), key[many].view(np.int64), np.full(len(many), POISON))
+
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            gone = None
+            if b.num_columns > 2:
+                owner, flat = _listed(b.column(2))
+                start, more, _, _ = unplaced(flat.to_numpy(zero_copy_only=False))
+                gone = (owner, start, more)
+            r = _long_runs(_binary(b.column(1)), length, gram, gone, find)
+            held.append((r["anchor"], ids[r["doc"]], place_of(r["start"], r["more"], r["offset"])))
+            size += len(r["doc"])
+            if size >= SEND:
+                yield from out()
+                size = 0
+        if size:
+            yield from out()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["ord", "key", "place"]
+
+        def close(ord_: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(key):
+                return
+            group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+            real = place & 15 == JUDGE
+            count = np.bincount(group, real)
+            burning = (np.bincount(group, ~real) > 0) | (count > HOT_GROUP)
+            go = real & ((count > 1) | burning)[group]
+            yield from _longs(names, ord_[go], key[go], place[go] | np.where(burning[group[go]], PASSING, JUDGE))
+
+        held = tuple(np.empty(0, np.int64) for _ in range(3))
+        for b in batches:
+            new = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
+            passing = new[2] & 15 == PASSING
+            yield from _longs(names, *(c[passing] for c in new))
+            ord_, key, place = (np.concatenate([h, c[~passing]]) for h, c in zip(held, new, strict=True))
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            yield from close(ord_[:cut], key[:cut], place[:cut])
+            held = ord_[cut:], key[cut:], place[cut:]
+            if len(held[0]) > HOT_GROUP:
+                real = held[2] & 15 == JUDGE
+                yield from _longs(names, held[0][real], held[1][real], held[2][real] | PASSING)
+                # whatever follows of this key is hot too
+                held = np.zeros(1, np.int64), held[1][:1], np.full(1, POISON)
+        yield from close(*held)
 
-def _table(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, index = np.unique(values, return_inverse=True)
-    return index.astype(np.uint16 if len(distinct) < 1 << 16 else np.uint32), distinct
+    sent = rows.mapInArrow(send, _MARK)
+    spread = F.when(F.col("place").bitwiseAND(F.lit(15)) == PASSING, F.xxhash64("ord", "place")).otherwise(F.col("key"))
+    return sent.repartition(n, spread).sortWithinPartitions("key").mapInArrow(judge, _MARK)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -273,6 +359,63 @@ def cover_ranks(text: np.ndarray, words: np.ndarray, blocks: tuple[int, ...]) ->
     return out
 
 
+def string_ranks(words: np.ndarray, at: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Rank of text[at : at + blocks * PERIOD] for each place of the cover in ``at``, among those of as many blocks.
+
+    As ``cover_ranks``, but only along the strings asked for, whose number of blocks may differ.
+    """
+    first = np.cumsum(blocks) - blocks
+    total = int(blocks.sum())
+    if not total:
+        return np.zeros(len(at), np.int64)
+    p = np.repeat(at - first * PERIOD, blocks) + np.arange(total) * PERIOD
+    _, high = np.unique(words[p], return_inverse=True)
+    _, low = np.unique(words[p + 8], return_inverse=True)
+    rank = _pair(high, low) + 1
+    left = blocks
+    while left.max() > 1:
+        half = (left + 1) // 2
+        at0 = np.cumsum(left) - left
+        to0 = np.cumsum(half) - half
+        k = np.arange(int(half.sum())) - np.repeat(to0, half)
+        one = np.repeat(at0, half) + 2 * k
+        paired = 2 * k + 1 < np.repeat(left, half)
+        two = np.where(paired, rank[np.minimum(one + 1, len(rank) - 1)], 0)
+        rank, left = _pair(rank[one], two) + 1, half
+    out = np.zeros(len(at), np.int64)
+    out[blocks > 0] = rank
+    return out
+
+
+class _Laid:
+    """Strings laid out for sorting, anchors at multiples of PERIOD, so that equal windows see the cover alike."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, offset: np.ndarray, length: int):
+        lead = (-offset) % PERIOD
+        slot = (lead + sizes + PERIOD - 1) // PERIOD * PERIOD
+        self.base, self.sizes = np.cumsum(slot) - slot + lead, sizes
+        self.text = np.zeros(int(slot.sum()) + length + 3 * PERIOD, np.uint8)
+        self.text[np.arange(len(flat)) + np.repeat(self.base - (np.cumsum(sizes) - sizes), sizes)] = flat
+        self.words = np.ndarray((len(self.text) - 8,), ">u8", self.text.tobytes(), strides=(1,))
+
+
+def equal_strings(bucket: np.ndarray, flat: np.ndarray, sizes: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Which strings equal an earlier one of their bucket; ``bucket`` ranks them, and equal ones have equal offsets."""
+    laid = _Laid(flat, sizes, offset, PERIOD)
+    p, end = laid.base, laid.base + sizes - PERIOD
+    delta = _DELTA[p % PERIOD]
+    rank = string_ranks(laid.words, p + delta, (sizes - delta) // PERIOD)
+    cols = [laid.words[p], laid.words[p + 8], laid.words[end], laid.words[end + 8]]
+    by = np.lexsort((np.arange(len(p)), cols[3], cols[2], rank, cols[1], cols[0], sizes, bucket))
+    same = np.ones(len(by) - 1, bool)
+    for c in (bucket, sizes, rank, *cols):
+        s = c[by]
+        same &= s[1:] == s[:-1]
+    out = np.zeros(len(p), bool)
+    out[by[1:][same]] = True
+    return out
+
+
 def repeated_windows(bucket: np.ndarray, contexts: list[bytes], offset: np.ndarray, order: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(context, window in it) of every window equal to an earlier one of its bucket.
 
@@ -280,14 +423,8 @@ def repeated_windows(bucket: np.ndarray, contexts: list[bytes], offset: np.ndarr
     windows of equal text in one document differ in it too.
     """
     sizes = np.array([len(c) for c in contexts])
-    # anchors stand at multiples of PERIOD, so that equal windows see the cover alike
-    lead = (-offset) % PERIOD
-    slot = (lead + sizes + PERIOD - 1) // PERIOD * PERIOD
-    base = np.cumsum(slot) - slot + lead
-    text = np.zeros(int(slot.sum()) + length + 3 * PERIOD, np.uint8)
-    flat = np.frombuffer(b"".join(contexts), np.uint8)
-    text[np.arange(len(flat)) + np.repeat(base - (np.cumsum(sizes) - sizes), sizes)] = flat
-    words = np.ndarray((len(text) - 8,), ">u8", text.tobytes(), strides=(1,))
+    laid = _Laid(np.frombuffer(b"".join(contexts), np.uint8), sizes, offset, length)
+    text, words, base = laid.text, laid.words, laid.base
     usable = len(text) - 2 * PERIOD
     n = sizes - length + 1
     ctx = np.repeat(np.arange(len(contexts)), n)
@@ -313,89 +450,161 @@ def repeated_windows(bucket: np.ndarray, contexts: list[bytes], offset: np.ndarr
     return ctx[at], w[at]
 
 
-def _resolve(docs: DataFrame, text: str, marks: DataFrame, length: int) -> DataFrame:
-    """Step 3: repeats among runs whose contexts differ or whose anchor is hot: (ord, start, more)."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = marks.filter(F.col("kind") != REPEAT).groupBy("ord").agg(F.collect_list(F.struct("start", "more", "offset", "kind", "anchor")).alias("at"))
-    found = docs.join(wanted.hint("shuffle_hash"), "ord").select("ord", text, "at", *[c for c in docs.columns if c not in ("ord", text)])
-    names = ["bucket", "ord", "start", "offset", "ctx"]
-
-    def cut(b: pa.RecordBatch):
-        seen: dict[bytes, tuple] = {}
-        rows: list[tuple] = []
-        by = sorted(range(b.num_rows), key=b.column(0).to_pylist().__getitem__)
-        ords, texts_, ats = b.column(0).to_pylist(), _binary(b.column(1)), b.column(2).to_pylist()
-        for i in by:
-            t = texts_[i]
-            for a in sorted(ats[i], key=lambda a: a["start"]):
-                s, e = a["start"], a["start"] + a["more"]
-                if a["kind"] == DIFFERS:
-                    rows.append((a["anchor"], ords[i], s, a["offset"], t[s : e + length]))
-                    continue
-                for w in range(s, e + 1):
-                    one = t[w : w + length]
-                    if one in seen:
-                        rows.append((0, ords[i], w, 0, None))
-                    else:
-                        seen[one] = ()
-                        # one window a row, in a bucket of its content
-                        rows.append((hash_window(one, a["anchor"]), ords[i], w, 0, one))
-            if len(rows) > 20_000:
-                yield _rows(rows, names)
-                rows = []
-        if rows:
-            yield _rows(rows, names)
+_STRING = "bucket long, ord long, place long, data binary"
+
+
+class _Cutter:
+    """Takes strings from documents in order, leaves out those it has just seen, and breaks up hot ones."""
+
+    def __init__(self, length: int, windows: bool):
+        self.length, self.windows = length, windows
+        self.seen: set[bytes] = set()
+        self.weight = 0
+        self.rows: tuple[list, list, list, list] = ([], [], [], [])
+        self.size = 0
+
+    def new(self, s: bytes) -> bool:
+        if s in self.seen:
+            return False
+        if self.weight > SEEN_BYTES:
+            self.forget()
+        self.seen.add(s)
+        self.weight += len(s) + 80
+        return True
+
+    def forget(self) -> None:
+        self.seen.clear()
+        self.weight = 0
+
+    def put(self, bucket: int, ord_: int, place: int, data: bytes | None) -> None:
+        for c, x in zip(self.rows, (bucket, ord_, place, data), strict=True):
+            c.append(x)
+        self.size += len(data or b"")
+
+    def take(self, ord_: int, text: bytes, keys: list[int], places: list[int]) -> None:
+        for key, place in zip(keys, places, strict=True):
+            start, more = place >> 28, place >> 14 & 0x3FFF
+            s = text[start : start + more + self.length]
+            if not self.new(s):
+                self.put(0, ord_, start << 28 | more << 14, None)
+            elif place & 15 == PASSING and self.windows:
+                known = -1
+                for w in range(start, start + more + 2):
+                    one = text[w : w + self.length] if w <= start + more else None
+                    if one is not None and len(s) > self.length and not self.new(one):
+                        known = w if known < 0 else known
+                        continue
+                    if known >= 0:
+                        self.put(0, ord_, known << 28 | (w - 1 - known) << 14, None)
+                        known = -1
+                    if one is not None:
+                        self.put(_content(one), ord_, w << 28, one)
+            else:
+                self.put(key, ord_, place, s)
+
+    def ready(self) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.rows, types, strict=True)], names=["bucket", "ord", "place", "data"])
+        self.rows, self.size = ([], [], [], []), 0
+        return out
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def close() -> pa.RecordBatch:
-            bucket = np.unique(np.array([r[0] for r in held], np.int64), return_inverse=True)[1]
-            ord_, start = np.array([r[1] for r in held], np.int64), np.array([r[2] for r in held], np.int64)
-            order = np.empty(len(held), np.int64)
-            order[np.lexsort((start, ord_))] = np.arange(len(held))
-            ctx, w = repeated_windows(bucket, [r[4] for r in held], np.array([r[3] for r in held], np.int64), order, length)
+
+def _content(window: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+
+
+def _sorted_repeats(bucket: np.ndarray, ord_: np.ndarray, place: np.ndarray, data: pa.Array, length: int, windows: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ord, place) of the repeats in whole buckets, in order of (bucket, ord, place); and which strings are new."""
+    start, more, offset, _ = unplaced(place)
+    rank = np.cumsum(np.concatenate([[0], bucket[1:] != bucket[:-1]]))
+    sizes = more + length
+    flat = np.frombuffer(data.buffers()[2], np.uint8)[np.frombuffer(data.buffers()[1], np.int32)[data.offset] :][: int(sizes.sum())]
+    again = equal_strings(rank, flat, sizes, offset)
+    new = ~again
+    out_ord, out_place = [ord_[again]], [place_of(start[again], more[again])]
+    if windows:
+        several = new & (np.bincount(rank, new) > 1)[rank]
+        at = np.flatnonzero(several)
+        if len(at):
+            ctx, w = repeated_windows(rank[at], [data[i].as_py() for i in at.tolist()], offset[at], np.arange(len(at)), length)
             by = np.lexsort((w, ctx))
             ctx, w = ctx[by], w[by]
             fresh = np.ones(len(ctx), bool)
             fresh[1:] = (ctx[1:] != ctx[:-1]) | (w[1:] != w[:-1] + 1)
             first = np.flatnonzero(fresh)
             last = np.append(first[1:], len(ctx)) - 1 if len(first) else first
-            held.clear()
-            c = ctx[first]
-            return _ranges(ord_[c], start[c] + w[first], w[last] - w[first])
-
-        for b in batches:
-            rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
-            at = [r for r in rows if r[4] is None]
-            if at:
-                yield _ranges(np.array([r[1] for r in at]), np.array([r[2] for r in at]), np.zeros(len(at), np.int64))
-            for r in rows:
-                if r[4] is None:
-                    continue
-                if len(held) >= BLOCK and r[0] != held[-1][0]:
-                    yield close()
-                held.append(r)
-        if held:
-            yield close()
-
-    cuts = arrow_map(found, cut, "bucket long, ord long, start int, offset int, ctx binary")
-    return cuts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "ord long, start int, more int")
-
+            c = at[ctx[first]]
+            out_ord.append(ord_[c])
+            out_place.append(place_of(start[c] + w[first], w[last] - w[first]))
+    return np.concatenate(out_ord), np.concatenate(out_place), new
 
-def hash_window(window: bytes, anchor: int) -> int:
-    import hashlib
 
-    return int.from_bytes(hashlib.blake2b(window + anchor.to_bytes(8, "little", signed=True), digest_size=8).digest(), "little", signed=True)
+def _resolve(dealt: DataFrame, text: str, marks: DataFrame, length: int, windows: bool) -> DataFrame:
+    """Repeats among the strings at ``marks``: (ord, place). With ``windows``, those inside of different strings too."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = marks.groupBy("ord").agg(F.collect_list(F.struct("key", "place")).alias("at"))
+    found = dealt.select("ord", text).join(wanted.hint("shuffle_hash"), "ord").select("ord", text, "at")
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, last = _Cutter(length, windows), None
+        for b in batches:
+            ords, texts = b.column(0).to_pylist(), _binary(b.column(1))
+            ends = b.column(2).offsets.to_numpy() - b.column(2).offsets[0].as_py()
+            flat = b.column(2).flatten()
+            key, place = flat.field("key").to_numpy(zero_copy_only=False), flat.field("place").to_numpy(zero_copy_only=False)
+            for i in sorted(range(len(ords)), key=ords.__getitem__):
+                if last is not None and ords[i] < last:
+                    cutter.forget()  # what was seen does not come earlier
+                last = ords[i]
+                by = np.argsort(place[ends[i] : ends[i + 1]], kind="stable") + ends[i]
+                cutter.take(ords[i], texts[i], key[by].tolist(), place[by].tolist())
+                if cutter.size > BLOCK_BYTES or len(cutter.rows[0]) > BLOCK:
+                    yield cutter.ready()
+        if cutter.rows[0]:
+            yield cutter.ready()
 
-def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
+
+        def close(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal rows, size
+            whole = pa.Table.from_batches(held).combine_chunks()
+            bucket, ord_, place = (whole.column(i).to_numpy() for i in range(3))
+            data = whole.column(3).chunk(0)
+            held.clear()
+            rows = size = 0
+            cut_at = len(bucket) if final else int(np.searchsorted(bucket, bucket[-1], "left"))
+            if cut_at:
+                o, p, _ = _sorted_repeats(bucket[:cut_at], ord_[:cut_at], place[:cut_at], data.slice(0, cut_at), length, windows)
+                yield from _longs(["ord", "place"], o, p)
+            if cut_at < len(bucket):
+                # the last bucket goes on: only its different strings are kept
+                o, p, new = _sorted_repeats(bucket[cut_at:], ord_[cut_at:], place[cut_at:], data.slice(cut_at), length, False)
+                yield from _longs(["ord", "place"], o, p)
+                rest = whole.slice(cut_at).filter(pa.array(new)).combine_chunks().to_batches()
+                held.extend(rest)
+                size = 0  # counts what came since: different strings of a bucket are few (HOT_GROUP)
 
+        for b in batches:
+            decided = pa.compute.is_null(b.column(3))
+            done = b.filter(decided)
+            if done.num_rows:
+                yield from _longs(["ord", "place"], done.column(1).to_numpy(zero_copy_only=False), done.column(2).to_numpy(zero_copy_only=False))
+            b = b.filter(pa.compute.invert(decided))
+            step = max(1, min(BLOCK, BLOCK_BYTES // max(1, b.column(3).nbytes // max(1, b.num_rows))))
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                held.append(part)
+                rows += part.num_rows
+                size += part.column(3).nbytes
+                if rows >= BLOCK or size >= BLOCK_BYTES:
+                    yield from close(False)
+        if held:
+            yield from close(True)
 
-def _ranges(ord_: np.ndarray, start: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ord_.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(more.astype(np.int32))], names=["ord", "start", "more"])
+    spread = F.when(F.col("data").isNull(), F.xxhash64("ord", "place")).otherwise(F.col("bucket"))
+    return found.mapInArrow(cut, _STRING).repartition(n, spread).sortWithinPartitions("bucket", "ord", "place").mapInArrow(sort, "ord long, place long")
 
 
 def spans_of(start: np.ndarray, more: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -416,12 +625,30 @@ def _keyed(docs: DataFrame, doc: Column, text: Column) -> tuple[DataFrame, bool]
         return docs.withColumn("ord", doc), False
     tie = F.xxhash64(text)
     pairs = docs.select(doc.alias("d"), tie.alias("t")).distinct()
-    ranked = pairs.withColumn("ord", F.row_number().over(Window.orderBy(F.col("d").asc_nulls_last(), "t")).cast("long"))
+    # a sort by ranges: numbers ascend from one partition to the next, and are written before they are used
+    ranked = written(pairs.orderBy(F.col("d").asc_nulls_last(), "t").withColumn("ord", F.monotonically_increasing_id()))
     return docs.withColumn("u", tie).join(ranked, doc.eqNullSafe(F.col("d")) & (F.col("u") == F.col("t"))).drop("u", "d", "t"), True
 
 
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """``keyed`` as a table in the shared folder, bucketed and sorted by ord."""
+    spark = keyed.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"grapheion_{uuid.uuid4().hex}"
+    keyed.repartition(n, "ord").write.format("parquet").option("path", shared_dir(spark)).option("compression", "zstd").bucketBy(n, "ord").sortBy("ord").saveAsTable(name)
+    atexit.register(_forget, spark, name)
+    return spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session may be gone when the interpreter ends
+        return
+
+
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs' columns as c0, c1, ... (null texts empty), and at: the repeated windows, array of (start, more) or null."""
+    """docs' columns as c0, c1, ... (null texts empty), and at: places of the repeated windows, or null."""
     spark = docs.sparkSession
     ship(spark)
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -429,21 +656,21 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     doc = F.col(f"c{docs.columns.index('doc_id')}").cast("long")
     t = f"c{docs.columns.index('text')}"
     keyed, repeats = _keyed(inner.withColumn(t, F.coalesce(F.col(t).cast("string"), F.lit(""))), doc, F.col(t))
-    texts = keyed.select("ord", F.col(t).alias("text"))
-    marks = written(_find(texts.dropDuplicates(["ord"]) if repeats else texts, length, gram, hot))
-    # both joins below read this one shuffle of the documents, so both ask for the same columns
-    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ord")
-    once = dealt.dropDuplicates(["ord"]) if repeats else dealt
-    gone = marks.filter(F.col("kind") == REPEAT).select("ord", "start", "more").unionByName(_resolve(once, t, marks, length))
-    at = gone.groupBy("ord").agg(F.collect_list(F.struct("start", "more")).alias("at"))
-    return dealt.join(at.hint("shuffle_hash"), "ord", "left").select(*own, "at")
+    dealt = _dealt(keyed)
+    once = dealt.select("ord", t).dropDuplicates(["ord"]) if repeats else dealt
+    places = lambda df, name: df.groupBy("ord").agg(F.collect_list("place").alias(name)).hint("shuffle_hash")
+    long_ones = written(_resolve(once, t, _shared(once.select("ord", t), length, gram, hot, strings), length, windows=False))
+    rest = once.join(places(long_ones, "gone"), "ord", "left").select("ord", t, F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))
+    short_ones = _resolve(once, t, _shared(rest, length, gram, hot, runs), length, windows=True)
+    return dealt.join(places(long_ones.unionByName(short_ones), "at"), "ord", "left").select(*own, "at")
 
 
 def _cut(text: bytes, at: list | None, length: int) -> tuple[bytes, int, int, list]:
     """(what is left, removed bytes, spans, span bounds)"""
     if not at:
         return text, 0, 0, []
-    a, z = spans_of(np.array([r["start"] for r in at]), np.array([r["more"] for r in at]), length)
+    start, more, _, _ = unplaced(np.array(at, np.int64))
+    a, z = spans_of(start, more, length)
     bounds = list(zip(a.tolist(), z.tolist(), strict=True))
     keep, last = [], 0
     for x, y in bounds:
