@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a worker; bounds Python memory whatever the Arrow batch holds.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 #: Most rows Spark hands to a worker at once; whole documents make wide rows.
 BATCH_ROWS = 2_000
 

@@ -10,7 +10,7 @@ components of the links.
    minwise tokens; classes on equal paths meet in a node. A pair of similarity s
    meets in a tree with probability s**DEPTH, so at 0.8 all trees together find
    it with 1 - (1 - 0.8**3)**10 > 0.999.
-3. A node of more than ``NODE_CLASSES`` classes is branched: each class goes to two
+3. A node of more than ``NODE_CLASSES`` classes, or ``NODE_SHINGLES`` shingles, is branched: each class goes to two
    children, by two minwise tokens that no node above it was made by (each tree and
    level has its own). A node half of whose members agree on such a token is
    dense: branching would hardly make it smaller, so it is dealt over blocks of
@@ -54,8 +54,10 @@ SHINGLE_WORDS = 4
 PERCENT = 80
 TREES = 10
 DEPTH = 3
-#: Larger nodes are branched or dealt over blocks.
-NODE_CLASSES = 1000
+#: Larger nodes are branched or dealt over blocks: classes, and shingles of their sets.
+NODE_CLASSES, NODE_SHINGLES = 1000, 1_000_000
+#: Bytes of sets that leave a worker together.
+SEND_BYTES = 4_000_000
 #: Levels of branching below a tree's first node.
 LEVELS = 4
 #: Further minwise tokens of each tree for branching, two a level.
@@ -125,39 +127,45 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
 def nodes(classes: DataFrame) -> DataFrame:
     """(path, block, blocks, cls) of every node of two or more classes, nodes of equal members once.
 
-    ``classes``: (cls, paths, extra), one row a class; ``extra`` holds ``EXTRA`` tokens for each path.
+    ``classes``: (cls, paths, extra) and size if known, one row a class; ``extra`` holds ``EXTRA`` tokens for each path.
     """
-    rows = classes.select("cls", "extra", F.posexplode("paths").alias("tree", "path"))
-    rows = rows.select("cls", F.slice("extra", F.col("tree") * EXTRA + 1, F.lit(EXTRA)).alias("extra"), "path")
+    if "size" not in classes.columns:
+        classes = classes.withColumn("size", F.lit(1).cast("long"))
+    rows = classes.select("cls", "size", "extra", F.posexplode("paths").alias("tree", "path"))
+    rows = rows.select("cls", "size", F.slice("extra", F.col("tree") * EXTRA + 1, F.lit(EXTRA)).alias("extra"), "path")
     done = []
     for level in range(LEVELS + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("n"), _blocks().alias("blocks")).filter("n > 1")
         rows = written(rows.join(sizes, "path"))
-        done.append(rows.filter(F.col("n") <= NODE_CLASSES).select("path", "cls", "n"))
-        large = rows.filter(F.col("n") > NODE_CLASSES)
+        done.append(rows.filter("blocks = 1").select("path", "cls", "n", "blocks"))
+        large = rows.filter("blocks > 1")
         if large.limit(1).count() == 0:
             break
         if level == LEVELS:
-            done.append(large.select("path", "cls", "n"))
+            done.append(large.select("path", "cls", "n", "blocks"))
             break
         token = lambda k: F.element_at("extra", 2 * level + 1 + k)  # noqa: B023, E731
         first = large.withColumn("token", token(0))
         # a node is dense if one token holds half of it: counted, never gathered
         top = first.groupBy("path", "token").agg(F.count("*").alias("m"), F.max("n").alias("n")).groupBy("path").agg((F.max("m") >= DENSE * F.max("n")).alias("dense"))
         large = written(first.join(top, "path"))
-        done.append(large.filter("dense").select("path", "cls", "n"))
+        done.append(large.filter("dense").select("path", "cls", "n", "blocks"))
         more = large.filter("not dense")
         if more.limit(1).count() == 0:
             break
         child = lambda k: F.xxhash64("path", token(k), F.lit(k))
-        rows = more.select("cls", "extra", F.explode(F.array(child(0), child(1))).alias("path"))
+        rows = more.select("cls", "size", "extra", F.explode(F.array(child(0), child(1))).alias("path"))
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
     same = found.groupBy("path").agg(F.max("n").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("xor"))
     once = same.groupBy("n", "sum", "xor").agg(F.min("path").alias("path")).select("path")
-    blocks = F.ceil(F.col("n") / NODE_CLASSES).cast("int")
-    return found.join(once, "path").select("path", blocks.alias("blocks"), F.pmod(F.xxhash64("cls", "path"), blocks).cast("int").alias("block"), "cls")
+    return found.join(once, "path").select("path", "blocks", F.pmod(F.xxhash64("cls", "path"), F.col("blocks")).cast("int").alias("block"), "cls")
+
+
+def _blocks() -> Column:
+    """Blocks over which a node is dealt, from its classes and their sizes."""
+    return F.greatest(F.ceil(F.count("*") / NODE_CLASSES), F.ceil(F.sum("size") / NODE_SHINGLES)).cast("int")
 
 
 class _Group:
@@ -226,14 +234,24 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
             sizes, sets = shingle_sets(texts[lo:hi], width)
             cls = _class_of(sets, sizes).tolist()
             ends = np.cumsum(sizes).tolist()
-            rows = []
+            rows, weight = [], 0
+
+            def out(rows: list[tuple]) -> pa.RecordBatch:
+                *keys, d = zip(*rows, strict=True)
+                return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(keys, types, strict=True)], pa.array(d, pa.binary())], names=[*names, "data"])
+
             for i, at in enumerate(ats[lo:hi]):
                 data = sets[ends[i] - int(sizes[i]) : ends[i]].tobytes()
-                # rows that repeat a doc_id with another text are of another class
-                rows += [(*(a[n] for n in names), data) for a in at if a["cls"] == cls[i]]
-            for k in range(0, len(rows), 500):
-                *keys, d = zip(*rows[k : k + 500], strict=True)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(keys, types, strict=True)], pa.array(d, pa.binary())], names=[*names, "data"])
+                for a in at:
+                    # rows that repeat a doc_id with another text are of another class
+                    if a["cls"] == cls[i]:
+                        rows.append((*(a[n] for n in names), data))
+                        weight += len(data)
+                        if weight > SEND_BYTES:
+                            yield out(rows)
+                            rows, weight = [], 0
+            if rows:
+                yield out(rows)
 
     return arrow_map(read, spread, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", data binary")
 
@@ -391,9 +409,9 @@ def judged(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT)
     ship(docs.sparkSession)
     signed = written(signatures(docs, width))
     # equal sets: least id, and the paths, which are the same for all of them
-    classes = written(signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("label"), F.first("paths").alias("paths"), F.first("extra").alias("extra")))
-    reader = classes.filter("label is not null").select("cls", F.col("label").alias("doc_id"))
-    members = written(nodes(classes.filter("label is not null").select("cls", "paths", "extra")).join(reader, "cls"))
+    classes = written(signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("size"), F.first("paths").alias("paths"), F.first("extra").alias("extra")))
+    reader = classes.filter("label is not null").select("cls", F.col("label").alias("doc_id"), "size")
+    members = written(nodes(classes.filter("label is not null").select("cls", "size", "paths", "extra")).join(reader, "cls"))
     found = written(compare(docs, members, width, percent))
     links = found.filter("b is not null").select("a", "b")
     for salt in range(PIVOT_ROUNDS):
@@ -401,10 +419,10 @@ def judged(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT)
         pivots = found.filter("b is null").select(F.col("a").alias("cls"), "path").distinct()
         if pivots.limit(1).count() == 0:
             break
-        blocks = F.ceil(F.col("n") / NODE_CLASSES).cast("int")
-        sizes = pivots.groupBy("path").agg(F.count("*").alias("n"))
-        again = pivots.join(sizes, "path").filter("n > 1").select("cls", "path", blocks.alias("blocks"), F.pmod(F.xxhash64("cls", F.lit(salt)), blocks).cast("int").alias("block"))
-        found = written(compare(docs, again.join(reader, "cls"), width, percent))
+        pivots = pivots.join(reader, "cls")
+        sizes = pivots.groupBy("path").agg(F.count("*").alias("n"), _blocks().alias("blocks")).filter("n > 1")
+        again = pivots.join(sizes, "path").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(salt)), F.col("blocks")).cast("int"))
+        found = written(compare(docs, again, width, percent))
         links = links.unionByName(found.filter("b is not null").select("a", "b"))
     labelled = written(components(classes.select("cls", "label"), links))
     if members.filter("blocks > 1").limit(1).count():
