@@ -381,8 +381,13 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
 
     ``vertices``: (cls, label) with distinct cls; ``links``: (a, b). Every round takes the least
     label of the neighbours, then follows the label's owner once; null labels rank last.
+    Before, each b keeps its least a only, to which its other a are linked instead: the links
+    that every tree has found to some pivot shrink to one a class.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    links = links.select("a", "b").filter("a <> b").distinct()
+    led = links.join(links.groupBy("b").agg(F.min("a").alias("lead")), "b")
+    links = written(led.select(F.col("lead").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct())
+    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     touched = written(vertices.join(both.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").withColumn("root", F.col("cls")))
     # a component is labelled by its least (label, root); root leads to the vertex that owns the label
     rank = F.struct(F.col("label").isNull().alias("none"), "label", "root")
