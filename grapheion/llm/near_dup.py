@@ -10,12 +10,13 @@ components of the links.
    minwise tokens; classes on equal paths meet in a node. A pair of similarity s
    meets in a tree with probability s**DEPTH, so at 0.8 all trees together find
    it with 1 - (1 - 0.8**3)**10 > 0.999.
-3. A node of more than ``NODE_CLASSES`` classes, or ``NODE_SHINGLES`` shingles, is branched: each class goes to two
-   children, by two minwise tokens that no node above it was made by (each tree and
-   level has its own). A node half of whose members agree on such a token is
-   dense: branching would hardly make it smaller, so it is dealt over blocks of
-   bounded size, as is what is left after the last level. As dealt nodes are
-   finished exactly, this decides on cost only.
+3. A node of more than ``NODE_CLASSES`` classes, or ``NODE_SHINGLES`` shingles, is branched:
+   each class goes to ``CHILDREN`` children, by minwise tokens that no node above
+   was made by. At similarity 0.8 a pair stays together in one of three children
+   with probability above 0.99. A node most of whose members agree on each of these
+   tokens is dense: branching would hardly make it smaller, so it is dealt over
+   blocks of bounded size, as is what is left after the last level. As dealt
+   nodes are finished exactly, this decides on cost only.
 4. Nodes with equal members are compared once. In a node a pivot is compared
    with all others on full sets; those linked to it leave the node. By the
    triangle inequality of the Jaccard distance only members at 0.6 or more to the
@@ -23,13 +24,14 @@ components of the links.
    until a link is found. So a node's components are exact without all pairs.
 5. Pivots of a dealt node meet again a few times, which joins large groups of near
    copies cheaply. Then every dealt node that still holds several components is
-   finished exactly: each pair of its blocks meets, and members of different
-   components are compared on full sets.
+   finished exactly: all members but those of its largest component visit every
+   other block and are compared with its members of other components on full sets.
 6. Components by least-label propagation with pointer jumping over written
    tables.
 
-Sets never leave the worker except towards nodes of two or more classes; texts
-are shuffled once, to the classes that meet another.
+Sets never leave the worker except towards nodes of two or more classes. All texts
+are shuffled once; those of classes that meet another are then kept as a table of
+their own, from which every comparison reads.
 
 Defined cases: null or empty text has an empty set and is linked with nothing;
 texts under four words are one shingle of all words; repeated rows are copies of
@@ -58,16 +60,16 @@ DEPTH = 3
 NODE_CLASSES, NODE_SHINGLES = 1000, 1_000_000
 #: Bytes of sets that leave a worker together.
 SEND_BYTES = 4_000_000
-#: Levels of branching below a tree's first node.
-LEVELS = 4
-#: Further minwise tokens of each tree for branching, two a level.
-EXTRA = 2 * LEVELS
+#: Levels of branching below a tree's first node, and children of a member at each.
+LEVELS, CHILDREN = 12, 3
+#: Further minwise tokens of each tree for branching.
+EXTRA = 8
 #: Ways in which the rows of one large component are dealt.
 SALTS = 8
 #: Meetings of the pivots of dealt nodes before these are finished exactly.
 PIVOT_ROUNDS = 3
-#: Share of a node that agrees on a token from which it counts as dense.
-DENSE = 0.5
+#: Share of a node that agrees on each of its tokens from which it counts as dense.
+DENSE = 0.6
 
 _SEEDS = np.random.Generator(np.random.PCG64(9)).integers(1, 1 << 63, 2 * TREES * (DEPTH + EXTRA), dtype=np.uint64)
 
@@ -131,8 +133,7 @@ def nodes(classes: DataFrame) -> DataFrame:
     """
     if "size" not in classes.columns:
         classes = classes.withColumn("size", F.lit(1).cast("long"))
-    rows = classes.select("cls", "size", "extra", F.posexplode("paths").alias("tree", "path"))
-    rows = rows.select("cls", "size", F.slice("extra", F.col("tree") * EXTRA + 1, F.lit(EXTRA)).alias("extra"), "path")
+    rows = classes.select("cls", "size", F.posexplode("paths").alias("tree", "path"))
     done = []
     for level in range(LEVELS + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n"), _blocks().alias("blocks")).filter("n > 1")
@@ -144,17 +145,21 @@ def nodes(classes: DataFrame) -> DataFrame:
         if level == LEVELS:
             done.append(large.select("path", "cls", "n", "blocks"))
             break
-        token = lambda k: F.element_at("extra", 2 * level + 1 + k)  # noqa: B023, E731
-        first = large.withColumn("token", token(0))
-        # a node is dense if one token holds half of it: counted, never gathered
-        top = first.groupBy("path", "token").agg(F.count("*").alias("m"), F.max("n").alias("n")).groupBy("path").agg((F.max("m") >= DENSE * F.max("n")).alias("dense"))
-        large = written(first.join(top, "path"))
+        # only members of large nodes carry tokens: their tree's own first, then those of the next trees
+        token = lambda k: F.element_at("extra", F.pmod(F.col("tree") * EXTRA + CHILDREN * level + k, F.size("extra")) + 1)  # noqa: B023, E731
+        tokens = F.array(*[token(k) for k in range(CHILDREN)])
+        large = written(large.join(classes.select("cls", "extra"), "cls").select("path", "cls", "size", "tree", "n", "blocks", tokens.alias("tokens")))
+        # a node is dense if each token has a value that most of it holds: counted, never gathered
+        held = large.select("path", "n", F.posexplode("tokens").alias("k", "token")).groupBy("path", "n", "k", "token").agg(F.count("*").alias("m"))
+        most = held.groupBy("path", "n", "k").agg(F.max("m").alias("m"))
+        dense = most.groupBy("path").agg((F.min("m") >= DENSE * F.max("n")).alias("dense"))
+        large = written(large.join(dense, "path"))
         done.append(large.filter("dense").select("path", "cls", "n", "blocks"))
         more = large.filter("not dense")
         if more.limit(1).count() == 0:
             break
-        child = lambda k: F.xxhash64("path", token(k), F.lit(k))
-        rows = more.select("cls", "size", "extra", F.explode(F.array(child(0), child(1))).alias("path"))
+        child = F.explode(F.transform("tokens", lambda t, k: F.xxhash64("path", t, k)))
+        rows = more.select("cls", "size", "tree", child.alias("path"))
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
@@ -226,7 +231,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     names = [f.name for f in fields]
     types = [pa.int64() if f.dataType.simpleString() == "bigint" else pa.int32() for f in fields]
     wanted = members.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("at"))
-    read = texts_of(docs).join(wanted, "doc_id")
+    read = texts_of(docs).join(wanted.hint("merge"), "doc_id")
 
     def spread(b: pa.RecordBatch):
         ats, texts = b.column(2).to_pylist(), _binary(b.column(1))
@@ -324,15 +329,16 @@ class _Index:
 def finish(docs: DataFrame, members: DataFrame, roots: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): what connects members of different blocks of a dealt node that ``roots`` (cls, root) leaves apart.
 
-    Each pair of blocks meets in a task's group: one block is indexed, the other streams past it.
-    Pairs within a block have been compared before. A node of one component is left out.
+    Members outside of the node's largest component visit every block but their own, whose pairs
+    have been compared before. Nothing else is copied, and a node of one component is left out.
     """
     dealt = members.filter("blocks > 1").join(roots, "cls")
-    several = dealt.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("path")
+    parts = dealt.groupBy("path", "root").agg(F.count("*").alias("m"))
+    largest = parts.groupBy("path").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    dealt = dealt.join(largest, "path").withColumn("side", F.lit(0))
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")))
-    pairs = dealt.join(several, "path").withColumn("other", other)
-    pairs = pairs.select("doc_id", "path", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cls", "root")
-    met = _with_sets(docs, pairs, width)
+    visits = dealt.filter("root <> main").withColumn("side", F.lit(1)).withColumn("block", other)
+    met = _with_sets(docs, dealt.unionByName(visits).select("doc_id", "path", "block", "side", "cls", "root"), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block, index, top, out = None, [], None, {}, []
@@ -343,9 +349,9 @@ def finish(docs: DataFrame, members: DataFrame, roots: DataFrame, width: int = S
             return r
 
         for batch in batches:
-            for p, one, two, side, c, root, data in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if (p, one, two) != key:
-                    key, block, index, top = (p, one, two), [], None, {}
+            for p, bl, side, c, root, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (p, bl) != key:
+                    key, block, index, top = (p, bl), [], None, {}
                 tokens = np.frombuffer(data, np.uint64)
                 if side == 0:
                     block.append((c, root, tokens))
@@ -366,7 +372,7 @@ def finish(docs: DataFrame, members: DataFrame, roots: DataFrame, width: int = S
                 out.clear()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(n, "path", "one", "two").sortWithinPartitions("path", "one", "two", "side").mapInArrow(run, "a long, b long")
+    return met.repartition(n, "path", "block").sortWithinPartitions("path", "block", "side").mapInArrow(run, "a long, b long")
 
 
 def _spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
@@ -417,6 +423,8 @@ def judged(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT)
     classes = written(signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("size"), F.first("paths").alias("paths"), F.first("extra").alias("extra")))
     reader = classes.filter("label is not null").select("cls", F.col("label").alias("doc_id"), "size")
     members = written(nodes(classes.filter("label is not null").select("cls", "size", "paths", "extra")).join(reader, "cls"))
+    # the texts of classes that meet another: all that is compared from here on
+    docs = written(texts_of(docs).join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
     found = written(compare(docs, members, width, percent))
     links = found.filter("b is not null").select("a", "b")
     for salt in range(PIVOT_ROUNDS):
