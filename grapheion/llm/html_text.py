@@ -5,9 +5,15 @@ with their whole subtree (tags and texts); Spark counts on how many distinct
 articles of a host each hash occurs, and subtrees that recur on many of them are
 template and deleted, wherever they stand. What remains is reduced to the
 article: elements that are never main text by tag (nav, header, footer, aside,
-form, script, ...), by role, or by class and id words (ad, sidebar, cookie,
-comments, ...) are dropped; then the outermost article elements are taken, else
-main, else the whole page.
+form, script, ...), by role or as hidden are dropped; then the outermost article
+elements are taken, else main, else the whole page.
+
+Furniture whose text differs from page to page (adverts, reader comments) has no
+recurring subtree. There an element's tag, class and id are counted like a subtree
+if they hold a telling word (ad, sidebar, cookie, comments, ...): the element goes
+where that frame stands on ``NAMED_PAGES`` articles of its host or more. A block
+that merely bears such a word on a page or two stays. Only on hosts of fewer than
+``OUTSIDE_PAGES`` articles, where nothing can be counted, the word alone decides.
 
 Inside an article a passage may recur honestly, so there a subtree is template
 only from ``INSIDE_PAGES`` articles and ``INSIDE_SHARE`` of the host's articles on;
@@ -22,8 +28,9 @@ whose skewed hosts Spark splits.
 
 Defined cases: null or empty html, or a page without main text, gives an empty
 text; broken markup (unclosed or crossed tags, bare ``<``) is read as browsers
-do in the simple cases; repeated rows are pages of their own; a null page_id or
-url stays null (null urls share one host); other columns are ignored.
+do in the simple cases and in time linear in its length; repeated rows are pages
+of their own; a null page_id or url stays null (null urls share one host); other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +48,10 @@ from grapheion.llm.common import arrow_map, chunks, ship, table, written
 
 OUTSIDE_PAGES, OUTSIDE_SHARE = 5, 0.05
 INSIDE_PAGES, INSIDE_SHARE = 20, 0.5
+NAMED_PAGES = 3
 BROADCAST_ROWS = 50_000
+#: In place of a hash: the host has too few articles to count on.
+FEW = 2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg".split())
@@ -62,12 +73,21 @@ NOISE = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]{0,63})")
+_DELIMITER = re.compile("[>\"']")
 _ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
+#: The two lowest bits of a hash: a subtree outside or inside of an article, or the frame of a named element.
+OUTSIDE, INSIDE, NAMED = 0, 1, 3
+
+
+def _signed(digest: bytes, kind: int) -> int:
+    return int.from_bytes(digest, "little", signed=True) & ~3 | kind
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "kept")
 
@@ -75,47 +95,124 @@ class Node:
         self.tag, self.attrs, self.children, self.kept = tag, attrs, [], None
 
 
+class _Ends:
+    """Where tags end: the first ``>`` outside of quotes.
+
+    Once a tag has none, ends are taken from a table over all quotes and ``>``, made from the
+    end of the page backwards, so that a page full of unclosed tags is not scanned from each.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.at: list[int] | None = None
+        self.end: list[int] = []
+
+    def find(self, at: int) -> int:
+        if at > self.last:
+            return -1
+        if self.at is not None:
+            return self.end[bisect_left(self.at, at)]
+        p = at
+        while (m := _DELIMITER.search(self.source, p)) is not None:
+            if m[0] == ">":
+                return m.start()
+            p = self.source.find(m[0], m.end()) + 1
+            if not p:
+                break
+        self._tabulate()
+        return -1
+
+    def _tabulate(self) -> None:
+        found = [(m.start(), m[0]) for m in _DELIMITER.finditer(self.source)]
+        self.at = [p for p, _ in found]
+        self.end = [-1] * (len(found) + 1)
+        nearest: dict[str, int] = {}
+        for i in range(len(found) - 1, -1, -1):
+            p, c = found[i]
+            if c == ">":
+                self.end[i] = p
+            else:
+                self.end[i] = self.end[nearest[c] + 1] if c in nearest else -1
+                nearest[c] = i
+
+
+class _Stack:
+    """Open elements, with the places of each tag and of those that end a search for what a tag closes."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def innermost(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
 def parse(source: str) -> Node:
     """A tree whose children are Nodes and decoded strings."""
     root = Node("#root", "")
-    stack, at, end = [root], 0, len(source)
-    while at < end:
-        m = _TOKEN.search(source, at)
-        if m is None:
-            stack[-1].children.append(html.unescape(source[at:]))
-            break
-        if m.start() > at:
-            stack[-1].children.append(html.unescape(source[at : m.start()]))
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+    stack, ends = _Stack(root), _Ends(source)
+    done, at, size = 0, source.find("<"), len(source)
+
+    def text(upto: int) -> None:
+        if upto > done:
+            stack.nodes[-1].children.append(html.unescape(source[done:upto]))
+
+    # source[:done] is in the tree; at is the next "<", or -1
+    while at >= 0:
+        mark = source[at + 1 : at + 2]
+        if mark in ("!", "?"):
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                end = size if end < 0 else end + 3
             else:
-                if tag == "p":
-                    stack[-1].children.append(Node("p", ""))
+                end = source.find(">", at) + 1 if at < ends.last else 0
+            if end:
+                text(at)
+                done = end
+            at = source.find("<", max(end, at + 1))
             continue
-        if closes := CLOSES.get(tag):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closes:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE:
-                    break
-        node = Node(tag, m[3])
-        stack[-1].children.append(node)
-        if tag in VOID:
+        m = _NAME.match(source, at + 1)
+        close = ends.find(m.end()) if m else -1
+        if close < 0:
+            at = source.find("<", at + 1) if at < ends.last else -1
             continue
-        if tag in RAW:
-            # their content is no markup: up to the matching end tag, or all
-            close = _CLOSE[tag].search(source, at)
-            at = close.end() if close else end
-        elif not m[3].rstrip().endswith("/"):
-            stack.append(node)
+        text(at)
+        done = close + 1
+        tag, attrs = m[2].lower(), source[m.end() : close]
+        if m[1]:
+            if i := stack.innermost((tag,)):
+                stack.cut(i)
+            elif tag == "p":
+                stack.nodes[-1].children.append(Node("p", ""))
+        else:
+            if closes := CLOSES.get(tag):
+                i = stack.innermost(closes)
+                if i and i >= (stack.scopes[-1] if stack.scopes else 0):
+                    stack.cut(i)
+            node = Node(tag, attrs)
+            stack.nodes[-1].children.append(node)
+            if tag in RAW:
+                # their content is no markup: up to the matching end tag, or all
+                found = _CLOSE[tag].search(source, done)
+                done = found.end() if found else size
+            elif tag not in VOID and not attrs.rstrip().endswith("/"):
+                stack.push(node)
+        at = source.find("<", done)
+    text(size)
     return root
 
 
@@ -124,7 +221,7 @@ def _attr(attrs: str) -> dict[str, str]:
 
 
 def is_noise(node: Node) -> bool:
-    """Never main text, judged by tag, role, class and id alone."""
+    """Never main text, judged by tag and role, or hidden."""
     if node.tag in DROP:
         return True
     if not node.attrs or node.tag in ("main", "body", "html"):
@@ -132,16 +229,30 @@ def is_noise(node: Node) -> bool:
     a = _attr(node.attrs)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES:
         return True
-    if "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    return bool(NOISE.search(a.get("class", "")) or NOISE.search(a.get("id", "")))
+    return "display:none" in a.get("style", "").replace(" ", "").lower()
+
 
+def named(node: Node) -> int | None:
+    """Hash of tag, class and id (but for digits) of an element that a telling word marks as furniture."""
+    if not node.attrs or node.tag in ("main", "body", "html"):
+        return None
+    a = _attr(node.attrs)
+    names = a.get("class", ""), a.get("id", "")
+    if not any(NOISE.search(n) for n in names):
+        return None
+    frame = "\0".join([node.tag, *(re.sub(r"\d+", "0", n.lower()) for n in names)])
+    return _signed(hashlib.blake2b(frame.encode("utf-8", "replace"), digest_size=8).digest(), NAMED)
 
-def prune(node: Node) -> None:
+
+def prune(node: Node, template: frozenset[int] | set[int]) -> None:
     stack = [node]
+
+    def goes(c: Node) -> bool:
+        return is_noise(c) or (frame := named(c)) is not None and (FEW in template or frame in template)
+
     while stack:
         n = stack.pop()
-        n.children = [c for c in n.children if isinstance(c, str) or not is_noise(c)]
+        n.children = [c for c in n.children if isinstance(c, str) or not goes(c)]
         stack.extend(c for c in n.children if not isinstance(c, str))
 
 
@@ -190,9 +301,9 @@ def blocks(nodes: list[Node], template: frozenset[int] | set[int] = frozenset())
 
 
 def hash_subtrees(root: Node) -> tuple[set[int], int]:
-    """Hashes of block subtrees that hold text, and the digest of the main part.
+    """Hashes of block subtrees that hold text and of named frames, and the digest of the main part.
 
-    Sets ``kept`` to each node's hash; its lowest bit tells whether the node stands in an article.
+    Sets ``kept`` to each node's hash; its lowest bits tell whether the node stands in an article.
     """
     found: set[int] = set()
     main = hashlib.blake2b(digest_size=8)
@@ -215,7 +326,9 @@ def hash_subtrees(root: Node) -> tuple[set[int], int]:
         else:
             stack.pop()
             d = h.digest()
-            n.kept = int.from_bytes(d, "little", signed=True) & ~1 | inside
+            n.kept = _signed(d, INSIDE if inside else OUTSIDE)
+            if (frame := named(n)) is not None:
+                found.add(frame)
             if holds and n.tag in BLOCK and n.tag not in ("html", "body", "article", "main"):
                 found.add(n.kept)
             if inside_here and not inside:
@@ -230,13 +343,14 @@ def hash_subtrees(root: Node) -> tuple[set[int], int]:
     return found, int.from_bytes(main.digest(), "little", signed=True)
 
 
-def text_of(source: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
+def text_of(source: str | None, template: frozenset[int] | set[int] = frozenset({FEW})) -> str:
+    """Main text of a page, given the template of its host (of a page by itself: nothing to count on)."""
     if not source:
         return ""
     root = parse(source)
-    if template:
+    if template - {FEW}:
         hash_subtrees(root)
-    prune(root)
+    prune(root, template)
     return " ".join(blocks(main_part(root), template))
 
 
@@ -260,13 +374,15 @@ def templates(pages: DataFrame) -> DataFrame:
             names=["host", "article", "hashes"],
         )
 
-    rows = arrow_map(pages.select("host", "html"), run, "host string, article long, hashes array<long>")
+    # written, as it is read for the counts and twice for the totals
+    rows = written(arrow_map(pages.select("host", "html"), run, "host string, article long, hashes array<long>"))
     each = rows.select("host", "article", F.explode_outer("hashes").alias("hash")).distinct()
     counts = each.filter("hash is not null").groupBy("host", "hash").agg(F.count("*").alias("n"))
     totals = rows.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("total"))
-    inside = F.col("hash").bitwiseAND(F.lit(1)) == 1
-    many = F.when(inside, (F.col("n") >= INSIDE_PAGES) & (F.col("n") >= INSIDE_SHARE * F.col("total"))).otherwise((F.col("n") >= OUTSIDE_PAGES) & (F.col("n") >= OUTSIDE_SHARE * F.col("total")))
-    return counts.filter(F.col("n") >= min(INSIDE_PAGES, OUTSIDE_PAGES)).join(totals, "host").filter(many).select("host", "hash")
+    kind, n, total = F.col("hash").bitwiseAND(F.lit(3)), F.col("n"), F.col("total")
+    many = F.when(kind == NAMED, n >= NAMED_PAGES).when(kind == INSIDE, (n >= INSIDE_PAGES) & (n >= INSIDE_SHARE * total)).otherwise((n >= OUTSIDE_PAGES) & (n >= OUTSIDE_SHARE * total))
+    found = counts.filter(n >= min(INSIDE_PAGES, OUTSIDE_PAGES, NAMED_PAGES)).join(totals, "host").filter(many).select("host", "hash")
+    return found.unionByName(totals.filter(total < OUTSIDE_PAGES).select("host", F.lit(FEW).cast("long").alias("hash")))
 
 
 def extract(pages: DataFrame) -> DataFrame:

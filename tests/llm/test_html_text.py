@@ -58,6 +58,46 @@ def test_template_removal_by_recurrence(spark):
     assert h.extract(pages.limit(0)).count() == 0
 
 
+def test_counts_decide_over_names(spark):
+    # furniture without telling names recurs; a telling name on one page of many is an honest block
+    rows = []
+    for i in range(30):
+        rows.append((i, f"http://a.org/{i}", f"<div class=x1><p>Our slogan</p><p>All rights</p></div><div class=x2><h2>tale {i}</h2><p class=share>own words {i}</p></div>" + "<div class='notice side'><p>A stone fell at noon.</p></div>" * (i == 4)))
+        rows.append((100 + i, f"http://b.org/{i}", f"<article><p>tale {i}</p></article><div class='ad box'>buy {i} now</div><article><section id=comments-{i}>reader {i}</section></article>"))
+    rows.append((200, "http://c.org/", "<p>one</p><div class=ad>buy</div>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in h.extract(pages).collect()}
+    assert got[4] == "tale 4 A stone fell at noon."  # class "share" stands on every page, "notice" on one
+    assert got[7] == "tale 7" and got[107] == "tale 7" and got[200] == "one"
+    # the same pages with template removal off
+    assert h.text_of(rows[14][2], frozenset()) == "Our slogan All rights tale 7 own words 7"
+    assert h.text_of(rows[15][2], frozenset()) == "tale 7 reader 7"
+
+
+def test_broken_markup_in_linear_time():
+    import time
+
+    for unit in ("<a ", "<a", "<div \"x\" ", "<!", "</x>", "<b><hr>", "<p><div><b><li>", "<a href='", "<a \"'"):
+        for tail in ("", ">", "\">\"", "<p>end</p>"):
+            source = unit * (1_000_000 // len(unit)) + tail
+            began = time.time()
+            h.text_of(source)
+            assert time.time() - began < 30, (unit, tail)
+
+
+def test_ends_table_equals_scan():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(500):
+        source = "".join(rng.choice("ab>\"' ") for _ in range(30))
+        table = h._Ends(source)
+        table._tabulate()
+        for at in range(30):
+            scan = h._Ends(source)
+            assert scan.find(at) == table.find(at)
+
+
 def test_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(h, "BROADCAST_ROWS", -1)
     pages = spark.createDataFrame([(i, f"http://a.org/{i}", f"<div><p>menu</p></div><p>s{i}</p>") for i in range(10)], "page_id long, url string, html string")
