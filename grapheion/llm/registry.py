@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from grapheion.llm import binary_ids, byte_bpe, html_text, kneser_ney, near_dup, packing, quality, quotes, sketch, suffix_dedup
 
 
@@ -22,7 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sketch": sketch.op8_sketch,
         "op9_near_dup": near_dup.op9_near_dup,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
-        "pipeline": corpus_pipeline.run,
     }
 
 
