@@ -70,6 +70,28 @@ def test_estimates_are_close(spark):
     assert near(1, 2) == 1 and near(1, 3) == pytest.approx(0.5, abs=0.12)
 
 
+def test_query_columns_are_close_to_exact(spark):
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    order = sorted(rows, reverse=True)
+    off = []
+    for r in sketch.op8_sketch(spark, "/root/testdata/sf0.01").collect():
+        text = rows[r.doc_id]
+        following = rows[order[(order.index(r.doc_id) + 1) % len(order)]]
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        off += [abs(r.near_edited - contained(text, edited)), abs(r.near_next - contained(text, following))]
+    off.sort()
+    assert sum(off) / len(off) < 0.03 and off[int(len(off) * 0.95)] < 0.15
+
+
+def test_merged_sketches_are_those_of_the_union(spark):
+    texts = [f"a{i} b c d e f g h" for i in range(40)]
+    docs = spark.createDataFrame([(x, y) for x in texts for y in texts[:8]], "x string, y string")
+    hashes = F.concat(sketch.shingle_hashes(F.col("x")), sketch.shingle_hashes(F.col("y")))
+    low = F.filter(hashes, lambda h: h <= F.lit(sketch._top(sketch.SCALE)))
+    want = F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(hashes)))
+    assert docs.filter(sketch.merge(sketch.sketch(F.col("x")), sketch.sketch(F.col("y"))) != want).count() == 0
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(None, "a b c d e f", "x"), (3, None, "y"), (3, None, "y"), (5, "", None), (7, "g h i j k l m", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
