@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +13,11 @@ from grapheion.functions import text as tx
 from grapheion.operators.graph import CodeGraph, ranked
 
 RRF_K = 60.0
+# Demoted folders, and weights of (exact, relaxed, semantic, path) channels by route.
 SEARCH_DEMOTED = ["compiled/", "node_modules/", ".next/"]
 FILE_DEMOTED = ["/compiled/", "/node_modules/", "/.next/", "/dist/", "/vendor/"]
 ROUTE_WEIGHTS = {"ExactSymbol": (1.5, 1.0, 0.7, 1.0), "ExactText": (1.5, 1.0, 0.7, 1.0), "FilePath": (1.0, 1.0, 0.7, 1.5), "Causal": (1.0, 0.8, 1.3, 1.0), "General": (1.0, 0.8, 1.3, 1.0), "ConfigLookup": (1.0, 1.0, 1.0, 1.0)}
+# End of fixed values.
 
 
 @dataclass(frozen=True)
@@ -102,6 +106,35 @@ def fuzzy(nodes: DataFrame, word: str, limit: int) -> DataFrame:
     return ranked(nodes.filter(near), F.levenshtein(F.lower("name"), F.lit(w)), limit=limit)
 
 
+def parses(query: str) -> bool:
+    """Whether a full-text query is well formed: balanced quotes and brackets, no operator left alone."""
+    depth = 0
+    for c in query:
+        depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(c, 0)
+        if depth < 0:
+            return False
+    last = query.split()[-1:]
+    return depth == 0 and query.count('"') % 2 == 0 and last not in (["AND"], ["OR"], ["NOT"])
+
+
+def indexed(nodes: DataFrame, query: str, limit: int) -> DataFrame:
+    """The ``limit`` best full-text hits over names and docstrings, in tiers: the name itself, its beginning, others.
+
+    A query that does not parse is looked up as one word, within an edit.
+    """
+    whole = query.lower()
+    if not query.strip():
+        return nodes.limit(0).withColumn("tier", F.lit(0))
+    if parses(query):
+        hits = bm25(nodes, "qualified_name", F.concat_ws(" ", "name", "docstring"), re.sub(r"[^\w]+", " ", query), limit)
+        hits = nodes.join(hits.select("qualified_name"), "qualified_name")
+    else:
+        hits = fuzzy(nodes, query, limit)
+    name, qn, _ = _lower(nodes)
+    tier = F.when((name == whole) | (qn == whole), 0).when(name.startswith(whole), 1).otherwise(2)
+    return ranked(hits.withColumn("tier", tier), F.col("tier"), F.col("name"), limit=limit)
+
+
 # vectors ---------------------------------------------------------------------
 def cosine(a: Column, b: Column) -> Column:
     """0 for a zero vector or unlike lengths."""
@@ -116,6 +149,30 @@ def vector_search(embeddings: DataFrame, key: str, vector: str, query: list[floa
     return embeddings.withColumn("score", F.round(cosine(F.col(vector), q), 4)).orderBy(F.desc("score"), key).limit(limit)
 
 
+@dataclass(frozen=True)
+class Vectors:
+    """Stored vectors (key, level, vec) of nodes and files, and the provider that embeds a query."""
+
+    stored: DataFrame
+    provider: Callable[[list[str]], list[list[float]]]
+
+    def nearest(self, query: str, level: str, limit: int) -> DataFrame:
+        """(key, score, rank) of the ``limit`` keys of a level nearest to a text."""
+        found = vector_search(self.stored.filter(F.col("level") == level), "key", "vec", self.provider([query])[0], limit)
+        # at most limit rows
+        return found.select("key", "score", F.row_number().over(Window.orderBy(F.desc("score"), "key")).alias("rank"))
+
+    def nodes(self, query: str, limit: int) -> DataFrame:
+        """(qualified_name, rank)"""
+        return self.nearest(query, "node", limit).select(F.col("key").alias("qualified_name"), "rank")
+
+    def nodes_of_files(self, graph: CodeGraph, query: str, limit: int) -> DataFrame:
+        """(qualified_name, rank): nodes of the nearest files, ranked by line within their file."""
+        files = self.nearest(query, "file", limit).select(F.col("key").alias("file_path"))
+        inside = Window.partitionBy("file_path").orderBy("line_start", "qualified_name")
+        return graph.by_name.join(files, "file_path").select("qualified_name", F.row_number().over(inside).alias("rank"))
+
+
 def vector_join(queries: DataFrame, items: DataFrame, key: str, bucket: str, vector: str, top: int) -> DataFrame:
     """For each query the ``top`` most similar items of its bucket: an equi-join on the bucket, then a ranked window."""
     q = queries.select(F.col(key).alias("query_id"), F.col(bucket).alias("_b"), F.col(vector).alias("_v"))
@@ -145,6 +202,11 @@ def channel(ranking: DataFrame, source: str, weight: float, *order: Column) -> D
     return ranking.select("qualified_name", F.lit(source).alias("source"), (F.lit(weight) / (RRF_K + F.row_number().over(w))).alias("rrf"))
 
 
+def ranked_channel(ranking: DataFrame, source: str, weight: float) -> DataFrame:
+    """The same of a list that has its ranks already."""
+    return ranking.select("qualified_name", F.lit(source).alias("source"), (F.lit(weight) / (RRF_K + F.col("rank"))).alias("rrf"))
+
+
 def fuse(channels: list[DataFrame]) -> DataFrame:
     """(qualified_name, score, sources): scores add up, sources unite."""
     pool = channels[0]
@@ -165,8 +227,8 @@ def convex(a: DataFrame, b: DataFrame, share: float = 0.5) -> DataFrame:
     return both.select("qualified_name", (share * F.coalesce("a", F.lit(0.0)) + (1 - share) * F.coalesce("b", F.lit(0.0))).alias("score"))
 
 
-def fanout(graph: CodeGraph, parts: tx.Parts, route: str, limit: int, switches: Switches = Switches(), vectors: list[tuple[str, DataFrame]] = ()) -> DataFrame:
-    """Candidates of all channels that apply, fused. ``vectors``: ranked (qualified_name, rank) lists by name."""
+def fanout(graph: CodeGraph, parts: tx.Parts, route: str, limit: int, switches: Switches = Switches(), vectors: Vectors | None = None, index: bool = False) -> DataFrame:
+    """Candidates of all channels that apply, fused. ``index``: the full-text index takes part."""
     exact_w, relaxed_w, semantic_w, path_w = ROUTE_WEIGHTS[route]
     pool, nodes = limit * 5, graph.by_name
     by_tier = lambda df: [F.col("tier"), F.col("name")] if "tier" in df.columns else [F.desc(F.round("score", 12)), F.col("name")]
@@ -180,8 +242,11 @@ def fanout(graph: CodeGraph, parts: tx.Parts, route: str, limit: int, switches:
         out.append(channel(relaxed, "path_boosted", path_w, ~F.col("qualified_name").rlike("[/.]"), *order))
     if switches.fanout and {"config", "settings", "options", "env"} & set(parts.terms):
         out.append(channel(relaxed, "config_boosted", 1.0, F.col("kind") != "Type", *order))
-    if switches.semantic:
-        out += [channel(df, name, semantic_w, F.col("rank")) for name, df in vectors]
+    if switches.semantic and vectors is not None:
+        out.append(ranked_channel(vectors.nodes(parts.raw, pool), "semantic", semantic_w))
+        out.append(ranked_channel(vectors.nodes_of_files(graph, parts.raw, limit), "file_semantic", semantic_w))
+    if switches.fanout and index:
+        out.append(channel(indexed(nodes, parts.raw, pool), "full_text", 1.0, F.col("tier"), F.col("name")))
     return fuse(out)
 
 
@@ -228,22 +293,27 @@ def merge_views(views: list[tuple[DataFrame, float]]) -> DataFrame:
     return rows.groupBy("qualified_name").agg(F.sum(F.when(F.col("view") == F.col("first"), F.col("score")).otherwise(0.7 * F.col("score"))).alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
 
 
+def nearest_files(vectors: Vectors, query: str, limit: int) -> DataFrame:
+    """(file_path, score) of the files nearest to a text."""
+    return vectors.nearest(query, "file", limit).select(F.col("key").alias("file_path"), "score")
+
+
 def new_files(graph: CodeGraph, view: DataFrame, seen: DataFrame) -> int:
     files = lambda v: graph.by_name.join(v.select("qualified_name"), "qualified_name", "left_semi").select("file_path").distinct()
     return files(view).join(files(seen), "file_path", "left_anti").count()
 
 
-def multi_view(graph: CodeGraph, query: str, limit: int, switches: Switches = Switches()) -> DataFrame:
+def multi_view(graph: CodeGraph, query: str, limit: int, switches: Switches = Switches(), vectors: Vectors | None = None, index: bool = False) -> DataFrame:
     """Views of the query, its symbols, its terms; stops after two that bring fewer than two new files."""
     parts = tx.decompose(query)
-    views = [(fanout(graph, parts, tx.classify(query).route, limit, switches), 1.0)]
+    views = [(fanout(graph, parts, tx.classify(query).route, limit, switches, vectors, index), 1.0)]
     empty = views[0][0].limit(0)
     stalls = int(new_files(graph, views[0][0], empty) < 2)
     for words, weight, least in ((parts.symbols, 0.8, 1), (parts.terms, 0.7, 2)):
         again = " ".join(words)
         if len(words) < least or stalls >= 2 or again == query:
             continue
-        view = fanout(graph, tx.decompose(again), tx.classify(again).route, limit, switches)
+        view = fanout(graph, tx.decompose(again), tx.classify(again).route, limit, switches, vectors, index)
         stalls = stalls + 1 if new_files(graph, view, merge_views(views)) < 2 else 0
         views.append((view, weight))
     return merge_views(views)
@@ -258,36 +328,90 @@ def budget(name: str, nodes: int, limit: int) -> tuple[int, str, bool, bool]:
     return min(limit, 3), "file", True, True
 
 
-def hybrid(graph: CodeGraph, query: str, limit: int = 10, budget_name: str = "auto", scope: str = "", root: str = "", switches: Switches | None = None, mode: str | None = None) -> dict:
-    """The retrieval pipeline: classify, decompose, fan out, expand, filter by scope, rank files or nodes."""
+def by_nodes(graph: CodeGraph, query: str, kind: tx.Classified, limit: int, vectors: Vectors | None = None, fusion: str = "rrf") -> tuple[str, DataFrame]:
+    """(method, (qualified_name, score)): nodes by the route of the query.
+
+    Symbols, texts, paths and settings go by words alone, with nodes of the kind asked for
+    raised; what remains, or finds nothing there, joins words and vectors by ranks.
+    """
+    route = kind.route if kind.confidence >= 0.6 else "General"
+    found = search_relaxed(graph.by_name, query, 2 * limit)
+    order = [F.col("tier"), F.col("name")] if "tier" in found.columns else [F.desc(F.round("score", 12)), F.col("name")]
+    words = found.select("qualified_name", "kind", F.row_number().over(Window.orderBy(*order, "qualified_name")).alias("rank"))
+    raised = {"FilePath": F.col("qualified_name").rlike("[/.]"), "ConfigLookup": F.col("kind") == "Type"}
+    methods = {"ExactSymbol": "keyword_only", "ExactText": "keyword_exact_text", "FilePath": "keyword_path_boosted", "ConfigLookup": "keyword_config_boosted"}
+    top = lambda df: ranked(df, F.desc(F.round("score", 12)), limit=limit)
+    if route in methods and words.limit(1).count():
+        factor = F.when(raised.get(route, F.lit(False)), 1.5).otherwise(1.0)
+        return methods[route], top(words.select("qualified_name", (factor / (RRF_K + F.col("rank"))).alias("score")))
+    if vectors is not None and fusion == "cc":
+        return "hybrid_cc", top(convex(words.select("qualified_name", "rank"), vectors.nodes(query, 2 * limit)))
+    _, relaxed_w, semantic_w, _ = ROUTE_WEIGHTS[kind.route]
+    keyword_w = 1.5 if kind.route in ("ExactSymbol", "ExactText") else relaxed_w
+    lists = [ranked_channel(words, "keyword", keyword_w)]
+    if vectors is not None:
+        lists.append(ranked_channel(vectors.nodes(query, 2 * limit), "semantic", semantic_w))
+    return "hybrid_rrf" if vectors is not None else "keyword_only", top(fuse(lists).select("qualified_name", "score"))
+
+
+ROUTE_NAMES = {"exact": "ExactSymbol", "semantic": "Causal", "path": "FilePath", "legacy": "General"}
+PREVIEW_LINES = 5
+
+
+def hybrid(graph: CodeGraph, query: str, limit: int = 10, budget_name: str = "auto", scope: str = "", root: str = "", switches: Switches | None = None, mode: str | None = None, vectors: Vectors | None = None, route: str = "auto", fusion: str = "rrf", lines: Callable | None = None) -> dict:
+    """The retrieval pipeline: classify, decompose, fan out, expand, filter by scope, rank files or nodes.
+
+    ``vectors`` feed the semantic channels; ``lines``, from paths to (file_path, line_no, text), the previews.
+    """
     if not query.strip():
         return {"status": "no_match", "results": []}
+    if route != "auto" and route not in ROUTE_NAMES:
+        return {"status": "error", "error": f"Unknown route {route}: auto, {', '.join(ROUTE_NAMES)}"}
+    if fusion not in ("rrf", "cc"):
+        return {"status": "error", "error": f"Unknown fusion {fusion}: rrf, cc"}
     n = graph.nodes.count()
-    top, default_mode, _, expand = budget(budget_name, n, limit)
+    top, default_mode, preview, expand = budget(budget_name, n, limit)
     switches = switches or (Switches() if budget_name == "thorough" else Switches.fast())
-    kind = tx.classify(query)
-    parts = tx.decompose(query) if switches.decompose else tx.passthrough(query)
-    pool = multi_view(graph, query, top, switches) if budget_name == "auto" and n > 1000 else fanout(graph, parts, kind.route, top, switches)
-    if expand and switches.expansion:
-        more = expand_with_source(graph, pool, top)
-        pool = pool.unionByName(more)
+    kind = tx.classify(query) if route == "auto" else tx.Classified(ROUTE_NAMES[route], 1.0, [])
+    vectors = vectors if switches.semantic else None
     inside = tx.relative_path(F.col("file_path"), root).startswith(scope)
+    hint = "read_file" if kind.confidence >= 0.85 else "structural_query" if kind.confidence >= 0.6 else "explore"
+    out = {"route": kind.route, "confidence": kind.confidence, "match_type": tx.ROUTES[kind.route], "action_hint": hint, "budget": budget_name}
     if (mode or default_mode) == "file":
+        parts = tx.decompose(query) if switches.decompose else tx.passthrough(query)
+        pool = multi_view(graph, query, top, switches, vectors, True) if budget_name == "auto" and n > 1000 else fanout(graph, parts, kind.route, top, switches, vectors, True)
+        if expand and switches.expansion:
+            pool = pool.unionByName(expand_with_source(graph, pool, top))
         if scope:
             keep = graph.by_name.filter(inside).select("qualified_name")
             pool = pool.join(keep, "qualified_name", "left_semi")
-        rows = score_files(graph, pool, parts, top, switches).collect()
+        results = [r.asDict(recursive=True) for r in score_files(graph, pool, parts, top, switches).collect()]
+        if preview and lines is not None and results:
+            _with_previews(graph, results, lines)
     else:
         # the limit comes before the scope here
-        nodes = ranked(pool, F.desc(F.round("score", 12)), limit=top).join(graph.by_name, "qualified_name")
-        rows = nodes.filter(inside).orderBy(F.desc("score"), "qualified_name").collect()
-    hint = "read_file" if kind.confidence >= 0.85 else "structural_query" if kind.confidence >= 0.6 else "explore"
-    out = {"status": "ok" if rows else "no_match", "route": kind.route, "confidence": kind.confidence, "match_type": tx.ROUTES[kind.route], "action_hint": hint, "budget": budget_name, "results": [r.asDict(recursive=True) for r in rows]}
-    if not rows:
+        method, best = by_nodes(graph, query, kind, top, vectors, fusion)
+        rows = best.join(graph.by_name, "qualified_name").filter(inside).orderBy(F.desc("score"), "qualified_name").collect()
+        results = [r.asDict(recursive=True) for r in rows]
+        out["method"] = method
+    out = {"status": "ok" if results else "no_match"} | out | {"results": results}
+    if not results:
         out["suggestion"] = "No results. Try a function or class name, a file path, or a structural query."
     return out
 
 
+def _with_previews(graph: CodeGraph, results: list[dict], lines: Callable) -> None:
+    """The first lines of each result's best node; as many files as there are results."""
+    wanted = [(r["file_path"], r["top_nodes"][0]["line_start"]) for r in results if r["top_nodes"]]
+    starts = graph.nodes.sparkSession.createDataFrame(wanted, "file_path string, start int")
+    near = lines([p for p, _ in wanted]).join(F.broadcast(starts), "file_path").filter((F.col("line_no") >= F.col("start")) & (F.col("line_no") < F.col("start") + PREVIEW_LINES))
+    by_file: dict[str, list] = {}
+    for r in near.orderBy("file_path", "line_no").collect():
+        by_file.setdefault(r.file_path, []).append(r.text)
+    for r in results:
+        r["preview"] = by_file.get(r["file_path"], [])
+
+
 def expand_with_source(graph: CodeGraph, pool: DataFrame, limit: int) -> DataFrame:
     from grapheion.operators.algos import expand_one_hop
 

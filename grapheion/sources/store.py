@@ -16,6 +16,12 @@ from grapheion.sources.files import STORE_DIR
 EMBEDDING_SCHEMA = "key string, level string, provider string, model string, dims int, text_hash string, vec array<float>"
 SETTINGS = ["provider", "api_key", "model", "git_timeout", "watch_debounce_ms"]
 STALE_SECONDS = 2
+#: A compacted table has files of about so many bytes.
+FILE_BYTES = 128 << 20
+#: Changed names after which vectors of vanished nodes and files go.
+GARBAGE_AFTER = 500
+#: Versions that stay, so that readers of the last one can finish.
+VERSIONS = 2
 
 
 class GraphStore:
@@ -47,12 +53,12 @@ class GraphStore:
     def metadata(self) -> dict[str, str]:
         return {r.key: r.value for r in self._table("metadata", "key string, value string").collect()}
 
-    def write(self, graph: CodeGraph, files: int | None = None, **metadata: str) -> None:
-        """``files``: how many files a table is rewritten into (compaction)."""
+    def write(self, graph: CodeGraph, files: dict[str, int] | None = None, **metadata: str) -> None:
+        """``files``: how many files each table is rewritten into (compaction)."""
         version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
         meta = self.metadata() | {"last_updated": time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime())} | metadata
         for name, df in (("nodes", graph.nodes), ("edges_raw", graph.edges_raw), ("metadata", self.spark.createDataFrame(sorted(meta.items()), "key string, value string"))):
-            (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(f"{self.folder}/{version}/{name}")
+            (df.repartition(files.get(name, 1)) if files else df).write.option("compression", "zstd").parquet(f"{self.folder}/{version}/{name}")
         old = self._current()
         out = self._fs.create(self._path(f"current-{version}"))
         out.write(bytearray(version.encode()))
@@ -60,9 +66,43 @@ class GraphStore:
         if old is not None:
             self._fs.delete(self._path("current"), False)
         self._fs.rename(self._path(f"current-{version}"), self._path("current"))
+        done = sorted(str(s.getPath().getName()) for s in self._fs.listStatus(self._path("")) if str(s.getPath().getName()).startswith("v-"))
+        for name in done[:-VERSIONS]:
+            self._fs.delete(self._path(name), True)
 
-    def compact(self, files: int = 1) -> None:
-        self.write(self.read(), files)
+    def compact(self) -> None:
+        """Rewrite the tables into files of about FILE_BYTES."""
+        version = self._current()
+        size = lambda name: self._fs.getContentSummary(self._path(f"{version}/{name}")).getLength()
+        self.write(self.read(), {n: 1 + size(n) // FILE_BYTES for n in ("nodes", "edges_raw")} if version else None)
+
+    def collect_garbage(self, graph: CodeGraph, changes: int) -> bool:
+        """Count changed names; from GARBAGE_AFTER on drop the vectors of what the graph no longer holds."""
+        meta = self.metadata()
+        pending = int(meta.get("changes_since_gc", "0")) + changes
+        due = pending >= GARBAGE_AFTER and self._fs.exists(self._path("embeddings"))
+        if due:
+            keys = graph.nodes.select(F.col("qualified_name").alias("key"), F.lit("node").alias("level")).unionByName(graph.nodes.select(F.col("file_path").alias("key"), F.lit("file").alias("level"))).distinct()
+            self.write_embeddings(self.embeddings().join(keys, ["key", "level"], "left_semi"))
+        self.note(changes_since_gc=str(0 if due else pending))
+        return due
+
+    def note(self, **values: str) -> None:
+        """Set metadata of the current version."""
+        version = self._current()
+        if version is None:
+            return
+        meta = self.metadata() | values
+        fresh = f"{version}/metadata-{uuid.uuid4().hex[:8]}"
+        self.spark.createDataFrame(sorted(meta.items()), "key string, value string").write.parquet(f"{self.folder}/{fresh}")
+        self._fs.delete(self._path(f"{version}/metadata"), True)
+        self._fs.rename(self._path(fresh), self._path(f"{version}/metadata"))
+
+    def reset_embeddings(self, provider: str) -> int:
+        """Drop the vectors of other providers; returns how many stay."""
+        if self._fs.exists(self._path("embeddings")):
+            self.write_embeddings(self.embeddings().filter(F.col("provider") == provider))
+        return self.embeddings().count()
 
     def is_fresh(self) -> bool:
         """Updated less than two seconds ago."""
@@ -132,14 +172,21 @@ def export(graph: CodeGraph) -> tuple[DataFrame, DataFrame]:
     return graph.by_name, graph.edges_distinct.select("src", "dst", "kind")
 
 
-def html(graph: CodeGraph, limit: int = 5000) -> str:
-    """A page that draws the graph; a picture holds so many nodes at most."""
+def html(graph: CodeGraph, limit: int | None = None) -> str:
+    """A page that draws the graph: all of it, or the first ``limit`` nodes and every link among them.
+
+    The page is one string, so nodes and links pass the driver row by row.
+    """
     nodes, edges = export(graph)
-    some = nodes.orderBy("qualified_name").limit(limit).cache()
-    shown = some.select("qualified_name")
-    links = edges.join(shown.toDF("src"), "src", "left_semi").join(shown.toDF("dst"), "dst", "left_semi").limit(10 * limit)
-    data = json.dumps({"nodes": [{"id": r.qualified_name, "name": r.name, "kind": r.kind} for r in some.collect()], "links": [{"source": r.src, "target": r.dst, "kind": r.kind} for r in links.collect()]})
-    some.unpersist()
+    if limit is not None:
+        nodes = nodes.orderBy("qualified_name").limit(limit).cache()
+        shown = nodes.select("qualified_name")
+        edges = edges.join(shown.toDF("src"), "src", "left_semi").join(shown.toDF("dst"), "dst", "left_semi")
+    one = [{"id": r.qualified_name, "name": r.name, "kind": r.kind} for r in nodes.orderBy("qualified_name").toLocalIterator()]
+    links = [{"source": r.src, "target": r.dst, "kind": r.kind} for r in edges.orderBy("src", "dst", "kind").toLocalIterator()]
+    data = json.dumps({"nodes": one, "links": links})
+    if limit is not None:
+        nodes.unpersist()
     return _PAGE.replace("@DATA@", data.replace("</", "<\\/"))
 
 

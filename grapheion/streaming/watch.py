@@ -1,13 +1,18 @@
-"""File events as a stream: debounce, last event per path, hash skip, state equal to a batch run."""
+"""File events as a stream: debounce, last event per path, hash skip, state and graph equal to a batch run."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from grapheion.operators import maintain
+from grapheion.sources import extract
+from grapheion.sources.store import GraphStore
+
 COMPACT_EVERY = 50
 
 
@@ -82,6 +87,47 @@ class Store:
                 self._fs.delete(self._path(f"v-{old}"), True)
 
 
+class GraphWatch:
+    """A stored graph kept up to date by batches of file events (path, op, ts, event_id, ...).
+
+    Of each path the last event of a batch counts. Removed files leave the graph first; updated
+    ones are read by ``sources`` (from the batch's last updates to (file_path, content, file_hash)),
+    skipped if their hash is stored, else parsed and put in place of what was stored. Edges into
+    them come back by themselves, as edges are resolved anew. The number of a batch is written
+    with its graph, so a batch that runs again changes nothing; the store is read anew for each,
+    so what others wrote in between is kept.
+    """
+
+    def __init__(self, store: GraphStore, sources: Callable[[DataFrame], DataFrame], parse: Callable = extract.parse):
+        self.store, self.sources, self.parse = store, sources, parse
+
+    def apply(self, batch: DataFrame, batch_id: int) -> int:
+        """How many names changed."""
+        if int(self.store.metadata().get("stream_batch", "-1")) >= batch_id:
+            return 0
+        rest = [c for c in batch.columns if c not in ("path", "ts", "event_id")]
+        last = batch.groupBy("path").agg(F.max(F.struct("ts", "event_id", *rest)).alias("e")).select("path", "e.*").cache()
+        gone = last.filter("op = 'remove'").select(F.col("path").alias("file_path"))
+        updated = last.filter("op = 'update'")
+        graph = self.store.read()
+        before = graph.nodes.join(gone, "file_path", "left_semi").select("qualified_name").distinct().count()
+        after, diff = maintain.incremental_update(maintain.remove_files(graph, gone), self.sources(updated), updated.select(F.col("path").alias("file_path")), self.parse)
+        changed = diff.count() + before
+        self.store.write(after, last_build_type="incremental", stream_batch=str(batch_id))
+        last.unpersist()
+        self.store.collect_garbage(self.store.read(), changed)
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            self.store.compact()
+        return changed
+
+
+def watch_graph(events: DataFrame, store: GraphStore, sources: Callable[[DataFrame], DataFrame], checkpoint: str, available_now: bool = True, parse: Callable = extract.parse):
+    """Start the stream of file events into a stored graph."""
+    watch = GraphWatch(store, sources, parse)
+    writer = events.writeStream.foreachBatch(lambda df, i: watch.apply(df, i)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="300 milliseconds")).start()
+
+
 def run(events: DataFrame, folder: str, checkpoint: str, available_now: bool = True):
     """Start the stream of file events into a store."""
     store = Store(events.sparkSession, folder)
@@ -89,15 +135,34 @@ def run(events: DataFrame, folder: str, checkpoint: str, available_now: bool = T
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="300 milliseconds")).start(), store
 
 
-def replay(spark: SparkSession, path: str, batches: int = 4) -> DataFrame:
-    """Replay a table of events as a stream of several files; returns the live (path, hash)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp()}"
-    folder = f"{base.rstrip('/')}/watch-{uuid.uuid4().hex}"
+def _shared_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp()}"
+    return f"{base.rstrip('/')}/watch-{uuid.uuid4().hex}"
+
+
+def _as_stream(spark: SparkSession, path: str, folder: str, batches: int) -> DataFrame:
+    """A table of events as a stream of several files, in order of time."""
     table = spark.read.parquet(path)
     table.repartitionByRange(batches, "ts", "event_id").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    query, store = run(as_file_events(stream), f"{folder}/state", f"{folder}/checkpoint")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def replay(spark: SparkSession, path: str, batches: int = 4) -> DataFrame:
+    """Replay a table of events as a stream of several files; returns the live (path, hash)."""
+    folder = _shared_folder(spark)
+    query, store = run(as_file_events(_as_stream(spark, path, folder, batches)), f"{folder}/state", f"{folder}/checkpoint")
     query.awaitTermination()
     return store.read().filter("op = 'update'").select("path", "hash")
 
 
+def replay_graph(spark: SparkSession, path: str, content: Callable[[DataFrame], DataFrame], batches: int = 4):
+    """Replay a table of events into a stored graph; ``content`` makes (path, op, ts, event_id, content) of it."""
+    folder = _shared_folder(spark)
+    store = GraphStore(spark, f"{folder}/graph")
+    sources = lambda last: last.select(F.col("path").alias("file_path"), F.encode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("file_hash"))
+    watch_graph(content(_as_stream(spark, path, folder, batches)), store, sources, f"{folder}/checkpoint").awaitTermination()
+    return store.read()

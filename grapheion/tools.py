@@ -13,6 +13,8 @@ from grapheion.operators import algos, context, maintain, search
 from grapheion.operators.graph import CodeGraph, query_graph as run_pattern
 from grapheion.sources import extract, files, git, store
 
+#: Rows of a list that travel to the driver; totals tell the rest.
+SHOWN = 500
 CORE = ["hybrid_query", "query_graph", "open_node_context", "get_impact_radius", "build_or_update_graph"]
 
 
@@ -40,9 +42,12 @@ class Repository:
     def update(self, changed: list[str]) -> dict:
         names = self.spark.createDataFrame([(p,) for p in changed], "file_path string")
         after, diff = maintain.incremental_update(self.store.read(), self.scan(), names, extract.parse)
-        found = [r.asDict() for r in diff.orderBy("qualified_name").collect()]
+        diff = diff.cache()
+        total, found = diff.count(), [r.asDict() for r in diff.orderBy("qualified_name").limit(SHOWN).collect()]
         self.store.write(after, last_build_type="incremental")
-        return {"status": "ok", "build_type": "incremental", "changed_files": len(changed), "changed_qualified_names": found}
+        diff.unpersist()
+        self.store.collect_garbage(after, total)
+        return {"status": "ok", "build_type": "incremental", "changed_files": len(changed), "changed_qualified_names": found, "total_changed": total}
 
 
 def build_or_update_graph(repo: Repository, full_rebuild: bool = False, base: str = "HEAD~1") -> dict:
@@ -60,9 +65,9 @@ def get_impact_radius(repo: Repository, changed_files: list[str] | None = None,
     if not changed:
         return {"status": "ok", "summary": "No changed files", "changed_nodes": [], "impacted_nodes": [], "impacted_files": []}
     found = algos.impact_radius(repo.graph(), repo.spark.createDataFrame([(p,) for p in changed], "file_path string"), min(max_results, 500))
-    show = lambda df, *order: [context.node_json(r.asDict(), compact) | ({"score": round(r.score, 6)} if "score" in df.columns else {}) for r in df.orderBy(*order, "qualified_name").collect()]
-    out = {"status": "ok", "changed_files": changed, "changed_nodes": show(found["changed"]), "impacted_nodes": show(found["impacted"], F.desc("score")), "impacted_files": sorted(r.file_path for r in found["files"].collect()), "edges": found["edges"].count()}
-    return out | {"summary": f"{len(out['changed_nodes'])} changed, {len(out['impacted_nodes'])} impacted in {len(out['impacted_files'])} files"}
+    show = lambda df, *order: [context.node_json(r.asDict(), compact) | ({"score": round(r.score, 6)} if "score" in df.columns else {}) for r in df.orderBy(*order, "qualified_name").limit(SHOWN).collect()]
+    out = {"status": "ok", "changed_files": changed, "total_changed": found["changed"].count(), "changed_nodes": show(found["changed"]), "impacted_nodes": show(found["impacted"], F.desc("score")), "impacted_files": sorted(r.file_path for r in found["files"].collect()), "edges": found["edges"].count()}
+    return out | {"summary": f"{out['total_changed']} changed, {len(out['impacted_nodes'])} impacted in {len(out['impacted_files'])} files"}
 
 
 def query_graph(repo: Repository, pattern: str, target: str, compact: bool = True) -> dict:
@@ -74,17 +79,38 @@ def get_review_context(repo: Repository, changed_files: list[str] | None = None,
     return context.review_context(repo.graph(), changed, repo.lines(changed) if include_source and changed else None, max_lines=max_lines_per_file)
 
 
+def _vectors(repo: Repository, provider: Callable | None) -> search.Vectors | None:
+    """Stored vectors with what embeds a query; none without a provider or without vectors."""
+    stored = repo.store.embeddings()
+    return search.Vectors(stored, provider) if provider is not None and stored.limit(1).count() else None
+
+
 def semantic_search_nodes(repo: Repository, query: str, kind: str | None = None, limit: int = 10, compact: bool = True, provider: Callable | None = None) -> dict:
-    """By vectors where a provider and vectors exist, else by words; kinds are filtered after twice the limit."""
-    graph, stored = repo.graph(), repo.store.embeddings().filter("level = 'node'")
-    mode = "vector" if provider is not None and stored.limit(1).count() else "keyword"
-    if mode == "vector":
-        hits = search.vector_search(stored, "key", "vec", provider([query])[0], 2 * limit).select(F.col("key").alias("qualified_name"), "score").join(graph.by_name, "qualified_name").orderBy(F.desc("score"), "qualified_name")
+    """By vectors where a provider and vectors exist, else by words; kinds are filtered after twice the limit.
+
+    Unless ``compact``, the best three come with their first ten lines.
+    """
+    graph, vectors = repo.graph(), _vectors(repo, provider)
+    if vectors is not None:
+        hits = vectors.nearest(query, "node", 2 * limit).select(F.col("key").alias("qualified_name"), "score").join(graph.by_name, "qualified_name").orderBy(F.desc("score"), "qualified_name")
     else:
         hits = search.search_and(graph.by_name, query, 2 * limit)
     rows = [r.asDict() for r in hits.collect()]
     rows = [r for r in rows if kind is None or r["kind"] == kind][:limit]
-    return {"status": "ok", "mode": mode, "results": [context.node_json(r, compact) | ({"score": r["score"]} if "score" in r else {}) for r in rows]}
+    results = [context.node_json(r, compact) | ({"score": r["score"]} if "score" in r else {}) for r in rows]
+    if not compact and rows:
+        best = {(r["file_path"], r["line_start"]): r for r in rows[:3]}
+        text = {(r.file_path, r.line_no): r.text for r in repo.lines(sorted({p for p, _ in best})).filter(tx.any_of([(F.col("file_path") == p) & F.col("line_no").between(n, n + 9) for p, n in best])).collect()}
+        for r, shown in zip(rows[:3], results, strict=False):
+            shown["preview"] = [text[r["file_path"], n] for n in range(r["line_start"], r["line_start"] + 10) if (r["file_path"], n) in text]
+    return {"status": "ok", "mode": "keyword" if vectors is None else "vector", "results": results}
+
+
+def semantic_search_files(repo: Repository, query: str, limit: int = 10, provider: Callable | None = None) -> dict:
+    """The files whose vectors are nearest to the query."""
+    vectors = _vectors(repo, provider)
+    rows = search.nearest_files(vectors, query, limit).orderBy(F.desc("score"), "file_path").collect() if vectors is not None else []
+    return {"status": "ok", "results": [r.asDict() for r in rows]}
 
 
 def list_graph_stats(repo: Repository) -> dict:
@@ -101,10 +127,8 @@ def embed_graph(repo: Repository, provider: Callable | None = None, name: str =
     for level, texts in (("node", nodes), ("file", search.file_texts(graph.nodes))):
         old = stored.filter(F.col("level") == level)
         parts.append(search.embed(texts, old, provider, name).withColumn("level", F.lit(level)).withColumn("dims", F.size("vec")))
-    both = parts[0].unionByName(parts[1]).cache()
-    n = both.count()
-    repo.store.write_embeddings(both)
-    return {"status": "ok", "embedded": n}
+    repo.store.write_embeddings(parts[0].unionByName(parts[1]))
+    return {"status": "ok", "embedded": repo.store.embeddings().count()}
 
 
 def get_docs_section(document: str, name: str) -> dict:
@@ -123,8 +147,8 @@ def trace_call_chain(repo: Repository, source: str, target: str, max_depth: int
     return algos.trace(repo.graph(), source, target, max_depth)
 
 
-def hybrid_query(repo: Repository, query: str, limit: int = 10, budget: str = "auto", scope: str = "", result_mode: str | None = None) -> dict:
-    return search.hybrid(repo.graph(), query, limit, budget, scope, repo.root, mode=result_mode)
+def hybrid_query(repo: Repository, query: str, limit: int = 10, budget: str = "auto", scope: str = "", result_mode: str | None = None, provider: Callable | None = None, route: str = "auto", fusion: str = "rrf") -> dict:
+    return search.hybrid(repo.graph(), query, limit, budget, scope, repo.root, mode=result_mode, vectors=_vectors(repo, provider), route=route, fusion=fusion, lines=repo.lines)
 
 
 def open_node_context(repo: Repository, target: str, compact: bool = True) -> dict:
