@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from grapheion.operators.graph import CodeGraph, ranked, weight
@@ -25,7 +25,10 @@ def pair_weights(graph: CodeGraph, compat: bool = False) -> DataFrame:
 
 
 def pagerank(graph: CodeGraph, seeds: DataFrame, rounds: int = ROUNDS, compat: bool = False) -> DataFrame:
-    """(qualified_name, score) with score above EPSILON; only the frontier takes part in a round."""
+    """(qualified_name, score) with score above EPSILON; only the frontier takes part in a round.
+
+    From round CUT_EVERY on each round is written and ends the walk if no score moved by EPSILON.
+    """
     seeds = seeds.select("qualified_name").distinct().cache()
     n = max(1, seeds.count())
     share = pair_weights(graph, compat).cache()
@@ -34,14 +37,23 @@ def pagerank(graph: CodeGraph, seeds: DataFrame, rounds: int = ROUNDS, compat: b
     score = known.select("qualified_name", F.lit(1.0 / n).alias("score"))
     for k in range(rounds):
         moved = share.join(score.withColumnRenamed("qualified_name", "dst"), "dst").groupBy(F.col("src").alias("qualified_name")).agg((ALPHA * F.sum(F.col("score") * F.col("share"))).alias("score"))
-        new = moved.unionByName(base).groupBy("qualified_name").agg(F.sum("score").alias("score")).filter(F.col("score") > EPSILON)
-        if k % CUT_EVERY == CUT_EVERY - 1 and k + 1 < rounds:
-            new = cut(new)
-            gap = new.join(score.withColumnRenamed("score", "old"), "qualified_name", "full_outer").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).first().d
-            if gap is None or gap < EPSILON:
-                score = new
-                break
-        score = new
+        if k + 1 < CUT_EVERY or k + 1 == rounds:
+            score = moved.unionByName(base).groupBy("qualified_name").agg(F.sum("score").alias("score")).filter(F.col("score") > EPSILON)
+            # the checked rounds read their score twice
+            score = cut(score) if k + 2 == CUT_EVERY and k + 1 < rounds else score
+            continue
+        parts = moved.unionByName(base).withColumn("old", F.lit(0.0)).unionByName(score.select("qualified_name", F.lit(0.0).alias("score"), F.col("score").alias("old")))
+        new = parts.groupBy("qualified_name").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
+        new = new.withColumn("score", F.when(F.col("score") > EPSILON, F.col("score")).otherwise(0.0))
+        # how far scores moved is observed while the round is written
+        seen = Observation()
+        score = cut(new.observe(seen, F.max(F.abs(F.col("score") - F.col("old"))).alias("gap")).filter("score > 0").drop("old"))
+        gap = seen.get["gap"]
+        if gap is None or gap < EPSILON:
+            break
+    score = cut(score)
+    for kept in (seeds, share, base):
+        kept.unpersist()
     return score
 
 
@@ -77,6 +89,7 @@ def call_distances(graph: CodeGraph, start: str, max_depth: int = 10, backwards:
         if front.limit(1).count() == 0:
             break
         seen = cut(seen.unionByName(front)) if depth % CUT_EVERY == 0 else seen.unionByName(front)
+    calls.unpersist()  # seen is made of checkpoints
     return seen
 
 
@@ -127,6 +140,7 @@ def weighted_reach(graph: CodeGraph, seeds: DataFrame, max_depth: int = 3) -> Da
         merged = cut(merged)
         best = merged.select("qualified_name", "score")
         front = merged.filter(F.col("old").isNull() | (F.col("score") > F.col("old"))).select("qualified_name", "score")
+    steps.unpersist()  # best is a checkpoint
     return best.join(seeds.select("qualified_name").distinct(), "qualified_name", "left_anti")
 
 

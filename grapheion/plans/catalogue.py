@@ -171,13 +171,6 @@ def large_functions(g):
     return g.large(50, "Function", "ASIA").select("qualified_name", "line_count")
 
 
-@graph_query("SELECT 'found' AS exact, 'not_found' AS missing, 'ambiguous' AS several")
-def target_resolution(g):
-    name = targets(g)["fn"]
-    spark = g.nodes.sparkSession
-    return spark.createDataFrame([tuple(g.resolve_target(t)[0] for t in (name, "no such name anywhere", "Supplier"))], "exact string, missing string, several string")
-
-
 @graph_query("SELECT n.qualified_name, n.kind, CAST(count(*) FILTER (WHERE x.kind = 'CALLS' AND x.way = 'in') AS BIGINT) AS fan_in, CAST(count(*) FILTER (WHERE x.kind = 'CALLS' AND x.way = 'out') AS BIGINT) AS fan_out, coalesce(bool_or(x.kind = 'TESTED_BY' AND x.way = 'out'), false) AS tested FROM nodes n LEFT JOIN (SELECT src AS q, kind, 'out' AS way FROM e WHERE kind IN ('CALLS', 'TESTED_BY') UNION ALL SELECT dst, kind, 'in' FROM e WHERE kind IN ('CALLS', 'TESTED_BY')) x ON x.q = n.qualified_name GROUP BY n.qualified_name, n.kind")
 def degree_table(g):
     return g.degrees().drop("file_path")
@@ -297,6 +290,47 @@ def compound_terms(spark, sf_dir):
     return _queries_table(spark, sf_dir).select("id", F.explode(found).alias("term"))
 
 
+def _resolved_sql(target: str) -> str:
+    exact = f"EXISTS (SELECT 1 FROM nodes WHERE qualified_name = '{target}')"
+    return f"CASE WHEN {exact} THEN 'found' ELSE (SELECT CASE count(*) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END FROM ({and_sql(target, 5)})) END"
+
+
+RESOLVED = ["src/asia/nation_2.py", "no such name anywhere", "Supplier", "fn_building_ src/asia"]
+
+
+@graph_query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {_resolved_sql(t)})" for t in RESOLVED) + ") AS v(target, status)")
+def target_resolution(g):
+    return g.nodes.sparkSession.createDataFrame([(t, g.resolve_target(t)[0]) for t in RESOLVED], "target string, status string")
+
+
+@graph_query(f"SELECT {NODE_SQL} FROM nodes n WHERE n.qualified_name IN (SELECT src FROM e WHERE kind = 'CALLS' AND (dst = 'Supplier1' OR ends_with(dst, '::Supplier1')))")
+def callers_fallback(g):
+    """A name that no edge leads to: those whose target matches its last part answer."""
+    return g.callers("gone.py::Supplier1").select(*NODE)
+
+
+@graph_query("SELECT kind, CAST(count(*) AS BIGINT) AS nodes, CAST(sum(CASE WHEN file_path LIKE '%nation_1%' THEN 1 ELSE 0 END) AS BIGINT) AS in_some FROM nodes WHERE file_path NOT LIKE 'compiled/%' GROUP BY kind")
+def purged_nodes(g):
+    left = maintain.purge(g, g.files().filter("file_path not like 'compiled/%'"))
+    return left.nodes.groupBy("kind").agg(F.count("*").alias("nodes"), F.count_if(F.col("file_path").contains("nation_1")).alias("in_some"))
+
+
+@graph_query("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM e WHERE src_file NOT LIKE 'src/a%' AND dst_file NOT LIKE 'src/a%' GROUP BY kind")
+def edges_without_files(g):
+    """Edges that are left when files are removed: those into them go unresolved, none is repaired."""
+    left = maintain.remove_files(g, g.files().filter("file_path like 'src/a%'"))
+    return left.edges.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@graph_query("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY kind")
+def replaced_files(g):
+    """Files taken out and put back in another order: the edges are those of the whole graph."""
+    some = g.files().filter("file_path like 'src/a%'")
+    nodes, edges = (x.join(some, "file_path", "left_semi") for x in (g.nodes, g.edges_raw))
+    back = maintain.replace_files(maintain.remove_files(g, some), nodes, edges)
+    return back.edges.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 # iterative algorithms ------------------------------------------------------------------
 SEEDS_SQL = "sd AS (SELECT qualified_name FROM nodes n, t WHERE n.file_path = t.fl)"
 
@@ -332,6 +366,19 @@ def impact_ppr_k5(g):
     return _ppr(g, 5)
 
 
+def _stopped_sql(first: int, rounds: int) -> str:
+    """Scores of the first round from ``first`` on that moves no score by 1e-6, else of the last."""
+    gaps = " UNION ALL ".join(f"SELECT {k} AS k, (SELECT max(abs(coalesce(a.score, 0) - coalesce(b.score, 0))) FROM r{k} a FULL OUTER JOIN r{k - 1} b ON a.q = b.q) AS gap" for k in range(first, rounds + 1))
+    scores = " UNION ALL ".join(f"SELECT q, score FROM r{k} WHERE (SELECT k FROM stop) = {k}" for k in range(first, rounds + 1))
+    return f", gaps AS ({gaps}), stop AS (SELECT coalesce(min(k) FILTER (WHERE gap < 1e-6), {rounds}) AS k FROM gaps), done AS ({scores}) SELECT q AS qualified_name, round(score, 6) AS score FROM done WHERE q NOT IN (SELECT qualified_name FROM sd)"
+
+
+@graph_query(ppr_sql(algos.ROUNDS, False) + _stopped_sql(algos.CUT_EVERY, algos.ROUNDS))
+def impact_ppr_default(g):
+    """As many rounds as the default allows, with its stop rule."""
+    return _ppr(g, algos.ROUNDS)
+
+
 @graph_query(ppr_sql(3, True) + PPR_TAIL.format(k=3))
 def impact_ppr_compat_k3(g):
     return _ppr(g, 3, True)
@@ -493,38 +540,99 @@ def stale_gc(g):
     return search.live_only(stored, g.nodes.filter("file_path not like 'compiled/%'").select(F.col("qualified_name").alias("key")))
 
 
+# retrieval with vectors --------------------------------------------------------------------
+VECTORS_SQL = f""", q0 AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+nv AS (SELECT n.qualified_name AS key, v.embedding AS v FROM nodes n JOIN embeddings v ON n.kind = 'Function' AND CAST(string_split(n.name, '_')[-1] AS BIGINT) = v.vec_id),
+fv AS (SELECT f.fp AS key, v.embedding AS v FROM f JOIN embeddings v ON f.nk + 1 = v.vec_id)"""
+
+
+def _near_sql(table: str, limit: int) -> str:
+    return f"SELECT key, score, row_number() OVER (ORDER BY score DESC, key) AS rank FROM (SELECT key, round({COS.format(a='v', b='(SELECT v FROM q0)')}, 4) AS score FROM {table} ORDER BY score DESC, key LIMIT {limit})"
+
+
+def _vectors(spark: SparkSession, sf_dir: str, g: CodeGraph) -> search.Vectors:
+    """Functions carry the vector of their customer, files that of their nation; the query that of id 0."""
+    emb = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    fn = g.nodes.filter("kind = 'Function'").select(F.col("qualified_name").alias("key"), F.element_at(F.split("name", "_"), -1).cast("long").alias("vec_id"), F.lit("node").alias("level"))
+    nations = read(spark, sf_dir, "nation").select(F.concat(F.lower("n_name"), F.lit(".py")).alias("named"), (F.col("n_nationkey") + 1).cast("long").alias("vec_id"))
+    files = g.nodes.filter("kind = 'File' and not is_test").select(F.col("file_path").alias("key"), F.split_part("file_path", F.lit("/"), F.lit(3)).alias("named"))
+    stored = fn.unionByName(files.join(nations, "named").select("key", "vec_id", F.lit("file").alias("level"))).join(emb, "vec_id").select("key", "level", "vec")
+    asked = [float(x) for x in emb.filter("vec_id = 0").first().vec]
+    return search.Vectors(stored, lambda texts: [asked] * len(texts))
+
+
+@query(G + VECTORS_SQL + f" SELECT key AS file_path, score FROM ({_near_sql('fv', 7)})")
+def semantic_files(spark, sf_dir):
+    g = fixture.graph(spark, sf_dir)
+    return search.nearest_files(_vectors(spark, sf_dir, g), "anything", 7)
+
+
+KEYWORDS_SQL = f"SELECT qualified_name AS key, row_number() OVER (ORDER BY round(score, 12) DESC, name, qualified_name) AS rank FROM ({relaxed_sql(tx.relaxed_words(LONG), 40)})"
+
+
+@query(G + VECTORS_SQL + f", kw AS ({KEYWORDS_SQL}), sm AS ({_near_sql('nv', 40)}) SELECT key AS qualified_name, round(sum(s), 6) AS score FROM (SELECT key, CAST(0.8 AS DOUBLE) / (60 + rank) AS s FROM kw UNION ALL SELECT key, CAST(1.3 AS DOUBLE) / (60 + rank) FROM sm) GROUP BY key ORDER BY round(sum(s), 12) DESC, key LIMIT 20")
+def hybrid_nodes(spark, sf_dir):
+    """Node mode of a general question: words and vectors joined by ranks."""
+    g = fixture.graph(spark, sf_dir)
+    method, best = search.by_nodes(g, LONG, tx.classify(LONG), 20, _vectors(spark, sf_dir, g))
+    assert method == "hybrid_rrf"
+    return best.select("qualified_name", F.round("score", 6).alias("score"))
+
+
+def _scaled_sql(table: str) -> str:
+    return f"SELECT key, CASE WHEN hi > lo THEN (r - lo) / (hi - lo) ELSE 1 END AS s FROM (SELECT key, CAST(1 AS DOUBLE) / rank AS r, max(CAST(1 AS DOUBLE) / rank) OVER () AS hi, min(CAST(1 AS DOUBLE) / rank) OVER () AS lo FROM {table})"
+
+
+@query(G + VECTORS_SQL + f", kw AS ({KEYWORDS_SQL}), sm AS ({_near_sql('nv', 40)}), a AS ({_scaled_sql('kw')}), b AS ({_scaled_sql('sm')}) SELECT coalesce(a.key, b.key) AS qualified_name, round(0.5 * coalesce(a.s, 0) + 0.5 * coalesce(b.s, 0), 6) AS score FROM a FULL OUTER JOIN b ON a.key = b.key ORDER BY round(0.5 * coalesce(a.s, 0) + 0.5 * coalesce(b.s, 0), 12) DESC, qualified_name LIMIT 20")
+def hybrid_nodes_convex(spark, sf_dir):
+    g = fixture.graph(spark, sf_dir)
+    _, best = search.by_nodes(g, LONG, tx.classify(LONG), 20, _vectors(spark, sf_dir, g), "cc")
+    return best.select("qualified_name", F.round("score", 6).alias("score"))
+
+
+@graph_query(f"SELECT qualified_name, round((CASE WHEN regexp_matches(qualified_name, '[/.]') THEN CAST(1.5 AS DOUBLE) ELSE 1 END) / (60 + rank), 6) AS score FROM (SELECT qualified_name, row_number() OVER (ORDER BY tier, name, qualified_name) AS rank FROM ({and_sql('src/asia', 30)})) ORDER BY 2 DESC, 1 LIMIT 15")
+def hybrid_nodes_path(g):
+    """Node mode of a path: words alone, names that look like paths raised."""
+    method, best = search.by_nodes(g, "src/asia", tx.classify("src/asia"), 15)
+    assert method == "keyword_path_boosted"
+    return best.select("qualified_name", F.round("score", 6).alias("score"))
+
+
+@query(G + VECTORS_SQL + FANOUT_SQL + f""", sm AS ({_near_sql('nv', 50)}), top AS ({_near_sql('fv', 10)}),
+fm AS (SELECT n.qualified_name AS key, row_number() OVER (PARTITION BY n.file_path ORDER BY n.line_start, n.qualified_name) AS rank FROM nodes n JOIN top ON n.file_path = top.key)
+SELECT q AS qualified_name, round(sum(s), 6) AS score, CAST(count(DISTINCT src) AS BIGINT) AS n_sources FROM (
+  SELECT qualified_name AS q, 'r' AS src, CAST(0.8 AS DOUBLE) / (60 + rank) AS s FROM rel UNION ALL SELECT qualified_name, 'x', CAST(1 AS DOUBLE) / (60 + rank) FROM ex
+  UNION ALL SELECT key, 's', CAST(1.3 AS DOUBLE) / (60 + rank) FROM sm UNION ALL SELECT key, 'f', CAST(1.3 AS DOUBLE) / (60 + rank) FROM fm) GROUP BY q""")
+def fanout_with_vectors(spark, sf_dir):
+    g = fixture.graph(spark, sf_dir)
+    found = search.fanout(g, tx.decompose(FANOUT), tx.classify(FANOUT).route, 10, vectors=_vectors(spark, sf_dir, g))
+    return found.select("qualified_name", F.round("score", 6).alias("score"), F.size("sources").cast("long").alias("n_sources"))
+
+
 # ranges -----------------------------------------------------------------------------------
 RANGES_SQL = ", rg AS (SELECT fp AS file, CAST(nk * 10 + 1 AS INT) AS s, CAST(nk * 10 + 25 AS INT) AS z FROM f UNION ALL SELECT fp, CAST(nk * 3 + 200 AS INT), CAST(nk * 3 + 200 AS INT) FROM f)"
 
 
-def _ranges(g: CodeGraph) -> DataFrame:
-    """Changed line ranges of source files, made of the place of a file among all."""
+def _ranges(spark: SparkSession, sf_dir: str, g: CodeGraph) -> DataFrame:
+    """Changed line ranges of source files, made of the number of the nation whose file it is."""
     files = g.nodes.filter("kind = 'File' and not is_test").select(F.col("file_path").alias("file"))
-    nation = F.split_part(F.col("file"), F.lit("/"), F.lit(3))
-    order = g.nodes.sparkSession.createDataFrame(_NATIONS, "nation string, nk int")
-    rows = files.join(F.broadcast(order), nation == F.concat("nation", F.lit(".py")))
+    named = F.split_part(F.col("file"), F.lit("/"), F.lit(3))
+    nations = read(spark, sf_dir, "nation").select(F.concat(F.lower("n_name"), F.lit(".py")).alias("named"), F.col("n_nationkey").cast("int").alias("nk"))
+    rows = files.join(nations, named == F.col("named"))
     one = rows.select("file", (F.col("nk") * 10 + 1).alias("start"), (F.col("nk") * 10 + 25).alias("end"))
     return one.unionByName(rows.select("file", (F.col("nk") * 3 + 200).alias("start"), (F.col("nk") * 3 + 200).alias("end")))
 
 
-_NATIONS: list[tuple[str, int]] = []
-
-
-def _with_nations(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    _NATIONS[:] = [(r.n, r.n_nationkey) for r in read(spark, sf_dir, "nation").select(F.lower("n_name").alias("n"), "n_nationkey").collect()]
-    return fixture.graph(spark, sf_dir)
-
-
 @query(G + RANGES_SQL + " SELECT DISTINCT n.qualified_name FROM nodes n JOIN rg ON n.file_path = rg.file AND n.line_start <= rg.z AND n.line_end >= rg.s WHERE n.kind <> 'File'")
 def overlap_ranges(spark, sf_dir):
-    g = _with_nations(spark, sf_dir)
-    return context.nodes_in_ranges(g.nodes.filter("kind <> 'File'"), _ranges(g)).select("qualified_name")
+    g = fixture.graph(spark, sf_dir)
+    return context.nodes_in_ranges(g.nodes.filter("kind <> 'File'"), _ranges(spark, sf_dir, g)).select("qualified_name")
 
 
 @query(G + RANGES_SQL + " SELECT file, s AS line, coalesce(q, file) AS enclosing FROM (SELECT rg.file, rg.s, arg_min(n.qualified_name, (n.line_end - n.line_start) * 1000000 + CAST(n.rn AS BIGINT)) AS q FROM rg LEFT JOIN (SELECT *, row_number() OVER (ORDER BY qualified_name) AS rn FROM nodes WHERE kind IN ('Function', 'Test')) n ON n.file_path = rg.file AND rg.s BETWEEN n.line_start AND n.line_end GROUP BY rg.file, rg.s)")
 def enclosing_function(spark, sf_dir):
-    g = _with_nations(spark, sf_dir)
-    lines = _ranges(g).select("file", F.col("start").alias("line"))
+    g = fixture.graph(spark, sf_dir)
+    lines = _ranges(spark, sf_dir, g).select("file", F.col("start").alias("line"))
     return context.enclosing(g.nodes, lines)
 
 
@@ -632,6 +740,18 @@ def stream_replay_state(spark, sf_dir):
     return watch.replay(spark, f"{sf_dir}/events.parquet", batches=4)
 
 
+@query("WITH l AS (SELECT concat('u', user_id, '.py') AS p, event_type AS t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error') SELECT p AS file_path, 'File' AS kind, p AS qualified_name FROM l UNION ALL SELECT p, 'Function', concat(p, '::on_', t) FROM l")
+def stream_graph_nodes(spark, sf_dir):
+    """Events replayed as edits of one source file a user: parsed in the stream, the graph equals that of the last contents."""
+    from grapheion.streaming import watch
+
+    def content(events: DataFrame) -> DataFrame:
+        code = F.concat(F.lit("def on_"), "event_type", F.lit("():\n    return 0\n"))
+        return events.select(F.concat(F.lit("u"), "user_id", F.lit(".py")).alias("path"), F.when(F.col("event_type") == "error", "remove").otherwise("update").alias("op"), "ts", "event_id", code.alias("content"))
+
+    return watch.replay_graph(spark, f"{sf_dir}/events.parquet", content, batches=3).nodes.select("file_path", "kind", "qualified_name")
+
+
 @query("WITH r AS (SELECT doc_id, quality, toxic, doc_id % 9 + 1 AS rank FROM labels) SELECT quality, toxic, CAST(count(*) AS BIGINT) AS cases, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5, round(avg(1.0 / rank), 6) AS mrr FROM r GROUP BY ROLLUP (quality, toxic)")
 def eval_metrics(spark, sf_dir):
     ranks = read(spark, sf_dir, "labels").withColumn("rank", F.col("doc_id") % 9 + 1)
