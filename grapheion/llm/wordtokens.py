@@ -1,13 +1,15 @@
 """Token ids of whole texts from the tokenizers library, with a bounded cache of words.
 
-The vocabulary's pre-tokenizer never joins characters across white space, so
-the ids of a text are the ids of its white-space separated words in order.
-Texts holding a separator on which Python and the library disagree go to the
-library whole.
+Where the vocabulary's normalizer ignores case and its pre-tokenizer never joins
+characters across white space, or letters with punctuation, the ids of a text are
+the ids of its white-space separated words in order. Whether that holds is read
+from the vocabulary's file; the texts of any other vocabulary, and texts holding a
+separator on which Python and the library disagree, go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -23,9 +25,28 @@ _ODD = re.compile("[\x1c-\x1f]")
 #: Below this every character has one lower case, whatever stands around it.
 _SIMPLE = "\u0130"
 
+#: Splits into runs of letters, single numbers and runs of what is neither, white space left out.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def by_words(path: str) -> bool:
+    """Whether a vocabulary file tells that words can be encoded each for itself, whatever their case."""
+    with open(path, encoding="utf8") as f:
+        spec = json.load(f)
+
+    def parts(name: str, inner: str) -> list[dict]:
+        top = spec.get(name) or {}
+        return top.get(inner, [top])
+
+    normal = [p.get("type") for p in parts("normalizer", "normalizers")]
+    split = [p for p in parts("pre_tokenizer", "pretokenizers") if p.get("type") == "Split"]
+    rest = [p for p in parts("pre_tokenizer", "pretokenizers") if p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and not p.get("use_regex")]
+    words = [p for p in split if p.get("pattern") == {"Regex": _WORDS} and p.get("behavior") == "Removed" and p.get("invert")]
+    return normal == ["NFC", "Replace", "Lowercase"] and len(words) == len(split) == 1 and len(rest) == 1 and len(parts("pre_tokenizer", "pretokenizers")) == 2
+
+
 class WordEncoder(dict):
     """word -> little-endian unsigned 32-bit ids; behaves as a dict that fills itself."""
 
@@ -35,6 +56,7 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._by_words = by_words(path)
         self.vocab_size = self._tokenizer.get_vocab_size(with_added_tokens=True)
 
     def _whole(self, text: str) -> bytes:
@@ -53,7 +75,7 @@ class WordEncoder(dict):
         return out
 
     def ids(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if not self._by_words or _ODD.search(text):
             return self._whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 

@@ -131,3 +131,37 @@ def test_shingle_sets_equal_brute_force():
     parts = np.split(hashes, np.cumsum(sizes)[:-1])
     for (s, p), (t, q) in itertools.combinations(zip([sets_of(t) for t in texts], parts), 2):
         assert len(s & t) == len(np.intersect1d(p, q))
+
+
+def star(rng, n, words=100, off=9):
+    """A centre and members that each replace their own words of it: linked to it, hardly to one another."""
+    base = [f"c{i}" for i in range(words)]
+    yield " ".join(base)
+    for k in range(n):
+        at = rng.randrange(words - off)
+        yield " ".join([*base[:at], *(f"m{k}_{i}" for i in range(off)), *base[at + off :]])
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.6])
+def test_large_stars_chains_and_two_sided_groups(spark, monkeypatch, dense):
+    # groups of 12 times a node's bound, dealt over blocks or branched
+    monkeypatch.setattr(near_dup, "NODE_CLASSES", 16)
+    monkeypatch.setattr(near_dup, "DENSE", dense)
+    rng = random.Random(11)
+    texts = list(star(rng, 200))
+    step = [f"s{i}" for i in range(700)]
+    texts += [" ".join(step[5 * k : 5 * k + 100]) for k in range(100)]
+    left, right = list(star(rng, 40, 80, 6))[1:], list(star(rng, 40, 80, 6))[1:]
+    texts += [*left, *(t.replace("m", "r") for t in right)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want, have = brute(rows), got(spark, rows)
+    missed = sum(a[2] != b[2] for a, b in zip(want, have, strict=True))
+    assert missed == 0 if dense == 0 else missed <= 0.01 * len(rows)
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "NODE_SHINGLES", 400)
+    rng = random.Random(8)
+    rows = list(enumerate([*family(rng, 40, 150, 1), "lone text of some words here"]))
+    assert got(spark, rows) == brute(rows)

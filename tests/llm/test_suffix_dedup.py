@@ -86,3 +86,38 @@ def test_long_texts_are_cut_with_overlap(monkeypatch):
 
 def test_cover_is_a_difference_cover():
     assert {(a - b) % sd.PERIOD for a in sd.COVER for b in sd.COVER} == set(range(sd.PERIOD))
+
+
+def test_equal_strings_of_any_length():
+    rng = random.Random(6)
+    pool = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(16, 400))) for _ in range(40)]
+    pool += [p[:-1] + b"c" for p in pool[:10]] + [p[:40] + b"c" + p[41:] for p in pool if len(p) > 60]
+    rows = [(rng.randrange(3), rng.choice(pool)) for _ in range(300)]
+    rows.sort(key=lambda r: r[0])
+    again = sd.equal_strings(np.array([b for b, _ in rows]), np.frombuffer(b"".join(s for _, s in rows), np.uint8), np.array([len(s) for _, s in rows]), np.array([b * 5 for b, _ in rows]))
+    seen, want = set(), []
+    for r in rows:
+        want.append(r in seen)
+        seen.add(r)
+    assert again.tolist() == want
+
+
+@pytest.mark.parametrize("block,group", [(2, 3), (50, 10)])
+def test_buckets_larger_than_a_block(spark, monkeypatch, block, group):
+    # long strings too: LEAST and MEAN below the texts' length; hot groups go by single windows
+    for name, value in (("BLOCK", block), ("BLOCK_BYTES", 300), ("HOT_GROUP", group), ("MEAN", 16), ("LEAST", 8), ("MOST", 64), ("SEND", 50), ("SEEN_BYTES", 500)):
+        monkeypatch.setattr(sd, name, value)
+    rows = corpus(17, 80)
+    assert got(spark, rows, length=24, gram=8, hot=2) == brute(rows, 24)
+
+
+def test_skipped_windows_are_left_out(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(97, 101, n, dtype=np.uint8)) for n in (700, 10, 2500)]
+    gone = (np.array([0, 2, 2]), np.array([100, 0, 900]), np.array([50, 10, 700]))
+    out = {(t, s + k) for t, s, m in zip(*gone) for k in range(m + 1)}
+    for chunk in (10_000, 300):
+        monkeypatch.setattr(sd, "CHUNK", chunk)
+        r = sd._long_runs(texts, 30, 10, gone)
+        got_ = sorted((int(d), int(s) + k) for d, s, m in zip(r["doc"], r["start"], r["more"]) for k in range(int(m) + 1))
+        assert got_ == [(t, w) for t in range(3) for w in range(len(texts[t]) - 29) if (t, w) not in out]

@@ -58,3 +58,37 @@ def test_null_ids_repeats_and_empty(spark, tmp_path):
     assert binary_ids.read_ids(binary_ids.write_ids(docs.limit(0), f"file://{tmp_path}/y")).count() == 0
     assert packing.pack(docs.limit(0)).count() == 0
     assert packing.pack(docs).filter("doc_id is null").count() == 4 - 2
+
+
+def test_queries_equal_the_library_on_a_table(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    t = Tokenizer.from_file(wordtokens.default_path())
+    want = {d: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for d, x in texts.items()}
+    at = 0
+    for r in sorted(binary_ids.op7_binary_ids(spark, sf).collect()):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(want[r.doc_id]), zlib.crc32(want[r.doc_id].tobytes()))
+        at += r.n_tokens
+    pieces = {}
+    rows = packing.op5_packing(spark, sf).collect()
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert set(pieces) == set(want) and len({r.sequence_id for r in rows}) == len(rows)
+    for d, mine in pieces.items():
+        at = 0
+        for r in sorted(mine, key=lambda r: r.start):
+            assert r.start == at and r.offset == 0 and r.doc_tokens == len(want[d]) and r.length & (r.length - 1) == 0
+            assert r.ids_crc32 == zlib.crc32(want[d][at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(want[d])
+
+
+def test_other_vocabularies_go_to_the_library_whole(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert wordtokens.by_words(wordtokens.default_path()) and not wordtokens.by_words(path)
+    t = Tokenizer.from_file(path)
+    enc = wordtokens.encoder(path)
+    for x in filter(None, TEXTS):
+        assert enc.ids(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
