@@ -77,6 +77,84 @@ def test_equals_the_formulas(spark, monkeypatch, tmp_path, gather):
         assert r.base_score == pytest.approx(sum(map(base, words))) and r.score == pytest.approx(log)
 
 
+def brute3(train):
+    """p(word, two words before) at order 3, by the formulas."""
+    raw = Counter()
+    for t in train:
+        one, two = "<s>", "<s>"
+        for w in toks(t):
+            raw[two, one, w] += 1
+            two, one = one, (w,)
+    pairs = Counter()
+    for (a, b, w), c in raw.items():
+        pairs[b, w] += c if b == "<s>" else 1
+    cont = Counter(w for _, w in pairs)
+    v = len(cont)
+
+    def level(counts, context):
+        ns = Counter(counts.values())
+        d = kn.discounts(*(ns[k] for k in (1, 2, 3, 4)))
+        total, free = Counter(), defaultdict(float)
+        for k, c in counts.items():
+            total[context(k)] += c
+            free[context(k)] += d[min(c, 3) - 1]
+        return lambda k, low: low if context(k) not in total else (max(counts[k] - (0, *d)[min(counts[k], 3)], 0) + free[context(k)] * low) / total[context(k)]
+
+    three, two_, one_ = level(raw, lambda k: k[:2]), level(pairs, lambda k: k[0]), level(cont, lambda k: 0)
+    return lambda w, b, a: three((a, b, w), two_((b, w), one_(w, 1 / (v + 1))))
+
+
+@pytest.mark.parametrize("gather", [50, 10**6])
+def test_order_three_equals_the_formulas(spark, monkeypatch, tmp_path, gather):
+    monkeypatch.setattr(kn, "GATHER", gather)
+    rows = corpus()
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    p = brute3([t for d, t in rows if not held(d)])
+    _, base, count, n = brute([t for d, t in rows if not held(d)])
+    docs = kn.texts_of(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(3))
+    model = kn.train(docs.filter(~kn.held_out(kn.F.col("doc_id"))), f"file://{tmp_path}/m", parts=5, order=3)
+    got = {r.doc_id: r for r in kn.score(docs, model).collect()}
+    for d, t in rows:
+        words, one, two, log = toks(t), "<s>", "<s>", 0.0
+        for w in words:
+            log += math.log10(p(w, one, two))
+            two, one = one, (w,)
+        r = got[d]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(count[w] > 0 for w in words), n)
+        assert r.base_score == pytest.approx(sum(map(base, words))) and r.score == pytest.approx(log)
+
+
+def test_order_three_sums_to_one(spark, tmp_path):
+    texts = ["a b c a b", "b a d", "c c c a", "a b"] * 3
+    docs = kn.texts_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    model = kn.train(docs, f"file://{tmp_path}/m", parts=2, order=3)
+    vocabulary = ["a", "b", "c", "d", "never", None]
+    for context in ("", "a", "a b", "c never", "b a d"):
+        log = lambda t: model.score([t.encode()])[3][0]
+        # p(w | context) as a quotient of texts: the first end differs, so it is left out of both
+        steps = [_log_last(model, context.split(), w) for w in vocabulary]
+        assert sum(10**x for x in steps) == pytest.approx(1.0) and log(context) < 0
+
+
+def _log_last(model, context, word):
+    """log10 p(word | context) at order 3, the last token of a text that goes on."""
+    import unittest.mock
+
+    ids = [kn.START, kn.START, *(kn.word_hashes([w.encode()])[1][0] & kn._LOW48 for w in context)]
+    now = kn.END if word is None else kn.word_hashes([word.encode()])[1][0] & kn._LOW48
+    line = np.array([*ids[1:], now], np.uint64)
+    # tokens of the context, then the word: scores of both texts differ by the last step
+    n = len(line) - 1
+    scores = []
+    for k in (n, n - 1):
+        if k == 0:
+            scores.append(0.0)
+            continue
+        with unittest.mock.patch.object(kn, "tokens", lambda _, k=k: (np.array([k]), line[:k], line[1 : k + 1])):
+            scores.append(model.score([b""])[3][0])
+    return scores[0] - scores[1]
+
+
 def test_probabilities_sum_to_one(spark, tmp_path):
     texts = ["a b c a b", "b a d", "c c c a", "a b"] * 3
     docs = kn.texts_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
