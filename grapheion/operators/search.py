@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,26 +176,92 @@ class Vectors:
         return graph.by_name.join(files, "file_path").select("qualified_name", F.row_number().over(inside).alias("rank"))
 
 
-def vector_join(queries: DataFrame, items: DataFrame, key: str, bucket: str, vector: str, top: int) -> DataFrame:
-    """For each query the ``top`` most similar items of its bucket: an equi-join on the bucket, then a ranked window."""
-    q = queries.select(F.col(key).alias("query_id"), F.col(bucket).alias("_b"), F.col(vector).alias("_v"))
-    pairs = items.join(q, (F.col(bucket) == F.col("_b")) & (F.col(key) != F.col("query_id")))
-    scored = pairs.select("query_id", F.col(key), F.round(cosine(F.col(vector), F.col("_v")), 4).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+#: Queries whose vectors travel to every task at once, and scores computed at once in a task.
+QUERY_BLOCK, SCORES = 8_192, 4_000_000
+
+
+def _matrix(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: (rows, vectors of length one). Null, empty and zero vectors are left out."""
+    column = vectors.cast(pa.list_(pa.float64()))
+    sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False))
+    out = {}
+    for d in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == d)
+        m = flat[starts[rows][:, None] + np.arange(d)]
+        norm = np.sqrt((m * m).sum(1))
+        out[d] = rows[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
+    return out
 
 
-def vector_join_all(queries: DataFrame, items: DataFrame, key: str, vector: str, top: int) -> DataFrame:
-    """For each query the ``top`` most similar of all other items.
+def vector_join_all(queries: DataFrame, items: DataFrame, key: str, vector: str, top: int, bucket: str | None = None) -> DataFrame:
+    """(query_id, key, score, rank): for each query the ``top`` most similar of all other items, or of its bucket.
 
-    Every block of items meets every query; the rank limit is applied in each task first, so
-    only ``top`` rows a query and task travel.
+    Queries go out in blocks of about QUERY_BLOCK vectors, whose bound holds at any size; for each
+    block one pass over the items multiplies it with batches of them, and a task keeps ``top``
+    items a query, so only these are shuffled. ``key`` is a long. A vector without length or of
+    another length has similarity 0, as any to it.
     """
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_v"))
-    pairs = items.select(key, vector).join(q, F.col(key) != F.col("query_id"))
-    scored = pairs.select("query_id", F.col(key), F.round(cosine(F.col(vector), F.col("_v")), 4).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    columns = [F.col(key).cast("long").alias("key"), F.col(vector).alias("vec"), (F.col(bucket) if bucket else F.lit(0)).cast("long").alias("bucket")]
+    asked, held = (df.filter(F.col(key).isNotNull()).select(*columns) for df in (queries, items))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    spread = F.pmod(F.xxhash64("key"), F.lit(blocks))
+    found = None
+    for b in range(blocks):
+        # one block, of QUERY_BLOCK rows or little more
+        table = asked.filter(spread == b).toArrow().combine_chunks()
+        part = held.mapInArrow(_nearest_in_task(table, top, bucket is not None), "query_id long, key long, score double")
+        found = part if found is None else found.unionByName(part)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("query_id", F.col("key").alias(key), "score", "rank")
+
+
+def vector_join(queries: DataFrame, items: DataFrame, key: str, bucket: str, vector: str, top: int) -> DataFrame:
+    """The same among the items of the query's bucket; null buckets hold nothing."""
+    return vector_join_all(queries.filter(F.col(bucket).isNotNull()), items.filter(F.col(bucket).isNotNull()), key, vector, top, bucket)
+
+
+def _nearest_in_task(table: pa.Table, top: int, by_bucket: bool) -> Callable:
+    """mapInArrow function: the ``top`` items of a task for each query of ``table``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        ids, home = table.column("key").to_numpy(), table.column("bucket").to_numpy()
+        by_size = _matrix(table.column("vec").chunk(0))
+        n = len(ids)
+        # kept rows: best first by (score, key); empty places have score -2
+        best_key, best_score = np.zeros((n, top), np.int64), np.full((n, top), -2.0)
+        for b in batches:
+            keys, buckets = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            if not len(keys):
+                continue
+            mine = _matrix(b.column(1))
+            step = max(1, SCORES // len(keys))
+            for lo in range(0, n, step):
+                hi = min(n, lo + step)
+                scores = np.zeros((hi - lo, len(keys)))
+                for d, (rows, m) in by_size.items():
+                    a, z = np.searchsorted(rows, lo), np.searchsorted(rows, hi)
+                    if d in mine and a < z:
+                        scores[np.ix_(rows[a:z] - lo, mine[d][0])] = m[a:z] @ mine[d][1].T
+                scores = np.round(scores, 4) + 0.0
+                scores[ids[lo:hi, None] == keys[None, :]] = -2.0
+                if by_bucket:
+                    scores[home[lo:hi, None] != buckets[None, :]] = -2.0
+                # a score can enter only if it reaches the last kept; equal ones enter by key
+                for q in np.flatnonzero((scores >= best_score[lo:hi, -1:]).any(1) & (scores.max(1) > -2.0)).tolist():
+                    at = np.flatnonzero((scores[q] >= best_score[lo + q, -1]) & (scores[q] > -2.0))
+                    k, s = np.concatenate([best_key[lo + q], keys[at]]), np.concatenate([best_score[lo + q], scores[q, at]])
+                    by = np.lexsort((k, -s))[:top]
+                    best_key[lo + q], best_score[lo + q] = k[by], s[by]
+        q, r = np.nonzero(best_score > -2.0)
+        for lo in range(0, len(q), 10_000):
+            part = slice(lo, lo + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q[part]]), pa.array(best_key[q[part], r[part]]), pa.array(best_score[q[part], r[part]])], names=["query_id", "key", "score"])
+
+    return run
 
 
 # fusion ----------------------------------------------------------------------

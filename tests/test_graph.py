@@ -214,3 +214,59 @@ def test_nearest_of_another_label(spark):
     emb = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
     got = search.vector_join_all(emb.filter("vec_id = 0"), emb, "vec_id", "embedding", 2).collect()
     assert [(r.query_id, r.vec_id, r.rank) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_vector_join_in_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "SCORES", 7)
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)], i % 3 if i % 7 else None) for i in range(40)] + [(90, None, 1), (91, [1.0], 1), (92, [], 0), (None, [1.0, 1.0, 0.0], 1)]
+    emb = spark.createDataFrame(rows, "vec_id long, v array<float>, label int").repartition(4)
+    known = [r for r in rows if r[0] is not None]
+
+    def near(a, b):
+        a, b = a or [], b or []
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+        norm = (dot(a, a) * dot(b, b)) ** 0.5
+        return round(dot(a, b) / norm, 4) + 0.0 if len(a) == len(b) and norm else 0.0
+
+    for bucket in (None, "label"):
+        want = []
+        for q in known:
+            if q[0] % 2 == 0 and (bucket is None or q[2] is not None):
+                others = sorted((-near(q[1], i[1]), i[0]) for i in known if i[0] != q[0] and (bucket is None or i[2] == q[2]))
+                want += [(q[0], k, -s + 0.0, r) for r, (s, k) in enumerate(others[:4], 1)]
+        asked = emb.filter("vec_id % 2 = 0")
+        got = search.vector_join_all(asked, emb, "vec_id", "v", 4) if bucket is None else search.vector_join(asked, emb, "vec_id", bucket, "v", 4)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert search.vector_join_all(emb.limit(0), emb, "vec_id", "v", 4).count() == 0
+
+
+def test_hybrid_with_vectors(spark):
+    g = make(spark, [("src/cache.py", "cache_reducer"), ("src/net.py", "socket_pool"), ("src/net.py", "retry")], [])
+    stored = spark.createDataFrame([("src/net.py::retry", "node", [1.0, 0.0]), ("src/cache.py::cache_reducer", "node", [0.0, 1.0]), ("src/net.py", "file", [1.0, 0.1]), ("src/cache.py", "file", [0.0, 1.0])], "key string, level string, vec array<double>")
+    vectors = search.Vectors(stored, lambda texts: [[1.0, 0.0]] * len(texts))
+    asked = "how does the application behave when connections break"
+    assert search.hybrid(g, asked)["status"] == "no_match"
+    out = search.hybrid(g, asked, vectors=vectors)
+    assert out["status"] == "ok" and out["results"][0]["file_path"] == "src/net.py" and set(out["results"][0]["sources"]) == {"semantic", "file_semantic"}
+    lines = lambda paths: spark.createDataFrame([(p, i, f"line {i}") for p in paths for i in range(1, 30)], "file_path string, line_no int, text string")
+    shown = search.hybrid(g, asked, vectors=vectors, lines=lines)["results"][0]
+    start = shown["top_nodes"][0]["line_start"]
+    assert shown["preview"] == [f"line {i}" for i in range(start, start + 5)]
+    nodes = search.hybrid(g, asked, mode="node", vectors=vectors)
+    assert nodes["method"] == "hybrid_rrf" and nodes["results"][0]["qualified_name"] == "src/net.py::retry"
+    assert search.hybrid(g, asked, mode="node", vectors=vectors, fusion="cc")["method"] == "hybrid_cc"
+    assert search.hybrid(g, "cache_reducer", mode="node", vectors=vectors)["method"] == "keyword_only"
+    assert search.hybrid(g, asked, route="odd")["status"] == search.hybrid(g, asked, fusion="odd")["status"] == "error"
+    assert [r.file_path for r in search.nearest_files(vectors, "x", 1).collect()] == ["src/net.py"]
+    assert search.hybrid(g, asked, vectors=vectors, switches=search.Switches().without("semantic"))["status"] == "no_match"
+
+
+def test_full_text_tiers_and_fuzzy_fallback(spark):
+    g = make(spark, [("a.py", "retry"), ("a.py", "retry policy"), ("b.py", "the retry"), ("b.py", "other")], [])
+    assert [(r.name, r.tier) for r in search.indexed(g.by_name, "retry", 10).collect()] == [("retry", 0), ("retry policy", 1), ("the retry", 2)]
+    assert {r.name for r in search.indexed(g.by_name, "retri)", 10).collect()} == set() and search.indexed(g.by_name, " ", 5).count() == 0
+    assert not search.parses('"open') and not search.parses("a AND") and search.parses("a (b) \"c\"")

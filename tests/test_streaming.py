@@ -42,3 +42,49 @@ def test_replay_equals_batch(spark):
     path = "/root/testdata/sf0.001/events.parquet"
     batch = watch.last_per_path(watch.as_file_events(spark.read.parquet(path))).filter("op = 'update'").select("path", "hash")
     assert sorted(map(tuple, watch.replay(spark, path, 5).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_stream_updates_the_graph(spark, tmp_path):
+    from grapheion.sources import extract
+    from grapheion.sources.store import GraphStore
+
+    store = GraphStore(spark, f"file://{tmp_path}/g")
+    parsed = []
+
+    def parse(files):
+        parsed.append(sorted(r.file_path for r in files.select("file_path").collect()))
+        return extract.parse(files)
+
+    def content(rows):
+        return spark.createDataFrame([(p, op, T0 + timedelta(seconds=s), i, c) for i, (p, op, s, c) in enumerate(rows)], "path string, op string, ts timestamp, event_id long, content string")
+
+    sources = lambda last: last.selectExpr("path AS file_path", "encode(content, 'UTF-8') AS content", "sha2(content, 256) AS file_hash")
+    watch_ = watch.GraphWatch(store, sources, parse)
+    one, two = "def one():\n    return two()\n", "def two():\n    return 2\n"
+    assert watch_.apply(content([("a.py", "update", 0, "def old(): pass"), ("a.py", "update", 1, one), ("b.py", "update", 0, two)]), 0) > 0
+    names = lambda: {r.qualified_name for r in store.read().nodes.collect()}
+    assert names() == {"a.py", "a.py::one", "b.py", "b.py::two"} and parsed == [["a.py", "b.py"]]
+    # the batch again, then one whose only content is stored: nothing is parsed
+    assert watch_.apply(content([("a.py", "remove", 0, None)]), 0) == 0 and len(parsed) == 1
+    assert watch_.apply(content([("a.py", "update", 5, one)]), 1) == 0 and parsed[1:] == [[]]
+    watch_.apply(content([("b.py", "remove", 9, None), ("c.py", "update", 9, two)]), 2)
+    assert names() == {"a.py", "a.py::one", "c.py", "c.py::two"}
+    whole = extract.build(sources(content([("a.py", "update", 0, one), ("c.py", "update", 0, two)])).withColumnRenamed("file_hash", "h"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(store.read().edges) == rows(whole.edges)
+
+
+def test_vectors_of_vanished_nodes_go(spark, tmp_path, monkeypatch):
+    from grapheion.sources import store as st
+
+    monkeypatch.setattr(st, "GARBAGE_AFTER", 3)
+    store = st.GraphStore(spark, f"file://{tmp_path}/g")
+    watch_ = watch.GraphWatch(store, lambda last: last.selectExpr("path AS file_path", "encode('def f(): pass', 'UTF-8') AS content", "sha2(path, 256) AS file_hash"))
+    event = lambda p, op, i: spark.createDataFrame([(p, op, T0, i)], "path string, op string, ts timestamp, event_id long")
+    watch_.apply(event("a.py", "update", 0), 0)
+    store.write_embeddings(spark.createDataFrame([("a.py::f", "node", "p", [1.0]), ("a.py", "file", "p", [1.0]), ("gone::x", "node", "p", [1.0])], "key string, level string, provider string, vec array<float>"))
+    watch_.apply(event("b.py", "update", 1), 1)
+    assert {r.key for r in store.embeddings().collect()} == {"a.py::f", "a.py"} and store.metadata()["changes_since_gc"] == "0"
+    assert store.reset_embeddings("other") == 0
+    store.compact()
+    assert store.read().nodes.count() == 4
