@@ -167,6 +167,17 @@ def settings(root: str) -> dict[str, str]:
     return found | {k: v for k in SETTINGS if (v := os.environ.get(f"GRAPHEION_{k.upper()}")) is not None}
 
 
+def set_setting(root: str, name: str, value: str) -> None:
+    """Write one setting to <store>/config.json, readable by its owner alone; unknown entries stay."""
+    store_folder(root)
+    path, found = os.path.join(root, STORE_DIR, "config.json"), {}
+    if os.path.exists(path):
+        with open(path, encoding="utf8") as f:
+            found = json.load(f)
+    with open(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf8") as f:
+        json.dump(found | {name: value}, f, indent=2)
+
+
 def export(graph: CodeGraph) -> tuple[DataFrame, DataFrame]:
     """Nodes distinct by name and edges distinct by ends and kind."""
     return graph.by_name, graph.edges_distinct.select("src", "dst", "kind")

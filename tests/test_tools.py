@@ -39,3 +39,28 @@ def test_tools_end_to_end(spark, tmp_path):
     assert tools.find_large_functions(repo, min_lines=3)["results"][0]["line_count"] >= 3
     assert tools.hybrid_query(repo, "greet_x greet")["status"] in ("ok", "no_match") and tools.batch_open_node_context(repo, ["utils.py::add"])[0]["status"] == "ok"
     assert tools.get_docs_section('<section name="a">x</section>', "a")["content"] == "x" and len(tools.listed("all")) == 13 and len(tools.listed("core")) == 5
+
+
+def test_settings_and_watch(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from grapheion import __main__ as cli
+
+    (tmp_path / ".git").mkdir()
+    assert cli.config(str(tmp_path), "model", "m1") == {"model": "m1"}
+    assert cli.config(str(tmp_path), "api_key", "abcdefghijk") == {"model": "m1", "api_key": "abc***ijk"} and oct((tmp_path / ".grapheion" / "config.json").stat().st_mode)[-3:] == "600"
+    with pytest.raises(ValueError):
+        cli.config(str(tmp_path), "other", "x")
+    updates = []
+
+    class Repo:
+        root = str(tmp_path)
+
+        def update(self, changed):
+            updates.append(changed)
+
+    (tmp_path / "a.py").write_text("x = 1")
+    monkeypatch.setattr(cli.git, "tracked", lambda root: ["a.py", "b.py", "c.txt"])
+    steps = iter([lambda: (tmp_path / "b.py").write_text("y"), lambda: None, lambda: (tmp_path / "a.py").unlink()])
+    monkeypatch.setattr(cli.time, "sleep", lambda _: next(steps)())
+    assert cli.watch(Repo(), rounds=3) == 2 and updates == [["b.py"], ["a.py"]]
