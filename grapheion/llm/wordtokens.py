@@ -12,8 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
-
-import numpy as np
+import struct
 
 #: Words a worker remembers; further words are encoded anew each time they appear.
 CACHE_WORDS = 1_000_000
@@ -25,6 +24,9 @@ _ODD = re.compile("[\x1c-\x1f]")
 #: Below this every character has one lower case, whatever stands around it.
 _SIMPLE = "\u0130"
 
+#: Words that normalizing leaves alone and splitting leaves whole: lower-case letters of ASCII and Latin-1.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
 #: Splits into runs of letters, single numbers and runs of what is neither, white space left out.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -44,7 +46,8 @@ def by_words(path: str) -> bool:
     split = [p for p in parts("pre_tokenizer", "pretokenizers") if p.get("type") == "Split"]
     rest = [p for p in parts("pre_tokenizer", "pretokenizers") if p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and not p.get("use_regex")]
     words = [p for p in split if p.get("pattern") == {"Regex": _WORDS} and p.get("behavior") == "Removed" and p.get("invert")]
-    return normal == ["NFC", "Replace", "Lowercase"] and len(words) == len(split) == 1 and len(rest) == 1 and len(parts("pre_tokenizer", "pretokenizers")) == 2
+    whole = not spec.get("truncation") and not spec.get("padding") and not spec.get("post_processor") and spec["model"].get("type") == "BPE"
+    return whole and normal == ["NFC", "Replace", "Lowercase"] and len(words) == len(split) == 1 and len(rest) == 1 and len(parts("pre_tokenizer", "pretokenizers")) == 2
 
 
 class WordEncoder(dict):
@@ -53,14 +56,23 @@ class WordEncoder(dict):
     def __init__(self, path: str):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self._by_words = by_words(path)
         self.vocab_size = self._tokenizer.get_vocab_size(with_added_tokens=True)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _plain(self, word: str) -> bytes:
+        """The library's merges alone, for a word on which its normalizer and splitter do nothing."""
+        tokens = self._model.tokenize(word if word.isascii() else word.translate(self._as_bytes))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def __missing__(self, word: str) -> bytes:
         # the vocabulary ignores case (but for its special tokens) and never joins a letter with punctuation: "Word," is "word" and ","
@@ -68,6 +80,8 @@ class WordEncoder(dict):
             out = self[word[:-1]] + self[word[-1]]
         elif (lower := word.lower()) != word and max(word) < _SIMPLE and "<|" not in word:
             out = self[lower]
+        elif _PLAIN.fullmatch(word):
+            out = self._plain(word)
         else:
             out = self._whole(word)
         if len(word) <= CACHE_CHARS and len(self) < CACHE_WORDS:

@@ -83,6 +83,15 @@ def test_queries_equal_the_library_on_a_table(spark):
         assert at == len(want[d])
 
 
+def test_plain_words_equal_the_library():
+    t = Tokenizer.from_file(wordtokens.default_path())
+    enc = wordtokens.WordEncoder(wordtokens.default_path())
+    letters = [chr(c) for c in range(0xC0, 0x180)] + list("abcxyzABCXYZ")
+    words = [a + b + c for a in letters for b in ("", "e", "\u00e9", "\u0301", "\u00d7") for c in ("", "s.", "tion", "'s", "\u00df")]
+    for w in words:
+        assert enc.ids(w) == np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), w
+
+
 def test_other_vocabularies_go_to_the_library_whole(spark):
     import public_tokenizers
 
