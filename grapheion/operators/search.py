@@ -222,6 +222,25 @@ def vector_join(queries: DataFrame, items: DataFrame, key: str, bucket: str, vec
     return vector_join_all(queries.filter(F.col(bucket).isNotNull()), items.filter(F.col(bucket).isNotNull()), key, vector, top, bucket)
 
 
+def _keep(best_key: np.ndarray, best_score: np.ndarray, rows: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> None:
+    """Enter the scores of some rows' queries with ``keys`` into the kept ones; -2 stands for no pair."""
+    top = best_score.shape[1]
+    # a score can enter only if it reaches the last kept; equal ones enter by key
+    for q in np.flatnonzero((scores >= best_score[rows, -1:]).any(1) & (scores.max(1) > -2.0)).tolist():
+        r = rows[q]
+        at = np.flatnonzero((scores[q] >= best_score[r, -1]) & (scores[q] > -2.0))
+        k, s = np.concatenate([best_key[r], keys[at]]), np.concatenate([best_score[r], scores[q, at]])
+        by = np.lexsort((k, -s))[:top]
+        best_key[r], best_score[r] = k[by], s[by]
+
+
+def _kept(ids: np.ndarray, best_key: np.ndarray, best_score: np.ndarray) -> Iterator[pa.RecordBatch]:
+    q, r = np.nonzero(best_score > -2.0)
+    for lo in range(0, len(q), 10_000):
+        part = slice(lo, lo + 10_000)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q[part]]), pa.array(best_key[q[part], r[part]]), pa.array(best_score[q[part], r[part]])], names=["query_id", "key", "score"])
+
+
 def _nearest_in_task(table: pa.Table, top: int, by_bucket: bool) -> Callable:
     """mapInArrow function: the ``top`` items of a task for each query of ``table``."""
 
@@ -250,16 +269,8 @@ def _nearest_in_task(table: pa.Table, top: int, by_bucket: bool) -> Callable:
                 scores[ids[lo:hi, None] == keys[None, :]] = -2.0
                 if by_bucket:
                     scores[home[lo:hi, None] != buckets[None, :]] = -2.0
-                # a score can enter only if it reaches the last kept; equal ones enter by key
-                for q in np.flatnonzero((scores >= best_score[lo:hi, -1:]).any(1) & (scores.max(1) > -2.0)).tolist():
-                    at = np.flatnonzero((scores[q] >= best_score[lo + q, -1]) & (scores[q] > -2.0))
-                    k, s = np.concatenate([best_key[lo + q], keys[at]]), np.concatenate([best_score[lo + q], scores[q, at]])
-                    by = np.lexsort((k, -s))[:top]
-                    best_key[lo + q], best_score[lo + q] = k[by], s[by]
-        q, r = np.nonzero(best_score > -2.0)
-        for lo in range(0, len(q), 10_000):
-            part = slice(lo, lo + 10_000)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[part]]), pa.array(best_key[q[part], r[part]]), pa.array(best_score[q[part], r[part]])], names=["query_id", "key", "score"])
+                _keep(best_key, best_score, np.arange(lo, hi), scores, keys)
+        yield from _kept(ids, best_key, best_score)
 
     return run
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grapheion.functions import text as tx
-from grapheion.operators import algos, context, maintain, search
+from grapheion.operators import algos, context, ivf, maintain, search
 from grapheion.operators.graph import EDGE_WEIGHTS, CodeGraph
 from grapheion.plans import fixture
 from grapheion.plans.fixture import SQL as G
@@ -457,6 +457,14 @@ def cosine_topk_all(spark, sf_dir):
     return search.vector_join_all(emb.filter("vec_id % 100 = 0"), emb, "vec_id", "embedding", 5)
 
 
+@query(None)
+def cosine_topk_approx(spark, sf_dir):
+    """The same queries and items by an index of lists; recall against the exact join is tested."""
+    emb = read(spark, sf_dir, "embeddings")
+    index = ivf.build(emb, "vec_id", "embedding")
+    return index.nearest(emb.filter("vec_id % 100 = 0"), "vec_id", "embedding", 5)
+
+
 def _two_lists(g: CodeGraph) -> tuple[DataFrame, DataFrame]:
     a = search.search_and(g.by_name, "fn_building", 50)
     b = g.large(60, "Function", limit=80)
