@@ -76,7 +76,8 @@ class WordEncoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         # the vocabulary ignores case (but for its special tokens) and never joins a letter with punctuation: "Word," is "word" and ","
-        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha():
+        # (a letter from U+0130 on may end in a mark when it is lower-cased, and the mark joins the punctuation)
+        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha() and max(word) < _SIMPLE:
             out = self[word[:-1]] + self[word[-1]]
         elif (lower := word.lower()) != word and max(word) < _SIMPLE and "<|" not in word:
             out = self[lower]

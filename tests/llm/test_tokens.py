@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -101,3 +102,15 @@ def test_other_vocabularies_go_to_the_library_whole(spark):
     enc = wordtokens.encoder(path)
     for x in filter(None, TEXTS):
         assert enc.ids(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_mixed_alphabets_equal_the_library():
+    """Words of many scripts, marks and punctuation; U+0130 lower-cases to a letter and a mark that joins what follows."""
+    whole, enc = Tokenizer.from_file(wordtokens.default_path()), wordtokens.encoder(wordtokens.default_path())
+    rnd = random.Random(3)
+    pools = ["abcXYZ", "éàÉÇß", "ıİĞşŞğ", "АБВгде", "ΑΒΣσς", "中文字", "أبت", "̧́̇", "0129²½", "🙂👍", "ĄąŁłŽž", "ǅǆﬁﬂſ", "กขค", "ႠႡაბ", "𐐀𐐨𝐀"]
+    texts = ["İ,", "ISPARTALİ, x", "aİ. İ;İ!"]
+    for _ in range(20_000):
+        words = ["".join(rnd.choice(rnd.choice(pools)) for _ in range(rnd.randrange(1, 7))) + "".join(rnd.choice(".,;:!?-'\"(<|>)") for _ in range(rnd.randrange(3))) for _ in range(rnd.randrange(1, 6))]
+        texts.append(rnd.choice([" ", "  ", "\n", "\t", " ", "　"]).join(words))
+    assert all(enc.ids(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts)
