@@ -48,10 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession, keep: bool = False) -> str:
     """A fresh path below the folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, local runs) a folder of our own is made.
+    It is removed when the driver ends, unless ``keep`` says that its files are a result. Only
+    where that setting is absent (tests, local runs) a folder of our own is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
@@ -61,7 +62,8 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/grapheion-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not keep:
+        atexit.register(_remove, spark, path)
     return path
 
 
