@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grapheion.llm import binary_ids, byte_bpe, html_text, kneser_ney, near_dup, overwrite, packing, pii, quality, quotes, sketch, suffix_dedup
+from grapheion.llm import binary_ids, byte_bpe, html_text, kneser_ney, near_dup, overwrite, packing, phrases, pii, quality, quotes, sketch, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dup": near_dup.op9_near_dup,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
         "op11_pii": pii.op11_pii,
+        "op12_phrases": phrases.op12_phrases,
         "op13_late_overwrite": overwrite.op13_late_overwrite,
     }
 
