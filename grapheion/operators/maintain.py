@@ -61,21 +61,28 @@ def diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     return o.join(n, key, "full_outer").filter(~F.col("_old").eqNullSafe(F.col("_new"))).select(key, change.alias("change"))
 
 
-def incremental_update(graph: CodeGraph, sources: DataFrame, changed: DataFrame, parse) -> tuple[CodeGraph, DataFrame]:
-    """Parse the changed files and what depends on them, unless their hash is stored.
+def changed_parts(graph: CodeGraph, sources: DataFrame, changed: DataFrame, parse, dependents: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(files, nodes, edges_raw, changed names): what takes the place of all that ``files`` held.
 
     ``sources``: (file_path, content, file_hash) on disk; ``changed``: (file_path), removed ones included;
-    ``parse``: sources -> (nodes, edges_raw). Returns the new graph and the names that changed.
+    ``parse``: sources -> (nodes, edges_raw). Files whose hash is stored are left. ``dependents`` looks at
+    files with an edge into the changed ones too, which takes all edges; without it only nodes of the
+    changed files are read.
     """
-    names = changed.select("file_path").distinct()
-    into = graph.edges.filter(F.col("kind").isin("CALLS", "IMPORTS_FROM", "INHERITS", "IMPLEMENTS"))
-    dependents = into.join(names.withColumnRenamed("file_path", "dst_file"), "dst_file", "left_semi").select(F.col("src_file").alias("file_path"))
-    wanted = names.unionByName(dependents).distinct()
-    todo = sources.join(wanted, "file_path", "left_semi").join(graph.file_hashes(), ["file_path", "file_hash"], "left_anti")
-    gone = names.join(sources.select("file_path"), "file_path", "left_anti")
+    names = wanted = changed.select("file_path").distinct()
+    if dependents:
+        into = graph.edges.filter(F.col("kind").isin("CALLS", "IMPORTS_FROM", "INHERITS", "IMPLEMENTS"))
+        near = into.join(names.withColumnRenamed("file_path", "dst_file"), "dst_file", "left_semi").select(F.col("src_file").alias("file_path"))
+        wanted = names.unionByName(near).distinct()
+    stored = graph.nodes.join(wanted, "file_path", "left_semi")
+    todo = sources.join(wanted, "file_path", "left_semi").join(stored.select("file_path", "file_hash").distinct(), ["file_path", "file_hash"], "left_anti")
+    files = names.join(sources.select("file_path"), "file_path", "left_anti").unionByName(todo.select("file_path")).distinct()
     nodes, edges = parse(todo)
-    after = replace_files(graph, nodes, edges, gone.unionByName(todo.select("file_path")))
-    touched = gone.unionByName(todo.select("file_path")).distinct()
-    before = graph.nodes.join(touched, "file_path", "left_semi").groupBy("qualified_name").agg(F.max("body_hash").alias("body_hash"))
-    now = nodes.groupBy("qualified_name").agg(F.max("body_hash").alias("body_hash"))
-    return after, diff(before, now, "qualified_name", "body_hash")
+    hashed = lambda df: df.groupBy("qualified_name").agg(F.max("body_hash").alias("body_hash"))
+    return files, nodes, edges, diff(hashed(stored.join(files, "file_path", "left_semi")), hashed(nodes), "qualified_name", "body_hash")
+
+
+def incremental_update(graph: CodeGraph, sources: DataFrame, changed: DataFrame, parse) -> tuple[CodeGraph, DataFrame]:
+    """The new graph and the names that changed: changed files and what depends on them, unless their hash is stored."""
+    files, nodes, edges, names = changed_parts(graph, sources, changed, parse, dependents=True)
+    return replace_files(graph, nodes, edges, files), names

@@ -559,7 +559,9 @@ def live_only(embeddings: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def upsert(embeddings: DataFrame, new: DataFrame) -> DataFrame:
-    return embeddings.join(new.select("key"), "key", "left_anti").unionByName(new.select(*embeddings.columns))
+    """New vectors in the place of stored ones of the same key and, where both have one, level: a file's path is its node's key too."""
+    on = ["key", "level"] if {"level"} <= set(embeddings.columns) & set(new.columns) else ["key"]
+    return embeddings.join(new.select(*on).distinct(), on, "left_anti").unionByName(new.select(*embeddings.columns))
 
 
 def file_texts(nodes: DataFrame) -> DataFrame:

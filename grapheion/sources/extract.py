@@ -367,7 +367,15 @@ def parse(files: DataFrame, extractor=extract) -> tuple[DataFrame, DataFrame]:
 
     as_ddl = lambda s: ",".join(f"{x.name}:{x.dataType.simpleString()}" for x in s)
     both = files.select("file_path", "content").mapInPandas(run, f"nodes array<struct<{as_ddl(NODE_SCHEMA)}>>, edges array<struct<{as_ddl(EDGE_SCHEMA)}>>").cache()
-    return both.select(F.explode("nodes").alias("x")).select("x.*"), both.select(F.explode("edges").alias("x")).select("x.*")
+    nodes, edges = both.select(F.explode("nodes").alias("x")).select("x.*"), both.select(F.explode("edges").alias("x")).select("x.*")
+    nodes._parsed = both
+    return nodes, edges
+
+
+def release(nodes: DataFrame) -> None:
+    """Drop what ``parse`` keeps for its two results, once both are written."""
+    if getattr(nodes, "_parsed", None) is not None:
+        nodes._parsed.unpersist()
 
 
 def build(files: DataFrame):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from grapheion.operators import maintain
 from grapheion.sources import extract
+from grapheion.sources.commits import Commits, Conflict, filesystem, path_of
 from grapheion.sources.store import GraphStore
 
+#: Versions of the state that stay.
 COMPACT_EVERY = 50
 
 
@@ -51,83 +54,151 @@ def apply_batch(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFram
     return merged, todo
 
 
+def _stream_id(spark: SparkSession, stream: str | None) -> str:
+    """A stream is its query's id, which its checkpoint keeps: a new checkpoint is another stream."""
+    return stream or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "default"
+
+
 class Store:
-    """State in versioned folders: a batch writes a new version, then its number; readers use the last number.
+    """State in versioned folders under numbered commits, each with the last batch of every stream in it.
 
-    A batch that runs twice (after a failure) finds its version done and changes nothing.
+    A batch that runs twice (after a failure) finds itself applied and changes nothing; batches in
+    any order, of any stream, end in the same state.
     """
 
     SCHEMA = "path string, op string, hash string, ts timestamp, event_id long"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs, self._commits = filesystem(spark, self.folder), Commits(spark, f"{self.folder}/commits")
 
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+    def _head(self) -> dict:
+        last = self._commits.last()
+        return {"folder": None, "streams": {}} if last < 0 else json.loads(self._commits.text(last))
 
-    def version(self) -> int:
-        if not self._fs.exists(self._path("")):
-            return -1
-        done = [str(s.getPath().getName()) for s in self._fs.listStatus(self._path(""))]
-        return max([int(n[5:]) for n in done if n.startswith("done-")], default=-1)
+    def version(self, stream: str | None = None) -> int:
+        """The last batch of a stream that is applied."""
+        return self._head()["streams"].get(_stream_id(self.spark, stream), -1)
 
     def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.createDataFrame([], self.SCHEMA) if v < 0 else self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/v-{v}")
-
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.version():
-            return
-        state, _ = apply_batch(self.read(), batch)
-        state.select("path", "op", "hash", "ts", "event_id").write.mode("overwrite").parquet(f"{self.folder}/v-{batch_id}")
-        self._fs.create(self._path(f"done-{batch_id}")).close()
-        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-            for old in range(batch_id - COMPACT_EVERY, batch_id):
-                self._fs.delete(self._path(f"v-{old}"), True)
+        folder = self._head()["folder"]
+        return self.spark.createDataFrame([], self.SCHEMA) if folder is None else self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/{folder}")
+
+    def apply(self, batch: DataFrame, batch_id: int, stream: str | None = None) -> None:
+        name = _stream_id(self.spark, stream)
+        while batch_id > self.version(name):
+            last, head = self._commits.last(), self._head()
+            state, _ = apply_batch(self.read(), batch)
+            fresh = f"v-{uuid.uuid4().hex[:12]}"
+            state.select("path", "op", "hash", "ts", "event_id").write.parquet(f"{self.folder}/{fresh}")
+            try:
+                self._commits.commit(last + 1, json.dumps({"folder": fresh, "streams": head["streams"] | {name: batch_id}}))
+            except Conflict:  # another stream was first: apply the batch to what it left
+                self._fs.delete(path_of(self.spark, f"{self.folder}/{fresh}"), True)
+                continue
+            for old in self._commits.numbers()[:-COMPACT_EVERY]:
+                self._fs.delete(path_of(self.spark, f"{self.folder}/{json.loads(self._commits.text(old))['folder']}"), True)
+            self._commits.forget(last + 2 - COMPACT_EVERY)
 
 
 class GraphWatch:
     """A stored graph kept up to date by batches of file events (path, op, ts, event_id, ...).
 
-    Of each path the last event of a batch counts. Removed files leave the graph first; updated
-    ones are read by ``sources`` (from the batch's last updates to (file_path, content, file_hash)),
-    skipped if their hash is stored, else parsed and put in place of what was stored. Edges into
-    them come back by themselves, as edges are resolved anew. The number of a batch is written
-    with its graph, so a batch that runs again changes nothing; the store is read anew for each,
-    so what others wrote in between is kept.
+    The store keeps the last event of each path beside the graph, keyed as the graph is. Of a batch
+    the last event of each path counts, if it is newer (ts, then event_id) than the one kept: late
+    events, repeated batches and batches in any order end in the same graph. Removed files leave
+    the graph; updated ones are read by ``sources`` (from the last updates to (file_path, content,
+    file_hash)), skipped if their hash is stored, else parsed and put in place of what was stored.
+    Edges into them come back by themselves, as edges are resolved anew. Graph, events and the
+    number of the batch, under the id of its stream, become one version; an update writes a
+    segment of the changed files and reads only the last events and the nodes of named files.
     """
 
     def __init__(self, store: GraphStore, sources: Callable[[DataFrame], DataFrame], parse: Callable = extract.parse):
         self.store, self.sources, self.parse = store, sources, parse
 
-    def apply(self, batch: DataFrame, batch_id: int) -> int:
+    def apply(self, batch: DataFrame, batch_id: int, stream: str | None = None) -> int:
         """How many names changed."""
-        if int(self.store.metadata().get("stream_batch", "-1")) >= batch_id:
-            return 0
+        spark = self.store.spark
+        name = _stream_id(spark, stream)
+        while True:
+            since = self.store.version()
+            head = self.store.head(since)
+            if head["streams"].get(name, -1) >= batch_id:
+                return 0
+            try:
+                return self._apply(batch, since, name, batch_id)
+            except Conflict:  # another writer changed one of these files: apply the batch to what it left
+                continue
+
+    def _apply(self, batch: DataFrame, since: int, stream: str, batch_id: int) -> int:
         rest = [c for c in batch.columns if c not in ("path", "ts", "event_id")]
-        last = batch.groupBy("path").agg(F.max(F.struct("ts", "event_id", *rest)).alias("e")).select("path", "e.*").cache()
-        gone = last.filter("op = 'remove'").select(F.col("path").alias("file_path"))
+        last = batch.groupBy("path").agg(F.max(F.struct("ts", "event_id", *rest)).alias("e")).select("path", "e.*")
+        kept = self.store.state().select(F.col("file_path").alias("path"), F.struct("ts", "event_id").alias("kept"))
+        kept = kept.join(last.select("path"), "path", "left_semi")
+        last = last.join(kept, "path", "left").filter(F.col("kept").isNull() | (F.struct("ts", "event_id") > F.col("kept"))).drop("kept").cache()
         updated = last.filter("op = 'update'")
-        graph = self.store.read()
-        before = graph.nodes.join(gone, "file_path", "left_semi").select("qualified_name").distinct().count()
-        after, diff = maintain.incremental_update(maintain.remove_files(graph, gone), self.sources(updated), updated.select(F.col("path").alias("file_path")), self.parse)
-        changed = diff.count() + before
-        self.store.write(after, last_build_type="incremental", stream_batch=str(batch_id))
-        last.unpersist()
-        self.store.collect_garbage(self.store.read(), changed)
-        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-            self.store.compact()
-        return changed
-
-
-def watch_graph(events: DataFrame, store: GraphStore, sources: Callable[[DataFrame], DataFrame], checkpoint: str, available_now: bool = True, parse: Callable = extract.parse):
-    """Start the stream of file events into a stored graph."""
+        found = self.sources(updated).cache()
+        graph = self.store.read(since)
+        files, nodes, edges, changed = maintain.changed_parts(graph, found, last.select(F.col("path").alias("file_path")), self.parse)
+        files = files.cache()
+        try:
+            n = changed.count()
+            self.store.update(files, nodes, edges, last.select(F.col("path").alias("file_path"), "ts", "event_id", "op"), stream, batch_id, since, last_build_type="incremental")
+        finally:
+            extract.release(nodes)
+            for df in (files, found, last):
+                df.unpersist()
+        self.store.collect_garbage(self.store.read(), n)
+        self.store.tidy()
+        return n
+
+
+def watch_graph(events: DataFrame, store: GraphStore, sources: Callable[[DataFrame], DataFrame], checkpoint: str, available_now: bool = True, parse: Callable = extract.parse, debounce: str | None = None, late: str = "10 minutes"):
+    """Start the stream of file events into a stored graph; ``debounce`` waits for pauses of that length first."""
     watch = GraphWatch(store, sources, parse)
+    events = events if debounce is None else settled(events, debounce, late)
     writer = events.writeStream.foreachBatch(lambda df, i: watch.apply(df, i)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="300 milliseconds")).start()
 
 
+def settled(events: DataFrame, gap: str = "300 milliseconds", late: str = "10 minutes") -> DataFrame:
+    """Of each burst of a path's events the last one, once no other has followed for ``gap``.
+
+    Keyed state with a timer in event time: a path's last event and nothing more is kept, until the
+    watermark, ``late`` behind the newest event, has passed it by the gap. Events older than the
+    watermark are dropped by Spark.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    span, zone = pd.Timedelta(gap), events.sparkSession.conf.get("spark.sql.session.timeZone")
+    columns = events.columns
+    fields = {f.name: f.dataType for f in events.schema}
+    kept = ", ".join(f"`{c}` {'string' if c == 'path' else fields[c].simpleString()}" for c in columns)
+    order = [columns.index("ts"), columns.index("event_id")]
+
+    def step(key, frames, state):
+        newest = tuple(state.get) if state.exists else None
+        out = []
+        if state.hasTimedOut:
+            out.append(newest)
+            state.remove()
+        else:
+            rows = [r for f in frames for r in f[columns].itertuples(index=False, name=None)]
+            for r in sorted(rows, key=lambda r: (r[order[0]], r[order[1]])):
+                if newest is not None and pd.Timestamp(r[order[0]]) - pd.Timestamp(newest[order[0]]) > span:
+                    out.append(newest)
+                    newest = r
+                elif newest is None or (pd.Timestamp(r[order[0]]), r[order[1]]) > (pd.Timestamp(newest[order[0]]), newest[order[1]]):
+                    newest = r
+            state.update(tuple(pd.Timestamp(v).to_pydatetime() if i == order[0] else v for i, v in enumerate(newest)))
+            state.setTimeoutTimestamp(int((pd.Timestamp(newest[order[0]]).tz_localize(zone) + span).timestamp() * 1000) + 1)
+        yield pd.DataFrame(out, columns=columns)
+
+    return events.withWatermark("ts", late).groupBy("path").applyInPandasWithState(step, kept, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run(events: DataFrame, folder: str, checkpoint: str, available_now: bool = True):
     """Start the stream of file events into a store."""
     store = Store(events.sparkSession, folder)

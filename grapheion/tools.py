@@ -41,12 +41,16 @@ class Repository:
 
     def update(self, changed: list[str]) -> dict:
         names = self.spark.createDataFrame([(p,) for p in changed], "file_path string")
-        after, diff = maintain.incremental_update(self.store.read(), self.scan(), names, extract.parse)
-        diff = diff.cache()
+        since = self.store.version()
+        files, nodes, edges, diff = maintain.changed_parts(self.store.read(since), self.scan(), names, extract.parse, dependents=True)
+        files, diff = files.cache(), diff.cache()
         total, found = diff.count(), [r.asDict() for r in diff.orderBy("qualified_name").limit(SHOWN).collect()]
-        self.store.write(after, last_build_type="incremental")
-        diff.unpersist()
-        self.store.collect_garbage(after, total)
+        self.store.update(files, nodes, edges, since=since, last_build_type="incremental")
+        extract.release(nodes)
+        for df in (files, diff):
+            df.unpersist()
+        self.store.collect_garbage(self.store.read(), total)
+        self.store.tidy()
         return {"status": "ok", "build_type": "incremental", "changed_files": len(changed), "changed_qualified_names": found, "total_changed": total}
 
 
