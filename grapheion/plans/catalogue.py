@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from grapheion.functions import text as tx
 from grapheion.operators import algos, context, ivf, maintain, search
 from grapheion.operators.graph import EDGE_WEIGHTS, CodeGraph
+from grapheion.operators.lineage import shared_folder
+from grapheion.operators.textindex import NameIndex, TextIndex, first_relevant
 from grapheion.plans import fixture
 from grapheion.plans.fixture import SQL as G
 from grapheion.plans.fixture import read
@@ -232,6 +234,89 @@ def full_text_bm25(spark, sf_dir):
     return search.bm25(docs, "doc_id", F.coalesce("text", F.lit("")), " ".join(BM25_TERMS), 50).withColumn("score", F.round("score", 6))
 
 
+def _document_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    return TextIndex.build(read(spark, sf_dir, "documents"), "doc_id", F.col("text"), shared_folder(spark, "index"))
+
+
+@query(_SQL["full_text_bm25"])
+def bm25_indexed(spark, sf_dir):
+    """The same from stored postings: only blocks of the query's terms that can reach the fifty best are read."""
+    return _document_index(spark, sf_dir).search(" ".join(BM25_TERMS), 50).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+WORDS_SQL = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
+BENCHMARK_SQL = f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+c AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(CAST(len(ws) AS DOUBLE)) AS a FROM w),
+q AS (SELECT item_id, unnest(list_distinct({WORDS_SQL})) AS term FROM benchmark),
+tf AS (SELECT doc_id, l, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc_id, len(ws) AS l, unnest(ws) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, l, term),
+d AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l / a))) AS score
+  FROM q JOIN tf USING (term) JOIN d USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+"""
+
+
+def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query(f"{BENCHMARK_SQL} SELECT item_id, doc_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10")
+def bm25_benchmark(spark, sf_dir):
+    """All benchmark texts as queries, answered together."""
+    found = _document_index(spark, sf_dir).top(_benchmark_queries(spark, sf_dir), 10)
+    return found.select(F.col("query_id").alias("item_id"), F.col("key").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""{BENCHMARK_SQL}, rel AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+h AS (SELECT item_id, min(rank) AS rank FROM r JOIN rel USING (item_id, doc_id) WHERE rank <= 10 GROUP BY item_id),
+e AS (SELECT CASE WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS size, rank FROM benchmark JOIN (SELECT DISTINCT item_id FROM rel) USING (item_id) LEFT JOIN h USING (item_id))
+SELECT size, CAST(count(*) AS BIGINT) AS cases, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM e GROUP BY ROLLUP (size)""")
+def eval_retrieval(spark, sf_dir):
+    """Hit@5 and mean reciprocal rank of what full text finds for each benchmark text that some document holds."""
+    queries = _benchmark_queries(spark, sf_dir)
+    found = _document_index(spark, sf_dir).top(queries, 10).select("query_id", "key", "rank")
+    # whoever holds a text holds its second to eighth word in a row: these are joined, the whole texts then compared
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
+    # (the first word of a passage may be the tail of a longer one in the document; benchmark texts have ten words and more)
+    starts = docs.withColumn("w", F.split("body", r"\s+")).select("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 6, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(7)), " "))))).alias("h"))
+    asked = queries.withColumn("h", F.xxhash64(F.array_join(F.slice(F.split("text", r"\s+"), 2, 7), " ")))
+    pairs = starts.join(asked, "h").select("key", "query_id", "text")
+    relevant = pairs.join(docs, "key").filter(F.contains("body", "text")).select("query_id", "key").distinct()
+    ranks = first_relevant(found, queries.withColumn("size", F.when(F.length("text") > 200, "long").otherwise("short")), relevant)
+    return context.retrieval_metrics(ranks, ["size"])
+
+
+FUZZY = ["erthe", "theand", "onenin", "the", "schung"]
+
+
+# the twin compares letter by letter: its levenshtein counts bytes
+@query(f"""WITH t AS (SELECT DISTINCT unnest({WORDS_SQL}) AS term FROM documents)
+SELECT word, term FROM t, (SELECT unnest({FUZZY!r}) AS word) WHERE word = term OR abs(length(word) - length(term)) <= 1 AND len(list_filter(range(1, 1 + greatest(length(word), length(term))), lambda i:
+  length(word) = length(term) AND concat(substr(word, 1, i - 1), substr(word, i + 1)) = concat(substr(term, 1, i - 1), substr(term, i + 1))
+  OR length(word) = length(term) + 1 AND concat(substr(word, 1, i - 1), substr(word, i + 1)) = term OR length(word) + 1 = length(term) AND concat(substr(term, 1, i - 1), substr(term, i + 1)) = word)) > 0""")
+def fuzzy_terms(spark, sf_dir):
+    """Terms of the dictionary within one edit of some words, by what they have in common with a letter left out."""
+    return _document_index(spark, sf_dir).near(spark.createDataFrame([(w,) for w in FUZZY], "word string"))
+
+
+@query("WITH t AS (SELECT doc_id, unnest(list_distinct(" + WORDS_SQL + ")) AS term FROM documents) SELECT term, count(*) AS df FROM t WHERE starts_with(term, 'erth') GROUP BY term")
+def prefix_terms(spark, sf_dir):
+    return _document_index(spark, sf_dir).prefixed("erth")
+
+
+@query(_SQL["search_and"])
+def search_and_indexed(spark, sf_dir):
+    """The same rows from the three-letter parts of its words."""
+    index = NameIndex.build(fixture.graph(spark, sf_dir).by_name, shared_folder(spark, "names"))
+    return index.search_and("fn_building asia", 40).select("qualified_name", "name", "kind", "tier")
+
+
+@query(_SQL["search_relaxed"])
+def search_relaxed_indexed(spark, sf_dir):
+    index = NameIndex.build(fixture.graph(spark, sf_dir).by_name, shared_folder(spark, "names"))
+    return index.search_relaxed(LONG, 60).select("qualified_name", "kind", F.round("score", 6).alias("score"))
+
+
 def _queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to classify: conversation openings and benchmark items, some dressed as other kinds of query."""
     conv = read(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), F.col("conv_id").alias("k"), F.coalesce("text", F.lit("")).alias("x"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grapheion.operators import maintain
+from grapheion.operators.lineage import shared_folder
 from grapheion.sources import extract
 from grapheion.sources.commits import Commits, Conflict, filesystem, path_of
 from grapheion.sources.store import GraphStore
@@ -206,15 +206,6 @@ def run(events: DataFrame, folder: str, checkpoint: str, available_now: bool = T
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="300 milliseconds")).start(), store
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp()}"
-    return f"{base.rstrip('/')}/watch-{uuid.uuid4().hex}"
-
-
 def _as_stream(spark: SparkSession, path: str, folder: str, batches: int) -> DataFrame:
     """A table of events as a stream of several files, in order of time."""
     table = spark.read.parquet(path)
@@ -224,7 +215,7 @@ def _as_stream(spark: SparkSession, path: str, folder: str, batches: int) -> Dat
 
 def replay(spark: SparkSession, path: str, batches: int = 4) -> DataFrame:
     """Replay a table of events as a stream of several files; returns the live (path, hash)."""
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark, "watch")
     query, store = run(as_file_events(_as_stream(spark, path, folder, batches)), f"{folder}/state", f"{folder}/checkpoint")
     query.awaitTermination()
     return store.read().filter("op = 'update'").select("path", "hash")
@@ -232,7 +223,7 @@ def replay(spark: SparkSession, path: str, batches: int = 4) -> DataFrame:
 
 def replay_graph(spark: SparkSession, path: str, content: Callable[[DataFrame], DataFrame], batches: int = 4):
     """Replay a table of events into a stored graph; ``content`` makes (path, op, ts, event_id, content) of it."""
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark, "watch")
     store = GraphStore(spark, f"{folder}/graph")
     sources = lambda last: last.select(F.col("path").alias("file_path"), F.encode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("file_hash"))
     watch_graph(content(_as_stream(spark, path, folder, batches)), store, sources, f"{folder}/checkpoint").awaitTermination()
