@@ -107,6 +107,61 @@ def call_chain(graph: CodeGraph, start: str, end: str, max_depth: int = 10) -> l
     return []
 
 
+def call_paths(graph: CodeGraph, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(pair_id, path) of all (pair_id, source, target) with a shortest call path, outgoing calls first, else incoming.
+
+    The paths are those of ``call_chain``. Pairs are searched together, from both ends in turn, with
+    frontiers keyed by (pair, name); a pair that has met leaves the search. Nodes reached from the
+    source carry their path. From the nodes where both ends meet the path is carried on through the
+    layers around the target. The driver sees counts only.
+    """
+    pairs = cut(pairs.select("pair_id", "source", "target").distinct())
+    edges = graph.edges.filter("kind = 'CALLS'")
+    out = None
+    for near, far in (("src", "dst"), ("dst", "src")):
+        calls = cut(edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct())
+        found = _paths(calls, pairs, max_depth)
+        out = found if out is None else out.unionByName(found)
+        pairs = cut(pairs.join(found.select("pair_id"), "pair_id", "left_anti"))
+        if pairs.limit(1).count() == 0:
+            break
+    return out
+
+
+def _carried(rows: DataFrame) -> DataFrame:
+    """(pair_id, node, path) from (pair_id, next, node, path): by the least node before."""
+    best = rows.groupBy("pair_id", "next").agg(F.min(F.struct("node", "path")).alias("b"))
+    return best.select("pair_id", F.col("next").alias("node"), F.concat("b.path", F.array("next")).alias("path"))
+
+
+def _paths(calls: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
+    back = calls.select(F.col("next").alias("node"), F.col("node").alias("next"))
+    front = seen = cut(pairs.select("pair_id", F.col("source").alias("node"), F.array("source").alias("path")))
+    layers = [cut(pairs.select("pair_id", F.col("target").alias("node")))]
+    known, still, met = layers[0], pairs.select("pair_id"), None
+    for depth in range(max_depth + 1):
+        if depth % 2:  # one step from the sources
+            step = _carried(front.join(still, "pair_id", "left_semi").join(calls, "node"))
+            front = cut(step.join(seen, ["pair_id", "node"], "left_anti").select("pair_id", "node", "path"))
+            seen = seen.unionByName(front)
+        elif depth:  # one from the targets
+            step = layers[-1].join(still, "pair_id", "left_semi").join(back, "node").select("pair_id", F.col("next").alias("node")).distinct()
+            layers.append(cut(step.join(known, ["pair_id", "node"], "left_anti").select("pair_id", "node")))
+            known = known.unionByName(layers[-1])
+        here = front.join(still, "pair_id", "left_semi").join(layers[-1], ["pair_id", "node"], "left_semi").withColumn("left", F.lit(len(layers) - 1))
+        here = cut(here.select("pair_id", "node", "path", "left"))
+        met = here if met is None else met.unionByName(here)
+        still = cut(still.join(here, "pair_id", "left_anti"))
+        # a side that is nowhere any more, or no pair left
+        if still.join(front, "pair_id", "left_semi").join(layers[-1], "pair_id", "left_semi").limit(1).count() == 0:
+            break
+    for left in range(len(layers) - 1, 0, -1):
+        rest, on = met.filter(F.col("left") < left), met.filter(F.col("left") == left)
+        on = _carried(on.select("pair_id", "node", "path").join(calls, "node").join(layers[left - 1].select("pair_id", F.col("node").alias("next")), ["pair_id", "next"], "left_semi"))
+        met = cut(rest.unionByName(on.withColumn("left", F.lit(left - 1))))
+    return met.select("pair_id", "path")
+
+
 def path_steps(graph: CodeGraph, path: list[str]) -> DataFrame:
     """The path as rows: step, caller, callee, files."""
     spark = graph.nodes.sparkSession

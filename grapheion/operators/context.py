@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grapheion.operators import algos
+from grapheion.operators.intervals import overlaps
 from grapheion.operators.graph import CodeGraph, ranked
 
 SNIPPET = 120
@@ -35,16 +36,20 @@ def edges_as_json(edges: DataFrame) -> DataFrame:
 # ranges ------------------------------------------------------------------------
 def nodes_in_ranges(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
     """Nodes that overlap a changed range (file, start, end) of their file, each once."""
-    on = (F.col("file_path") == F.col("file")) & (F.col("line_start") <= F.col("end")) & (F.col("line_end") >= F.col("start"))
-    return nodes.join(ranges, on, "left_semi")
+    spans = nodes.select(F.col("file_path").alias("file"), F.col("line_start").alias("a_start"), F.col("line_end").alias("a_end")).distinct()
+    changed = ranges.select("file", F.col("start").alias("b_start"), F.col("end").alias("b_end")).distinct()
+    hit = overlaps(spans, changed).select(F.col("file").alias("file_path"), F.col("a_start").alias("line_start"), F.col("a_end").alias("line_end"))
+    return nodes.join(hit, ["file_path", "line_start", "line_end"], "left_semi").select(*nodes.columns)
 
 
 def enclosing(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """(file, line, enclosing): the narrowest function or test around a line, else the file."""
-    spans = nodes.filter(F.col("kind").isin("Function", "Test")).select("file_path", "line_start", "line_end", "qualified_name")
-    on = (F.col("file_path") == F.col("file")) & F.col("line").between(F.col("line_start"), F.col("line_end"))
-    best = F.min(F.when(F.col("qualified_name").isNotNull(), F.struct((F.col("line_end") - F.col("line_start")).alias("size"), "qualified_name")))
-    return lines.join(spans, on, "left").groupBy("file", "line").agg(best.alias("b")).select("file", "line", F.coalesce("b.qualified_name", "file").alias("enclosing"))
+    spans = nodes.filter(F.col("kind").isin("Function", "Test")).select(F.col("file_path").alias("file"), F.col("line_start").alias("a_start"), F.col("line_end").alias("a_end"), "qualified_name")
+    asked = lines.select("file", "line").distinct()
+    pairs = overlaps(spans, asked.select("file", F.col("line").alias("b_start"), F.col("line").alias("b_end")))
+    size = (F.col("a_end") - F.col("a_start")).alias("size")
+    best = pairs.groupBy("file", F.col("b_start").alias("line")).agg(F.min(F.struct(size, "qualified_name")).alias("b"))
+    return asked.join(best, ["file", "line"], "left").select("file", "line", F.coalesce("b.qualified_name", "file").alias("enclosing"))
 
 
 def merged_ranges(nodes: DataFrame, n_lines: Column) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grapheion.operators import search
+from grapheion.shipping import ship
 
 #: Expected rows of the sample that centroids are fitted on; twice as many at most.
 SAMPLE_ROWS = 20_000
@@ -94,6 +95,7 @@ def _lists_of(vectors: pa.Array, centroids: np.ndarray) -> np.ndarray:
 
 def build(items: DataFrame, key: str, vector: str, lists: int = LISTS) -> Index:
     """Fit centroids and put every row into its list."""
+    ship(items.sparkSession)
     sample = _sample(items, key, vector)
     centroids = fit(sample, lists) if len(sample) else sample
 

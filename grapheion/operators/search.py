@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from grapheion.functions import text as tx
 from grapheion.operators.graph import CodeGraph, ranked
+from grapheion.shipping import ship
 
 RRF_K = 60.0
 # Demoted folders, and weights of (exact, relaxed, semantic, path) channels by route.
@@ -203,6 +204,7 @@ def vector_join_all(queries: DataFrame, items: DataFrame, key: str, vector: str,
     items a query, so only these are shuffled. ``key`` is a long. A vector without length or of
     another length has similarity 0, as any to it.
     """
+    ship(items.sparkSession)
     columns = [F.col(key).cast("long").alias("key"), F.col(vector).alias("vec"), (F.col(bucket) if bucket else F.lit(0)).cast("long").alias("bucket")]
     asked, held = (df.filter(F.col(key).isNotNull()).select(*columns) for df in (queries, items))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))

@@ -506,6 +506,27 @@ def call_chain_incoming(g):
     return algos.call_distances(g, targets(g)["cl"], 2, backwards=True).select("qualified_name", "hops")
 
 
+PAIRS_SQL = """, pr AS (SELECT a.r AS pair_id, a.q AS s, b.q AS z FROM (SELECT qualified_name AS q, row_number() OVER (ORDER BY qualified_name) AS r FROM nodes WHERE kind = 'Function') a
+  JOIN (SELECT qualified_name AS q, row_number() OVER (ORDER BY qualified_name DESC) AS r FROM nodes WHERE kind IN ('Function', 'Class')) b ON a.r * 3 = b.r WHERE a.r <= 40),
+ce AS (SELECT DISTINCT src, dst FROM e WHERE kind = 'CALLS'),
+wk AS (SELECT pair_id, s AS q, 0 AS h FROM pr UNION SELECT pair_id, ce.dst, h + 1 FROM wk JOIN ce ON ce.src = q WHERE h < 6),
+dd AS (SELECT pair_id, q, min(h) AS h FROM wk GROUP BY pair_id, q),
+pa AS (SELECT v.pair_id, v.q, min(u.q) AS parent FROM dd v JOIN ce ON ce.dst = v.q JOIN dd u ON u.pair_id = v.pair_id AND u.q = ce.src AND u.h = v.h - 1 GROUP BY v.pair_id, v.q),
+ch AS (SELECT pr.pair_id, z AS q, h AS step FROM pr JOIN dd ON dd.pair_id = pr.pair_id AND dd.q = z UNION SELECT ch.pair_id, parent, step - 1 FROM ch JOIN pa ON pa.pair_id = ch.pair_id AND pa.q = ch.q)
+SELECT CAST(pair_id AS BIGINT) AS pair_id, CAST(step AS BIGINT) AS step, q AS qualified_name FROM ch"""
+
+
+@graph_query(PAIRS_SQL)
+def call_paths(g):
+    """Shortest outgoing call paths of forty pairs, searched together, as rows of steps."""
+    ends = lambda kinds, order, n: g.by_name.filter(F.col("kind").isin(kinds)).orderBy(order).limit(n).select("qualified_name", F.row_number().over(Window.orderBy(order)).alias("r"))
+    near, far = ends(["Function"], F.col("qualified_name"), 40), ends(["Function", "Class"], F.desc("qualified_name"), 120)
+    pairs = near.select((F.col("r") * 3).alias("r"), F.col("r").cast("long").alias("pair_id"), F.col("qualified_name").alias("source")).join(far.select("r", F.col("qualified_name").alias("target")), "r")
+    calls = algos.cut(g.edges.filter("kind = 'CALLS'").select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
+    found = algos._paths(calls, algos.cut(pairs.select("pair_id", "source", "target")), 6)
+    return found.select("pair_id", F.posexplode("path").alias("step", "qualified_name")).withColumn("step", F.col("step").cast("long"))
+
+
 @graph_query(f""", cand AS (SELECT qualified_name AS q, CAST(1 AS DOUBLE) / (60 + row_number() OVER (ORDER BY tier, name, qualified_name)) AS score FROM ({and_sql("fn_household", 30)})),
 sd AS (SELECT q AS seed, score FROM cand ORDER BY score DESC, q LIMIT 6)
 SELECT q AS qualified_name, round(score, 6) AS score FROM (

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grapheion.operators.graph import EDGE_SCHEMA, NODE_SCHEMA
+from grapheion.shipping import ship
 from grapheion.sources.files import EXTENSIONS
 
 MAX_DEPTH = 180
@@ -354,6 +355,8 @@ def parse(files: DataFrame, extractor=extract) -> tuple[DataFrame, DataFrame]:
     node_id orders the nodes of a file by place: a hash of the path above, a running number below.
     """
 
+    ship(files.sparkSession)
+
     def run(frames):
         import pandas as pd
 

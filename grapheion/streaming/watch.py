@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from grapheion.operators import maintain
 from grapheion.operators.lineage import shared_folder
+from grapheion.shipping import ship
 from grapheion.sources import extract
 from grapheion.sources.commits import Commits, Conflict, filesystem, path_of
 from grapheion.sources.store import GraphStore
@@ -172,6 +173,8 @@ def settled(events: DataFrame, gap: str = "300 milliseconds", late: str = "10 mi
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    ship(events.sparkSession)
+
     span, zone = pd.Timedelta(gap), events.sparkSession.conf.get("spark.sql.session.timeZone")
     columns = events.columns
     fields = {f.name: f.dataType for f in events.schema}
