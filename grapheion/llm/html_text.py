@@ -11,8 +11,9 @@ elements are taken, else main, else the whole page.
 Furniture whose text differs from page to page (adverts, reader comments) has no
 recurring subtree. There an element's tag, class and id are counted like a subtree
 if they hold a telling word (ad, sidebar, cookie, comments, ...): the element goes
-where that frame stands on ``NAMED_PAGES`` articles of its host or more. A block
-that merely bears such a word on a page or two stays. Only on hosts of fewer than
+where that frame stands on ``NAMED_PAGES`` articles of its host or more and on
+``NAMED_SHARE`` of them. A block that merely bears such a word on few pages of many
+stays. Only on hosts of fewer than
 ``OUTSIDE_PAGES`` articles, where nothing can be counted, the word alone decides.
 
 Inside an article a passage may recur honestly, so there a subtree is template
@@ -22,7 +23,7 @@ equal articles count once: a copied article is no template.
 
 Batches reduce their pages to distinct articles, counts are pre-aggregated
 before the shuffle over (host, hash), and a host's templates number at most its
-blocks a page over the share. They come back to the pages in a broadcast only
+blocks and frames a page over the share. They come back to the pages in a broadcast only
 while there are at most ``BROADCAST_ROWS`` of them in all, beyond that in a join
 whose skewed hosts Spark splits.
 
@@ -48,7 +49,7 @@ from grapheion.llm.common import arrow_map, chunks, ship, table, written
 
 OUTSIDE_PAGES, OUTSIDE_SHARE = 5, 0.05
 INSIDE_PAGES, INSIDE_SHARE = 20, 0.5
-NAMED_PAGES = 3
+NAMED_PAGES, NAMED_SHARE = 3, 0.05
 BROADCAST_ROWS = 50_000
 #: In place of a hash: the host has too few articles to count on.
 FEW = 2
@@ -380,7 +381,7 @@ def templates(pages: DataFrame) -> DataFrame:
     counts = each.filter("hash is not null").groupBy("host", "hash").agg(F.count("*").alias("n"))
     totals = rows.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("total"))
     kind, n, total = F.col("hash").bitwiseAND(F.lit(3)), F.col("n"), F.col("total")
-    many = F.when(kind == NAMED, n >= NAMED_PAGES).when(kind == INSIDE, (n >= INSIDE_PAGES) & (n >= INSIDE_SHARE * total)).otherwise((n >= OUTSIDE_PAGES) & (n >= OUTSIDE_SHARE * total))
+    many = F.when(kind == NAMED, (n >= NAMED_PAGES) & (n >= NAMED_SHARE * total)).when(kind == INSIDE, (n >= INSIDE_PAGES) & (n >= INSIDE_SHARE * total)).otherwise((n >= OUTSIDE_PAGES) & (n >= OUTSIDE_SHARE * total))
     found = counts.filter(n >= min(INSIDE_PAGES, OUTSIDE_PAGES, NAMED_PAGES)).join(totals, "host").filter(many).select("host", "hash")
     return found.unionByName(totals.filter(total < OUTSIDE_PAGES).select("host", F.lit(FEW).cast("long").alias("hash")))
 

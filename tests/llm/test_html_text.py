@@ -74,6 +74,18 @@ def test_counts_decide_over_names(spark):
     assert h.text_of(rows[15][2], frozenset()) == "tale 7 reader 7"
 
 
+def test_a_telling_name_on_few_of_many_articles_stays(spark):
+    """A block is furniture by its share of the host, whatever the host's size."""
+    rows = []
+    for i in range(300):
+        extra = "<div class='notice'><p>A stone fell at noon.</p></div>" * (i < 3) + f"<div class='side'><p>buy {i}</p></div>" * (i % 10 == 0)
+        rows.append((i, f"http://a.org/{i}", f"<article><p>tale {i}</p>{extra}</article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in h.extract(pages).collect()}
+    assert got[1] == "tale 1 A stone fell at noon." and got[0] == "tale 0 A stone fell at noon."
+    assert got[10] == "tale 10" and got[7] == "tale 7"
+
+
 def test_broken_markup_in_linear_time():
     import time
 
