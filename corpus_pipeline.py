@@ -33,15 +33,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
+    digest, kept_id, kept_digest = map(free, ("text_digest", "kept_id", "kept_digest"))
     judged = near_dup.judged(docs).select("doc_id", "digest", "kept")
     repeats = judged.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count()
-    stay = judged.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("text_digest") == F.col("kept_digest"))
-    left = docs.withColumn("text_digest", near_dup.text_digest()).join(stay, same, "left_semi")
+    stay = judged.filter("kept").select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest))
+    left = docs.withColumn(digest, near_dup.text_digest()).join(stay, same, "left_semi")
     if repeats:
-        once = left.filter("doc_id is not null").dropDuplicates(["doc_id", "text_digest"])
+        once = left.filter("doc_id is not null").dropDuplicates(["doc_id", digest])
         left = once.unionByName(left.filter("doc_id is null"))
-    return left.drop("text_digest")
+    return left.drop(digest)
 
 
 def suffix_dedup_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
