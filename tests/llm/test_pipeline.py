@@ -75,3 +75,17 @@ def test_rows_of_one_id_are_judged_by_text(spark):
     assert got.schema == docs.schema
     # one of the repeats goes, as do the copies of texts that a lesser id holds
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, x), (1, y), (None, a), (None, b), (0, "o o p p q q"), (5, "r r t t u u")], key=str)
+
+
+def test_extra_columns_with_the_stages_own_names(spark):
+    """Columns called as the stages' helpers are kept, whatever they hold."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    names = ["text_digest", "kept_id", "Kept_Digest", "digest", "kept", "block", "piece", "at"]
+    wide = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names]).cache()
+    plain = {r.doc_id for r in corpus_pipeline.near_dup_removal(spark, docs, SF).collect()}
+    out = corpus_pipeline.near_dup_removal(spark, wide, SF)
+    assert out.schema == wide.schema and {r.doc_id for r in out.collect()} == plain
+    assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+    cut = corpus_pipeline.suffix_dedup_removal(spark, wide, SF)
+    assert cut.schema == wide.schema and all(r[n] == f"{n}{r.doc_id}" for r in cut.collect() for n in names)
+    assert corpus_pipeline.pack(spark, wide, SF).count() > 60
