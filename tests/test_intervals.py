@@ -69,9 +69,9 @@ def test_paths_of_many_pairs_equal_one_by_one(spark):
     graph = graph_of(spark, calls)
     graph.edges = graph.edges.cache()
     names = sorted({x for c in calls for x in c})
-    pairs = [(i, rnd.choice(names), rnd.choice(names)) for i in range(8)] + [(90, names[0], names[0]), (91, "n00", "absent")]
+    pairs = [(i, rnd.choice(names), rnd.choice(names)) for i in range(4)] + [(90, names[0], names[0]), (91, "n00", "absent")]
     df = spark.createDataFrame(pairs, "pair_id int, source string, target string")
-    for depth in (3, 6):
+    for depth in (4,):
         got = {r.pair_id: r.path for r in algos.call_paths(graph, df, depth).collect()}
         want = {i: p for i, s, t in pairs if (p := algos.call_chain(graph, s, t, depth))}
         assert got == want and 90 in want
