@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grapheion.operators.graph import EDGE_SCHEMA, NODE_SCHEMA
+from grapheion.operators.resolution import FileFacts, graph_of
 from grapheion.shipping import ship
 from grapheion.sources.files import EXTENSIONS
 
@@ -274,15 +275,20 @@ def read_vue(path: str, text: str) -> Facts:
 # resolution inside a file ------------------------------------------------------------------
 def extract(path: str, content: bytes) -> tuple[list[dict], list[dict]]:
     """(nodes, edges) of one file; an unknown extension gives none."""
+    facts = read(path, content)
+    return resolve(facts, hashlib.sha256(content).hexdigest()) if facts else ([], [])
+
+
+def read(path: str, content: bytes) -> Facts | None:
+    """What a file says, unresolved; None for an unknown extension."""
     language = language_of_path(path)
     if language is None:
-        return [], []
+        return None
     text = content.decode("utf8", "replace")
     try:
-        facts = read_python(path, text) if language == "python" else read_vue(path, text) if language == "vue" else read_scanned(path, text, language)
+        return read_python(path, text) if language == "python" else read_vue(path, text) if language == "vue" else read_scanned(path, text, language)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        facts = Facts(path, language, text.count("\n") + 1)
-    return resolve(facts, hashlib.sha256(content).hexdigest())
+        return Facts(path, language, text.count("\n") + 1)
 
 
 def resolve(f: Facts, file_hash: str) -> tuple[list[dict], list[dict]]:
@@ -375,6 +381,38 @@ def parse(files: DataFrame, extractor=extract) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+FACTS = """file_path string, language string, n_lines int, file_hash string,
+definitions array<struct<ordinal: long, kind: string, name: string, owner: string, line_start: int, line_end: int, is_test: boolean, signature: string, docstring: string, body_hash: string, bases: array<string>>>,
+imports array<struct<ordinal: long, module: string, names: array<string>, line: int>>,
+calls array<struct<ordinal: long, name: string, line: int>>"""
+
+
+def read_facts(files: DataFrame) -> tuple[DataFrame, FileFacts]:
+    """(files, fact tables) of (file_path, content, ...), for the joins of ``operators.resolution``."""
+    ship(files.sparkSession)
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["file_path"], frame["content"], strict=True):
+                content = bytes(content)
+                if (f := read(path, content)) is None:
+                    continue
+                definitions = [{"ordinal": i, "kind": d.kind, "name": d.name, "owner": d.owner, "line_start": d.start, "line_end": d.end, "is_test": d.is_test, "signature": d.signature, "docstring": d.docstring, "body_hash": hashlib.sha256(d.body).hexdigest(), "bases": d.bases} for i, d in enumerate(f.definitions)]
+                imports = [{"ordinal": i, "module": m, "names": n, "line": line} for i, (m, n, line) in enumerate(f.imports)]
+                calls = [{"ordinal": i, "name": n.lstrip("\0"), "line": line} for i, (n, line) in enumerate(f.calls)]
+                rows.append((f.path, f.language, f.n_lines, hashlib.sha256(content).hexdigest(), definitions, imports, calls))
+            yield pd.DataFrame(rows, columns=["file_path", "language", "n_lines", "file_hash", "definitions", "imports", "calls"])
+
+    facts = files.select("file_path", "content").mapInPandas(run, FACTS).cache()
+    part = lambda name, *with_: facts.select("file_path", *with_, F.explode(name).alias("x")).select("file_path", *with_, "x.*")
+    read_files = facts.drop("definitions", "imports", "calls")
+    read_files._parsed = facts
+    return read_files, FileFacts(part("definitions", "language"), part("imports"), part("calls"))
+
+
 def release(nodes: DataFrame) -> None:
     """Drop what ``parse`` keeps for its two results, once both are written."""
     if getattr(nodes, "_parsed", None) is not None:
@@ -382,7 +420,5 @@ def release(nodes: DataFrame) -> None:
 
 
 def build(files: DataFrame):
-    """The graph of scanned files."""
-    from grapheion.operators.graph import CodeGraph
-
-    return CodeGraph(*parse(files))
+    """The graph of scanned files, with names resolved by joins; equals what ``parse`` gives file by file."""
+    return graph_of(*read_facts(files))
