@@ -12,7 +12,8 @@ from grapheion.operators import algos, context, ivf, maintain, search
 from grapheion.operators.graph import EDGE_WEIGHTS, CodeGraph
 from grapheion.operators.lineage import shared_folder
 from grapheion.operators.textindex import NameIndex, TextIndex, first_relevant
-from grapheion.plans import fixture
+from grapheion.plans import facts, fixture
+from grapheion.plans.facts import SQL as FACTS
 from grapheion.plans.fixture import SQL as G
 from grapheion.plans.fixture import read
 
@@ -750,6 +751,28 @@ def enclosing_function(spark, sf_dir):
     return context.enclosing(g.nodes, lines)
 
 
+# names resolved inside files ----------------------------------------------------------------
+@query(FACTS + " SELECT src AS source_qualified, dst AS target_qualified, file_path, line FROM ce")
+def resolved_calls(spark, sf_dir):
+    return facts.facts(spark, sf_dir).call_edges.select("source_qualified", "target_qualified", "file_path", "line")
+
+
+@query(FACTS + " SELECT qn AS source_qualified, base AS target_qualified, CASE WHEN EXISTS (SELECT 1 FROM d y WHERE y.kind = 'Type' AND y.file_path = d.file_path AND y.name = string_split(d.base, '.')[-1]) THEN 'IMPLEMENTS' ELSE 'INHERITS' END AS kind, line_start AS line FROM d WHERE base IS NOT NULL")
+def resolved_bases(spark, sf_dir):
+    return facts.facts(spark, sf_dir).inheritance().select("source_qualified", "target_qualified", "kind", "line")
+
+
+@query(FACTS + " SELECT src AS source_qualified, dst AS target_qualified, file_path, line FROM fx")
+def fixture_calls(spark, sf_dir):
+    return facts.facts(spark, sf_dir).fixtures().select("source_qualified", "target_qualified", "file_path", "line")
+
+
+@query(FACTS + " SELECT target AS source_qualified, test AS target_qualified, line, phase FROM tb")
+def tested_by_rules(spark, sf_dir):
+    """By calls, by parameters and by names; phase tells which."""
+    return facts.facts(spark, sf_dir).tested_by().select("source_qualified", "target_qualified", "line", "phase")
+
+
 @graph_query(""", s AS (SELECT file_path, greatest(line_start - 3, 0) AS a, least(line_end + 2, 420) AS z FROM nodes WHERE kind IN ('Function', 'Class', 'Type')),
 m AS (SELECT *, max(z) OVER (PARTITION BY file_path ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s),
 i AS (SELECT *, sum(CASE WHEN p IS NULL OR a > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS g FROM m)
