@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grapheion.functions import text as tx
-from grapheion.operators import algos, context, ivf, maintain, search
+from grapheion.operators import algos, context, ivf, maintain, modules, search
 from grapheion.operators.graph import EDGE_WEIGHTS, CodeGraph
 from grapheion.operators.lineage import shared_folder
 from grapheion.operators.textindex import NameIndex, TextIndex, first_relevant
-from grapheion.plans import facts, fixture
+from grapheion.plans import facts, fixture, projects
 from grapheion.plans.facts import SQL as FACTS
 from grapheion.plans.fixture import SQL as G
 from grapheion.plans.fixture import read
@@ -773,6 +773,22 @@ def tested_by_rules(spark, sf_dir):
     return facts.facts(spark, sf_dir).tested_by().select("source_qualified", "target_qualified", "line", "phase")
 
 
+def _resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.resolve(projects.imports(spark, sf_dir), projects.files(spark, sf_dir), modules.alias_patterns(projects.configs(spark, sf_dir)))
+
+
+@query(projects.SQL + " SELECT file_path, module, target FROM rs")
+def resolved_imports(spark, sf_dir):
+    """Imports of a project with configurations that extend others, and the files they mean."""
+    return _resolved_imports(spark, sf_dir)
+
+
+@query(projects.SQL + " SELECT target AS file_path, count(DISTINCT file_path) AS importers, count(DISTINCT module) AS spellings FROM rs GROUP BY target")
+def importers_by_file(spark, sf_dir):
+    """How many files import each file, by whatever module they name it."""
+    return _resolved_imports(spark, sf_dir).groupBy(F.col("target").alias("file_path")).agg(F.countDistinct("file_path").alias("importers"), F.countDistinct("module").alias("spellings"))
+
+
 @graph_query(""", s AS (SELECT file_path, greatest(line_start - 3, 0) AS a, least(line_end + 2, 420) AS z FROM nodes WHERE kind IN ('Function', 'Class', 'Type')),
 m AS (SELECT *, max(z) OVER (PARTITION BY file_path ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s),
 i AS (SELECT *, sum(CASE WHEN p IS NULL OR a > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS g FROM m)
