@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grapheion.functions import text as tx
-from grapheion.operators import algos, context, ivf, maintain, modules, search
+from grapheion.operators import algos, context, ivf, maintain, modules, neighbours, search
 from grapheion.operators.graph import EDGE_WEIGHTS, CodeGraph
 from grapheion.operators.lineage import shared_folder
 from grapheion.operators.textindex import NameIndex, TextIndex, first_relevant
@@ -572,6 +572,14 @@ def cosine_topk_approx(spark, sf_dir):
     return index.nearest(emb.filter("vec_id % 100 = 0"), "vec_id", "embedding", 5)
 
 
+@query(None)
+def cosine_topk_graph(spark, sf_dir):
+    """The same queries and items by a graph of nearest vectors, stored, read and searched; recall is tested."""
+    emb, folder = read(spark, sf_dir, "embeddings"), shared_folder(spark, "vector-graph")
+    neighbours.build(emb, "vec_id", "embedding").write(folder)
+    return neighbours.read(spark, folder).nearest(emb.filter("vec_id % 100 = 0"), "vec_id", "embedding", 5)
+
+
 def _two_lists(g: CodeGraph) -> tuple[DataFrame, DataFrame]:
     a = search.search_and(g.by_name, "fn_building", 50)
     b = g.large(60, "Function", limit=80)
