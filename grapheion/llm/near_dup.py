@@ -24,8 +24,12 @@ components of the links.
    until a link is found. So a node's components are exact without all pairs.
 5. Pivots of a dealt node meet again a few times, which joins large groups of near
    copies cheaply. Then every dealt node that still holds several components is
-   finished exactly: all members but those of its largest component visit every
-   other block and are compared with its members of other components on full sets.
+   finished exactly: all members but those of its largest component visit the other
+   blocks and are compared with their members of other components on full sets. In
+   nodes of more than ``FEW_BLOCKS`` blocks a member visits only blocks that it can be
+   linked in: sets linked at s share one of their n - ceil(s * n) + 1 first tokens in
+   any common order, and the node's rarest tokens come first. So members that share
+   only what is frequent in the node travel nowhere.
 6. Components by least-label propagation with pointer jumping over written
    tables.
 
@@ -45,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grapheion.llm.common import arrow_map, chunks, ship, table, texts_of, written
@@ -68,6 +72,10 @@ EXTRA = 8
 SALTS = 8
 #: Meetings of the pivots of dealt nodes before these are finished exactly.
 PIVOT_ROUNDS = 3
+#: Dealt nodes of at most so many blocks are finished without a look at their prefixes; links are the same.
+FEW_BLOCKS = 8
+#: Tokens that leave a worker together.
+SEND_TOKENS = 500_000
 #: Share of a node that agrees on each of its tokens from which it counts as dense.
 DENSE = 0.6
 
@@ -326,18 +334,58 @@ class _Index:
         return np.flatnonzero(100 * both >= percent * (len(one) + self.sizes - both)).tolist()
 
 
+def _tokens(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(path, cls, token) of all members (doc_id, path, cls)."""
+
+    def spread(b: pa.RecordBatch):
+        paths, classes, sets = (b.column(i) for i in range(3))
+        sizes = np.array([len(d.as_buffer()) // 8 for d in sets], np.int64)
+        lo = 0
+        while lo < len(sizes):
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), SEND_TOKENS)))
+            tokens = np.concatenate([np.frombuffer(d.as_buffer(), np.int64) for d in sets.slice(lo, hi - lo)])
+            at = pa.array(np.repeat(np.arange(lo, hi if hi < len(sizes) else len(sizes)), sizes[lo:hi]))
+            yield pa.RecordBatch.from_arrays([paths.take(at), classes.take(at), pa.array(tokens)], names=["path", "cls", "token"])
+            lo = hi
+
+    return arrow_map(_with_sets(docs, members.select("doc_id", "path", "cls"), width), spread, "path long, cls long, token long")
+
+
+def _visits(docs: DataFrame, dealt: DataFrame, width: int, percent: int) -> DataFrame:
+    """(path, cls, block): where members outside of ``main`` can be linked to members of other components.
+
+    Blocks of a token are distinct with their least and greatest root, so nothing grows with
+    the pairs: at worst a member visits every block.
+    """
+    tokens = written(_tokens(docs, dealt, width))
+    met = tokens.groupBy("path", "token").agg(F.count("*").alias("n"))
+    member = Window.partitionBy("path", "cls")
+    first = tokens.join(met, ["path", "token"]).withColumn("r", F.row_number().over(member.orderBy("n", "token"))).withColumn("size", F.count("*").over(member))
+    # at least ceil(percent * size / 100) tokens are shared with whatever is linked
+    prefix = first.filter(F.col("r") <= F.col("size") - F.expr(f"({percent} * size + 99) div 100") + 1).filter("n > 1")
+    held = written(prefix.select("path", "cls", "token").join(dealt.select("path", "cls", "block", "root", "main"), ["path", "cls"]))
+    at = held.groupBy("path", "token", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).withColumnRenamed("block", "there")
+    seen = held.filter("root <> main").join(at, ["path", "token"]).filter("there <> block and (lo <> root or hi <> root)")
+    return seen.select("path", "cls", F.col("there").alias("block")).distinct()
+
+
 def finish(docs: DataFrame, members: DataFrame, roots: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): what connects members of different blocks of a dealt node that ``roots`` (cls, root) leaves apart.
 
-    Members outside of the node's largest component visit every block but their own, whose pairs
-    have been compared before. Nothing else is copied, and a node of one component is left out.
+    Members outside of the node's largest component visit other blocks: all of them in nodes of
+    few blocks, else those where their prefix is met (``_visits``). Their own block's pairs have
+    been compared before. Nothing else is copied, and a node of one component is left out.
     """
     dealt = members.filter("blocks > 1").join(roots, "cls")
     parts = dealt.groupBy("path", "root").agg(F.count("*").alias("m"))
     largest = parts.groupBy("path").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    dealt = dealt.join(largest, "path").withColumn("side", F.lit(0))
+    dealt = written(dealt.join(largest, "path").select("doc_id", "path", "block", "blocks", "cls", "root", "main").withColumn("side", F.lit(0)))
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")))
-    visits = dealt.filter("root <> main").withColumn("side", F.lit(1)).withColumn("block", other)
+    visits = dealt.filter("root <> main").filter(F.col("blocks") <= FEW_BLOCKS).withColumn("side", F.lit(1)).withColumn("block", other)
+    many = dealt.filter(F.col("blocks") > FEW_BLOCKS)
+    if many.limit(1).count():
+        there = _visits(docs, many, width, percent)
+        visits = visits.unionByName(many.drop("block").join(there, ["path", "cls"]).withColumn("side", F.lit(1)).select(visits.columns))
     met = _with_sets(docs, dealt.unionByName(visits).select("doc_id", "path", "block", "side", "cls", "root"), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,11 +79,13 @@ def hot_source(rng, n, common, own, twins):
             yield " ".join([*text[:-6], *(f"t{k}_{i}" for i in range(6))])
 
 
-def test_links_within_a_hot_source(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 8])
+def test_links_within_a_hot_source(spark, monkeypatch, few):
     # one dealt node of all documents, which no component ties: its blocks must meet in pairs until each link is found
     monkeypatch.setattr(near_dup, "DEPTH", 0)
     monkeypatch.setattr(near_dup, "DENSE", 0)
     monkeypatch.setattr(near_dup, "NODE_CLASSES", 10)
+    monkeypatch.setattr(near_dup, "FEW_BLOCKS", few)
     rng = random.Random(3)
     texts = list(hot_source(rng, 60, 80, 30, 40))
     rng.shuffle(texts)
@@ -93,6 +95,21 @@ def test_links_within_a_hot_source(spark, monkeypatch):
     assert got(spark, rows) == want
 
 
+def test_visits_follow_rare_tokens(spark):
+    # 200 unlinked documents of one node share a long passage; 10 have a twin: only these visit, and only the twin's block
+    texts = list(hot_source(random.Random(5), 200, 60, 40, 10))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = {r.doc_id: r.cls for r in near_dup.signatures(docs).collect()}
+    block = {d: d % 20 for d in classes}
+    rows = [(d, c, 1, block[d], c, -1) for d, c in classes.items()]
+    dealt = spark.createDataFrame(rows, "doc_id long, cls long, path long, block int, root long, main long")
+    got = {(r.cls, r.block) for r in near_dup._visits(docs, dealt, 4, 80).collect()}
+    sets = [sets_of(t) for t in texts]
+    linked = {(a, b) for a, b in itertools.permutations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    want = {(classes[a], block[b]) for a, b in linked if block[a] != block[b]}
+    assert len(linked) == 20 and want <= got and len(got) <= 2 * len(linked)
+
+
 def test_branches_by_unused_tokens(spark, monkeypatch):
     # a quarter of a node agrees on each token: two levels of unused ones make it fit, none is dense
     monkeypatch.setattr(near_dup, "NODE_CLASSES", 60)
@@ -142,11 +159,12 @@ def star(rng, n, words=100, off=9):
         yield " ".join([*base[:at], *(f"m{k}_{i}" for i in range(off)), *base[at + off :]])
 
 
-@pytest.mark.parametrize("dense", [0.0, 0.6])
-def test_large_stars_chains_and_two_sided_groups(spark, monkeypatch, dense):
+@pytest.mark.parametrize(("dense", "few"), [(0.0, 8), (0.6, 8), (0.0, 0)])
+def test_large_stars_chains_and_two_sided_groups(spark, monkeypatch, dense, few):
     # groups of 12 times a node's bound, dealt over blocks or branched
     monkeypatch.setattr(near_dup, "NODE_CLASSES", 16)
     monkeypatch.setattr(near_dup, "DENSE", dense)
+    monkeypatch.setattr(near_dup, "FEW_BLOCKS", few)
     rng = random.Random(11)
     texts = list(star(rng, 200))
     step = [f"s{i}" for i in range(700)]
