@@ -45,6 +45,8 @@ def nodes_in_ranges(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
 def enclosing(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """(file, line, enclosing): the narrowest function or test around a line, else the file."""
     spans = nodes.filter(F.col("kind").isin("Function", "Test")).select(F.col("file_path").alias("file"), F.col("line_start").alias("a_start"), F.col("line_end").alias("a_end"), "qualified_name")
+    # of equal spans only the least name can answer, so a file has no more of them than pairs of lines
+    spans = spans.groupBy("file", "a_start", "a_end").agg(F.min("qualified_name").alias("qualified_name"))
     asked = lines.select("file", "line").distinct()
     pairs = overlaps(spans, asked.select("file", F.col("line").alias("b_start"), F.col("line").alias("b_end")))
     size = (F.col("a_end") - F.col("a_start")).alias("size")

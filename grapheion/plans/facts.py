@@ -44,7 +44,9 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 
 
 def facts(spark: SparkSession, sf_dir: str) -> FileFacts:
+    # customers grow with the tables and are not to be broadcast, however small their file looks; nations are few
     tables = {t: read(spark, sf_dir, t) for t in TABLES}
+    tables |= {"customer": tables["customer"].hint("merge"), "nation": F.broadcast(tables["nation"])}
 
     def made(sql: str) -> DataFrame:
         text = f"WITH {_FILES} {sql.replace('{text}', 'STRING')}"
