@@ -18,6 +18,8 @@ from grapheion.sources.store import GraphStore
 
 #: Versions of the state that stay.
 COMPACT_EVERY = 50
+#: Files that a task parses, and events of a file of a replayed table, about.
+FILES, EVENTS = 2_000, 500_000
 
 
 def as_file_events(events: DataFrame) -> DataFrame:
@@ -141,7 +143,9 @@ class GraphWatch:
         updated = last.filter("op = 'update'")
         found = self.sources(updated).cache()
         graph = self.store.read(since)
-        files, nodes, edges, changed = maintain.changed_parts(graph, found, last.select(F.col("path").alias("file_path")), self.parse)
+        # a few bytes a file: Spark would put thousands of them into one task
+        tasks = -(-updated.count() // FILES) or 1
+        files, nodes, edges, changed = maintain.changed_parts(graph, found, last.select(F.col("path").alias("file_path")), lambda todo: self.parse(todo.repartition(tasks, "file_path")))
         files = files.cache()
         try:
             n = changed.count()
@@ -210,10 +214,11 @@ def run(events: DataFrame, folder: str, checkpoint: str, available_now: bool = T
 
 
 def _as_stream(spark: SparkSession, path: str, folder: str, batches: int) -> DataFrame:
-    """A table of events as a stream of several files, in order of time."""
+    """A table of events as a stream of ``batches`` triggers, about in order of time; a large one has several files a trigger."""
     table = spark.read.parquet(path)
-    table.repartitionByRange(batches, "ts", "event_id").write.parquet(f"{folder}/in")
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    each = -(-table.count() // (batches * EVENTS)) or 1
+    table.repartitionByRange(batches * each, "ts", "event_id").write.parquet(f"{folder}/in")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", each).parquet(f"{folder}/in")
 
 
 def replay(spark: SparkSession, path: str, batches: int = 4) -> DataFrame:

@@ -1,5 +1,8 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from grapheion.sources import extract
 from grapheion.streaming import watch
 
 T0 = datetime(2024, 1, 1)
@@ -88,3 +91,23 @@ def test_vectors_of_vanished_nodes_go(spark, tmp_path, monkeypatch):
     assert store.reset_embeddings("other") == 0
     store.compact()
     assert store.read().nodes.count() == 4
+
+
+def test_large_batches_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """Forty small files went to one task, and each batch of a replayed table was one file."""
+    monkeypatch.setattr(watch, "FILES", 4)
+    monkeypatch.setattr(watch, "EVENTS", 100)
+    rows = [(i, 1000 * i, i % 40) for i in range(1000)]
+    table = f"file://{tmp_path}/events"
+    spark.createDataFrame(rows, "event_id long, at long, user long").select("event_id", F.timestamp_millis("at").alias("ts"), "user").write.parquet(table)
+    content = lambda e: e.select(F.concat(F.lit("u"), "user", F.lit(".py")).alias("path"), F.lit("update").alias("op"), "ts", "event_id", F.concat(F.lit("def f"), "event_id", F.lit("(): pass\n")).alias("content"))
+    seen, real = [], watch.GraphWatch.__init__
+    parse = lambda files: seen.append(files.rdd.getNumPartitions()) or extract.parse(files)
+    monkeypatch.setattr(watch.GraphWatch, "__init__", lambda self, store, sources, _: real(self, store, sources, parse))
+    folder = f"file://{tmp_path}/w"
+    monkeypatch.setattr(watch, "shared_folder", lambda *_: folder)
+    graph = watch.replay_graph(spark, table, content, batches=2)
+    assert seen == [10, 10]
+    assert spark.read.parquet(f"{folder}/in").select(F.input_file_name()).distinct().count() == 10
+    last = {f"u{i % 40}.py::f{i}" for i in range(960, 1000)}
+    assert {r.qualified_name for r in graph.nodes.filter("kind = 'Function'").collect()} == last
