@@ -1,22 +1,23 @@
-"""A stored graph of nearest vectors: built by neighbour descent, searched greedily, updated in place of a rebuild.
+"""A stored graph of nearest vectors: built from random partitions, searched greedily, updated in place of a rebuild.
 
 Vectors that are equal once scaled to length one are one node, however many keys carry them, so
 copies cannot fill a node's list with one another; keys come back when results are formed.
 
-Build. A few random partitions give each node first neighbours: in a partition, nodes on one side
-of the same random planes meet in a leaf, and leaves of more than ``LEAF`` nodes are dealt over
-blocks. Then rounds of descent: what is near to one node is compared with one another, if the
-comparison is new, and every node keeps its ``DEGREE`` nearest. A node that is in the lists of
-many others has these dealt over blocks, each with its own list, so no group grows with the
-table and no reverse neighbour is left out. Rounds end when less than ``SETTLED`` of the lists'
-places changed.
+Build. In a random partition, nodes on one side of the same random planes meet in a leaf of some
+``LEAF`` nodes and are compared with one another; leaves of more than twice that are dealt over
+blocks. Every node keeps the ``DEGREE`` nearest that it met in ``PARTITIONS`` partitions, so a
+vector moves once a partition, however large the table is; up to ``LEAF`` nodes lists are exact.
+Rounds of descent, which move a vector once for every list it is in, are for updates only.
 
 Search. Queries start at the nearest of a bounded number of entries and follow the links, both
 ways, of the nearest nodes not followed yet, until the ``beam`` nearest are all followed.
 All queries go together; a round is a few joins of their frontiers with links and vectors.
 
 Update. Neighbours of a node that goes are compared with one another; a node that comes is searched,
-offered to what it finds, and descends with new comparisons only.
+offered to what it finds, and descends with new comparisons only: what is near to one node is
+compared with one another, if the comparison is new. A node that is in the lists of many others
+has these dealt over blocks, each with its own list, so no group grows with the table and no
+reverse neighbour is left out. Rounds end when less than ``SETTLED`` of the lists' places changed.
 
 Defined cases: null keys, and null, empty and zero vectors are neighbours of nothing; NaN counts as
 zero; vectors of other length are no neighbours; equal scores go by key; a query's own key is left
@@ -29,6 +30,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +38,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grapheion.operators import search
-from grapheion.operators.lineage import shared_folder
+from grapheion.operators.lineage import by_key, shared_folder
 from grapheion.shipping import ship
 from grapheion.sources.commits import Commits
 
 DEGREE = 24
-#: Random partitions at the start, and nodes of a leaf or of a block of reverse neighbours.
-PARTITIONS, LEAF, REVERSE = 3, 256, 2 * DEGREE
+#: Random partitions at the start, nodes of a leaf at most on average, and of a block of reverse neighbours.
+PARTITIONS, LEAF, REVERSE = 6, 16_384, 2 * DEGREE
+#: Nodes of a leaf that are compared with all of it at once.
+STRIP = 256
 ROUNDS, SETTLED = 12, 0.002
 #: Entries of a search at most: about the square root of the nodes, below this bound.
 ENTRIES = 2_048
@@ -85,9 +89,14 @@ def _flat(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ends[:-1] - ends[0], np.diff(ends), np.asarray(vectors.flatten(), np.float32)
 
 
+def _bits(count: int) -> int:
+    """Planes of a partition of ``count`` nodes."""
+    return max(0, int(np.ceil(np.log2(max(1, count) / LEAF))))
+
+
 def _leaves(nodes: DataFrame, count: int, seed: int) -> DataFrame:
     """(group, block, node, vec, fresh, low): each node in its leaf of one random partition."""
-    bits = max(0, int(np.ceil(np.log2(max(1, count) / (LEAF / 2)))))
+    bits = _bits(count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,7 +110,7 @@ def _leaves(nodes: DataFrame, count: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column(0), b.column(1)], names=["group", "node", "vec"])
 
     rows = nodes.mapInArrow(run, "group long, node long, vec array<float>")
-    blocks = rows.groupBy("group").agg(F.ceil(F.count("*") / LEAF).alias("blocks"))
+    blocks = rows.groupBy("group").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("blocks"))
     return rows.join(blocks, "group").select("group", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).alias("block"), "node", "vec", F.lit(True).alias("fresh"), F.lit(-2.0).alias("low"))
 
 
@@ -118,16 +127,21 @@ def _compare(members: DataFrame) -> DataFrame:
                 if len(rows) < 2 or not fresh[rows].any():
                     continue
                 m = flat[at[rows][:, None] + np.arange(d)]
-                s = (m @ m.T).astype(np.float64)
-                s[~(fresh[rows][:, None] | fresh[rows][None, :])] = -3.0
-                np.fill_diagonal(s, -3.0)
-                if len(rows) > DEGREE + 1:
-                    edge = np.partition(s, -DEGREE, axis=1)[:, -DEGREE]
-                    s[s < edge[:, None]] = -3.0
-                r, c = np.nonzero((s > low[rows][:, None]) & (s > -2.5))
-                keys.append(node[rows[r]])
-                others.append(node[rows[c]])
-                scores.append(s[r, c])
+                for first in range(0, len(rows), STRIP):
+                    some = rows[first : first + STRIP]
+                    s = m[first : first + STRIP] @ m.T
+                    if not fresh[rows].all():
+                        s[~(fresh[some][:, None] | fresh[rows][None, :])] = -3.0
+                    s[np.arange(len(some)), first + np.arange(len(some))] = -3.0
+                    least = np.maximum(low[some], -2.5)
+                    if len(rows) > DEGREE + 1:
+                        # just below the last that counts, so that it counts itself
+                        edge = np.partition(s, -DEGREE, axis=1)[:, -DEGREE]
+                        least = np.maximum(least, np.nextafter(edge, np.float32(-4.0)).astype(np.float64))
+                    r, c = np.nonzero(s > least[:, None])
+                    keys.append(node[some[r]])
+                    others.append(node[rows[c]])
+                    scores.append(s[r, c].astype(np.float64))
         join = lambda parts, t: pa.array(np.concatenate(parts) if parts else np.zeros(0), t)
         return pa.RecordBatch.from_arrays([join(keys, pa.int64()), join(others, pa.int64()), join(scores, pa.float64())], names=["key", "other", "score"])
 
@@ -138,7 +152,7 @@ def _compare(members: DataFrame) -> DataFrame:
             if held.num_rows < 2:
                 continue
             group, block = (held.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            # the last group may go on in the next batch; a group holds a few hundred rows
+            # the last group may go on in the next batch; a group holds some tens of thousands of rows at most
             last = int(np.flatnonzero((group != group[-1]) | (block != block[-1]))[-1]) + 1 if ((group != group[-1]) | (block != block[-1])).any() else 0
             if last:
                 yield pairs(*_columns(held.slice(0, last)))
@@ -157,7 +171,8 @@ def _compare(members: DataFrame) -> DataFrame:
 
 def _nearest(found: DataFrame) -> DataFrame:
     """EDGES: the DEGREE best others of each key; an edge held before is not fresh."""
-    once = found.groupBy("key", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
+    # dealt once by key, on which both the aggregate and the window go
+    once = by_key(found, "key").groupBy("key", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
     w = Window.partitionBy("key").orderBy(F.desc("score"), "other")
     return once.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= DEGREE).drop("r").select("key", "other", "score", "fresh")
 
@@ -209,12 +224,15 @@ def build(items: DataFrame, key: str, vector: str) -> NeighbourGraph:
     """The graph of all rows."""
     nodes, members = _grouped(_unit(items, key, vector))
     count = nodes.count()
-    first = None
-    for p in range(PARTITIONS):
-        found = _compare(_leaves(nodes, count, p)).withColumn("fresh", F.lit(True))
-        first = found if first is None else first.unionByName(found)
-    edges = _kept(_nearest(first), "neighbour-edges")
-    return NeighbourGraph(nodes, members, _descend(nodes, edges))
+    found = _partitions(nodes, count).withColumn("fresh", F.lit(False))
+    return NeighbourGraph(nodes, members, _kept(_nearest(found), "neighbour-edges"))
+
+
+def _partitions(nodes: DataFrame, count: int) -> DataFrame:
+    """(key, other, score): the nearest that nodes meet in the leaves of random partitions; of one leaf one is enough."""
+    leaves = [_leaves(nodes, count, p) for p in range(PARTITIONS if _bits(count) else 1)]
+    apart = [df.withColumn("group", F.col("group") * PARTITIONS + i) for i, df in enumerate(leaves)]
+    return _compare(reduce(DataFrame.unionByName, apart))
 
 
 @dataclass(frozen=True)
@@ -236,20 +254,31 @@ class NeighbourGraph:
         return chosen.limit(2 * ENTRIES).toArrow().combine_chunks()
 
     def visited(self, queries: DataFrame, key: str, vector: str, beam: int = BEAM) -> DataFrame:
-        """(query_id, node, score, done): every product made for the queries, a node met twice as an entry counts once."""
+        """(query_id, node, score): every product made for the queries, a node met twice as an entry counts once.
+
+        A round writes its own products and the ``beam`` best of each query; earlier products stay where they are.
+        """
+        spark, products = self.nodes.sparkSession, "query_id long, node long, score double"
         asked = _kept(_unit(queries, key, vector).select(F.col("key").alias("query_id"), F.col("vec").alias("asked")), "neighbour-queries")
-        links, found = _kept(self.links(), "neighbour-links"), _kept(asked.mapInArrow(_start(self._entries(), beam), "query_id long, node long, score double"), "neighbour-found")
-        found = found.withColumn("done", F.lit(False))
+        links = _kept(self.links(), "neighbour-links")
+        rounds = [shared_folder(spark, "neighbour-found")]
+        asked.mapInArrow(_start(self._entries(), beam), products).write.parquet(rounds[0])
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
+        first = lambda df, n: df.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).drop("r")
+        best = _kept(first(spark.read.schema(products).parquet(rounds[0]), beam).withColumn("done", F.lit(False)), "neighbour-best")
         while True:
-            best = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= beam).filter("not done")
-            todo = _kept(best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(4, beam // PART)).select("query_id", "node"), "neighbour-todo")
+            found = spark.read.schema(products).parquet(*rounds)
+            todo = _kept(first(best.filter("not done"), max(4, beam // PART)).select("query_id", "node"), "neighbour-todo")
             if todo.limit(1).count() == 0:
                 return found
             ahead = todo.join(links, "node").select("query_id", F.col("other").alias("node")).distinct().join(found.select("query_id", "node"), ["query_id", "node"], "left_anti")
-            scored = ahead.join(self.nodes, "node").join(asked, "query_id").select("query_id", "node", "vec", "asked").mapInArrow(_score, "query_id long, node long, score double")
-            marked = found.join(todo.withColumn("now", F.lit(True)), ["query_id", "node"], "left").select("query_id", "node", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-            found = _kept(marked.unionByName(scored.withColumn("done", F.lit(False))), "neighbour-found")
+            scored = ahead.join(self.nodes, "node").join(asked, "query_id").select("query_id", "node", "vec", "asked").mapInArrow(_score, products)
+            rounds.append(shared_folder(spark, "neighbour-found"))
+            scored.write.parquet(rounds[-1])
+            marked = best.join(todo.withColumn("now", F.lit(True)), ["query_id", "node"], "left").select("query_id", "node", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+            # what left the beam once cannot come back
+            fresh = spark.read.schema(products).parquet(rounds[-1]).withColumn("done", F.lit(False))
+            best = _kept(first(marked.unionByName(fresh), beam), "neighbour-best")
 
     def nearest(self, queries: DataFrame, key: str, vector: str, top: int, beam: int = BEAM) -> DataFrame:
         """(query_id, key, score, rank): the ``top`` most similar other keys that a search finds."""
@@ -294,8 +323,7 @@ class NeighbourGraph:
         offers = offers.unionByName(offers.select(F.col("other").alias("key"), F.col("key").alias("other"), "score", "fresh"))
         # those that come with nothing to find, as into an empty graph, meet one another in leaves
         count = come.count()
-        for p in range(PARTITIONS if count else 0):
-            offers = offers.unionByName(_compare(_leaves(come, count, p)).withColumn("fresh", F.lit(True)))
+        offers = offers.unionByName(_partitions(come, count).withColumn("fresh", F.lit(True)))
         edges = _kept(_nearest(edges.unionByName(offers)), "neighbour-edges")
         return NeighbourGraph(every, members, _descend(every, edges))
 

@@ -94,3 +94,20 @@ def test_odd_vectors(spark):
     assert empty.members.count() == 0 and empty.nearest(items, "key", "vec", 3).count() == 0 and empty.neighbours("key", 3).count() == 0
     assert graph.nearest(items.limit(0), "key", "vec", 3).count() == 0
     assert empty.changed(items, items.limit(0), "key", "vec").members.count() == graph.members.count()
+
+
+def test_vectors_move_once_a_partition_and_products_are_written_once(spark, tmp_path, monkeypatch):
+    """Rounds of descent sent each vector once for every list it was in; each round of a search wrote all earlier products."""
+    monkeypatch.setattr(neighbours, "LEAF", 100)
+    monkeypatch.setattr(neighbours, "STRIP", 7)
+    monkeypatch.setattr(neighbours, "shared_folder", lambda spark, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    seen, real = [], neighbours._compare
+    monkeypatch.setattr(neighbours, "_compare", lambda members: seen.append(members.count()) or real(members))
+    rng = np.random.default_rng(5)
+    items = table(spark, rng.normal(size=(600, 3)) @ rng.normal(size=(3, 8)))
+    graph = neighbours.build(items, "vec_id", "embedding")
+    assert sum(seen) == neighbours.PARTITIONS * 600
+    assert recall(graph.neighbours("vec_id", 5), search.vector_join_all(items, items, "vec_id", "embedding", 5)) >= 0.9
+    found = graph.visited(items.filter("vec_id % 10 = 1"), "vec_id", "embedding", 10)
+    written = [p for p in tmp_path.iterdir() if p.name.startswith("neighbour-found")]
+    assert len(written) > 1 and sum(spark.read.parquet(str(p)).count() for p in written) == found.count()
