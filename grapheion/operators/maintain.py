@@ -6,16 +6,37 @@ back by itself: no state depends on the order of updates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grapheion.operators.graph import CodeGraph
+from grapheion.operators.lineage import cut
+
+#: Paths up to which they are named in the plan, and up to which they are sent to all tasks.
+NAMED, FEW = 100, 100_000
+
+
+def of_files(files: DataFrame) -> Callable[..., DataFrame]:
+    """A function that keeps those rows of a table whose path is one of ``files`` (file_path), or with ``but=True`` all others.
+
+    Paths are found first and stored: joins with them go below the unions that a graph is made of, where a plan
+    would repeat for each part all that the paths are made of. A few paths need no join.
+    """
+    paths = cut(files.select("file_path").filter("file_path is not null").distinct())
+    named = [r.file_path for r in paths.limit(NAMED + 1).collect()]
+    if len(named) <= NAMED:
+        known = F.coalesce(F.col("file_path").isin(named), F.lit(False))
+        return lambda df, but=False: df.filter(~known if but else known)
+    met = F.broadcast(paths) if paths.limit(FEW + 1).count() <= FEW else paths
+    return lambda df, but=False: df.join(met, "file_path", "left_anti" if but else "left_semi").select(*df.columns)
 
 
 def without_files(graph: CodeGraph, files: DataFrame) -> CodeGraph:
     """The graph without the nodes and outgoing edges of ``files`` (file_path)."""
-    gone = files.select("file_path").distinct()
-    return CodeGraph(graph.nodes.join(gone, "file_path", "left_anti").select(*graph.nodes.columns), graph.edges_raw.join(gone, "file_path", "left_anti").select(*graph.edges_raw.columns))
+    gone = of_files(files)
+    return CodeGraph(gone(graph.nodes, but=True), gone(graph.edges_raw, but=True))
 
 
 def replace_files(graph: CodeGraph, nodes: DataFrame, edges_raw: DataFrame, files: DataFrame | None = None) -> CodeGraph:
@@ -29,8 +50,7 @@ def replace_files(graph: CodeGraph, nodes: DataFrame, edges_raw: DataFrame, file
 
 def replace_nodes(graph: CodeGraph, nodes: DataFrame) -> CodeGraph:
     """Nodes only: the first of the two phases of a build."""
-    gone = nodes.select("file_path").distinct()
-    kept = graph.nodes.join(gone, "file_path", "left_anti").select(*graph.nodes.columns)
+    kept = of_files(nodes)(graph.nodes, but=True)
     return CodeGraph(kept.unionByName(nodes.select(*kept.columns)), graph.edges_raw)
 
 

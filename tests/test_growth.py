@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from grapheion.operators import algos, context, search, textindex
+from grapheion.operators import algos, context, maintain, search, textindex
 from grapheion.operators.lineage import by_key
-from grapheion.plans import fixture
+from grapheion.plans import catalogue, fixture
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +34,24 @@ def test_customers_are_not_broadcast(graph):
     assert "o_custkey" in tested and "BroadcastHashJoin [o_custkey" not in tested and "BroadcastHashJoin [ck" not in tested
 
 
+def test_plans_of_replaced_files_are_not_many_times_the_graphs(spark):
+    """Paths went into each part of the graph with all that they are made of: the plan alone filled the driver."""
+    scans = lambda name: plan(catalogue.queries()[name](spark, SF)).count("FileScan parquet")
+    assert 0 < scans("replaced_files") < scans("graph_stats_edges")
+
+
+@pytest.mark.parametrize("named, few", [(100, 100), (1, 100), (1, 1)])
+def test_rows_of_files_named_sent_or_joined(spark, monkeypatch, named, few):
+    monkeypatch.setattr(maintain, "NAMED", named)
+    monkeypatch.setattr(maintain, "FEW", few)
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, "c"), (5, "a")], "x int, file_path string")
+    found = maintain.of_files(spark.createDataFrame([("a",), (None,), ("a",), ("c",), ("d",)], "file_path string"))
+    assert found(rows).columns == found(rows, but=True).columns == rows.columns
+    assert [sorted(r.x for r in df.collect()) for df in (found(rows), found(rows, but=True))] == [[1, 4, 5], [2, 3]]
+    none = maintain.of_files(rows.select("file_path").filter("false"))
+    assert (none(rows).count(), none(rows, but=True).count()) == (0, 5)
+
+
 def test_weights_move_edges_no_more_than_resolution_does(graph):
     assert plan(algos.pair_weights(graph)).count("Exchange hashpartitioning") <= plan(graph.edges).count("Exchange hashpartitioning")
 
